@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import exact_dedup, packing, sharding
+from . import exact_dedup, minhash, packing, sharding
 
 
 def queries() -> dict:
     return {
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op6_packing": packing.op6_packing,
+        "op7_minhash": minhash.op7_minhash,
         "op8_sharding": sharding.op8_sharding,
         "pipeline": corpus_pipeline.run,
     }
