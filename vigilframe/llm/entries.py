@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import exact_dedup, minhash, packing, sharding
+from . import exact_dedup, language, minhash, packing, sharding
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op6_packing": packing.op6_packing,
         "op7_minhash": minhash.op7_minhash,
         "op8_sharding": sharding.op8_sharding,
+        "op9_language": language.op9_language,
         "pipeline": corpus_pipeline.run,
     }
 
