@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import exact_dedup, language, minhash, packing, sharding
+from . import exact_dedup, language, minhash, packing, quality, sharding
 
 
 def queries() -> dict:
     return {
+        "op4_quality": quality.op4_quality,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op6_packing": packing.op6_packing,
         "op7_minhash": minhash.op7_minhash,
