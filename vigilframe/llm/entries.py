@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import exact_dedup, language, minhash, packing, quality, sharding
+from . import exact_dedup, language, minhash, packing, quality, sentencepiece, sharding
 
 
 def queries() -> dict:
     return {
+        "op3_sentencepiece": sentencepiece.op3_sentencepiece,
         "op4_quality": quality.op4_quality,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op6_packing": packing.op6_packing,
