@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import exact_dedup, language, minhash, packing, quality, sentencepiece, sharding
+from . import exact_dedup, language, minhash, nearest, packing, quality, sentencepiece, sharding, token_counts
 
 
 def queries() -> dict:
     return {
+        "op10_token_counts": token_counts.op10_token_counts,
+        "op2_nearest": nearest.op2_nearest,
         "op3_sentencepiece": sentencepiece.op3_sentencepiece,
         "op4_quality": quality.op4_quality,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
