@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import exact_dedup, language, minhash, nearest, packing, quality, sentencepiece, sharding, token_counts
+from . import exact_dedup, html_text, language, minhash, nearest, packing, quality, sentencepiece, sharding, token_counts
 
 
 def queries() -> dict:
     return {
+        "op1_html_text": html_text.op1_html_text,
         "op10_token_counts": token_counts.op10_token_counts,
         "op2_nearest": nearest.op2_nearest,
         "op3_sentencepiece": sentencepiece.op3_sentencepiece,

@@ -12,7 +12,7 @@ tasks in blocks of bounded size, each against all rows.
 
 Defined results: vectors that are null, zero, of another length than most of the sample's, or hold null or non-finite
 components take no part, nor do rows with a null id; a query never finds rows of its own id; ties go to the smaller id;
-rows that repeat an id with one vector count once; empty tables give no rows; other columns are ignored.
+of rows that repeat an id the nearest counts; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -166,7 +166,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
     every = found[0]
     for other in found[1:]:
         every = every.unionByName(other)
-    every = every.dropDuplicates(["query_id", "vec_id"])
+    every = every.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
