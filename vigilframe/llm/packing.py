@@ -19,6 +19,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,38 +31,93 @@ SEPARATOR = 0
 VOCABULARY = "word_bpe_49k.json"
 #: Pieces in a group: large enough that the last sequences of a group, filled less well, hardly count.
 GROUP = 8192
-#: Words in a worker's table (under 200 MB), and the longest word that is kept there.
-WORDS, WORD_CHARS = 400_000, 64
+#: Words and runs of letters in a worker's tables (under 400 MB), and the longest word that is kept there.
+WORDS, RUNS, WORD_CHARS = 800_000, 800_000, 64
 SEED = 7
+#: The tokenizer's own split, for words of Latin letters: what it does with one run doesn't depend on those around it.
+RUN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+ENDS = frozenset(".,;:!?")
+LATIN = regex.compile(r"[!-~\u00a1-\u017f]+")
 
 
 class WordEncoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes, word by word."""
+    """Ids of texts. A batch is split at spaces and line ends, so each distinct word of it is looked up once; words are
+    made of runs, of which only those not met before are encoded. Words that aren't Latin are encoded as they are."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        known = self.known
-        for text in texts:
-            words = text.replace("\n", " ").split(" ") if text else []
-            new = [w for w in set(words).difference(known) if len(w) <= WORD_CHARS]
-            if new:
-                if len(known) + len(new) > WORDS:
-                    known.clear()
-                    known[""] = b""
-                    new = [w for w in set(words) if w and len(w) <= WORD_CHARS]
-                known.update(zip(new, self._encode(new)))
-            try:
-                yield b"".join([known[w] for w in words])
-            except KeyError:  # words too long for the table
-                yield b"".join([known[w] if w in known else self._encode([w])[0] for w in words])
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.last = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.words: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _encode_runs(self, runs: list[str]) -> list[bytes]:
+        """Many runs as one text: the last id of each run, and only that, is that of a word's end."""
+        out = []
+        for k in range(0, len(runs), 20_000):
+            part = runs[k : k + 20_000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(part):
+                out += self._encode(part)
+                continue
+            raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+            out += [raw[a:b] for a, b in zip(at, at[1:])]
+        return out
+
+    @staticmethod
+    def _split(word: str) -> list[str] | None:
+        """The runs of a Latin word in lower case, None for other words."""
+        low = word.lower()
+        if low.isalpha() and low.isascii():
+            return [low]
+        if low[-1:] in ENDS and low[:-1].isalpha() and low.isascii():
+            return [low[:-1], low[-1]]
+        return RUN.findall(low) if LATIN.fullmatch(word) and "<|" not in word else None
+
+    def _new(self, words: list[str]) -> list[bytes]:
+        split = [self._split(w) for w in words]
+        whole = [w for w, s in zip(words, split) if s is None]
+        others = dict(zip(whole, self._encode(whole)))
+        split = [[] if s is None else s for s in split]
+        missing = list({r for s in split for r in s}.difference(self.runs))
+        own = dict(zip(missing, self._encode_runs(missing)))
+        if len(self.runs) + len(own) > RUNS:
+            own |= {r: self.runs[r] for s in split for r in s if r not in own}
+            self.runs = {}
+        self.runs.update((r, ids) for r, ids in own.items() if len(r) <= WORD_CHARS)
+        return [others[w] if w in others else b"".join([own[r] if r in own else self.runs[r] for r in s]) for w, s in zip(words, split)]
+
+    def _lookup(self, words: list[str]) -> list[bytes]:
+        found = list(map(self.words.get, words))
+        new = [k for k, ids in enumerate(found) if ids is None]
+        if len(self.words) + len(new) > WORDS:
+            self.words = {}
+        for k, ids in zip(new, self._new([words[k] for k in new])):
+            found[k] = ids
+            if len(words[k]) <= WORD_CHARS:
+                self.words[words[k]] = ids
+        return found
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts as uint32, offsets of the texts)."""
+        split = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
+        word = split.flatten().dictionary_encode()
+        ids = self._lookup(word.dictionary.to_pylist())
+        length = np.array([len(b) >> 2 for b in ids], np.int64)
+        start, flat = np.cumsum(length) - length, np.frombuffer(b"".join(ids), np.uint32)
+        index = word.indices.to_numpy()
+        n = length[index]
+        ends = np.cumsum(n)
+        out = flat[np.repeat(start[index] - (ends - n), n) + np.arange(n.sum())]
+        bounds = np.asarray(split.offsets) - split.offsets[0].as_py() if len(split) else np.zeros(1, np.int64)
+        return out, np.r_[0, ends][bounds]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -82,10 +139,11 @@ def tokenize(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None,
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 4 << 20):
             rows: list[tuple] = []
-            for key, ids in zip(batch.column("doc_id").to_pylist(), enc.encode(batch.column("text").to_pylist())):
-                ids += end
+            all_ids, offsets = enc.encode(batch.column("text"))
+            for key, a, b in zip(batch.column("doc_id").to_pylist(), offsets.tolist(), offsets[1:].tolist()):
+                ids = all_ids[a:b].tobytes() + end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((key, k, at // 4, len(part) // 4, zlib.crc32(part), np.frombuffer(part, np.int32) if with_ids else None))
