@@ -21,6 +21,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -159,7 +160,11 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def keep_unique(kinds: list[int], texts: list[str], covered: list[int]) -> tuple[str, int]:
-    """(article blocks and what isn't covered in open ones, words covered). covered: starts of repeated runs."""
+    """(article blocks and what isn't covered in open ones, words covered). covered: starts of repeated runs.
+
+    A covered stretch is cut out of a block if it is the whole block or has RUN words there, so a run that only reaches
+    into a block from the next one leaves it whole.
+    """
     flags: set[int] = set()
     for start in covered:
         flags.update(range(start, start + RUN))
@@ -172,7 +177,12 @@ def keep_unique(kinds: list[int], texts: list[str], covered: list[int]) -> tuple
         n = len(re.findall(r"[^\x20\x09-\x0d]+", text))  # as the stream's words were counted
         if kind == OPEN:
             if flags and n == len(words):
-                text = " ".join(w for k, w in enumerate(words, at) if k not in flags)
+                kept: list[str] = []
+                for hit, stretch in groupby(enumerate(words, at), key=lambda w: w[0] in flags):
+                    part = [w for _, w in stretch]
+                    if not hit or len(part) < min(RUN, n):
+                        kept += part
+                text = " ".join(kept)
             if text:
                 out.append(text)
         at += n
