@@ -137,30 +137,53 @@ def blocks(page: str) -> list[tuple[int, str]]:
     return out
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the kinds and texts of the blocks, and for each suffix of the page's stream the hash of its first RUN words."""
+def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each page whether it has open blocks, and for each suffix of its stream the hash of the first RUN words."""
     for batch in slices(batches, "html", 4 << 20):
-        kinds, texts, suffixes = [], [], []
-        for page in batch.column("html").to_pylist():
-            found = blocks(page) if page else []
-            kinds.append([k for k, _ in found])
-            texts.append([t for _, t in found])
-        stream = pa.array([" ".join(t for k, t in zip(ks, ts) if k != ARTICLE) for ks, ts in zip(kinds, texts)], pa.string())
+        found = [blocks(page) if page else [] for page in batch.column("html").to_pylist()]
+        stream = pa.array([" ".join(t for k, t in page if k != ARTICLE) for page in found], pa.string())
         words, offsets = word_hashes(stream)
+        suffixes = []
         for a, b in zip(offsets.tolist(), offsets[1:].tolist()):
             n = max(0, b - a - RUN + 1)
             h = np.zeros(n, np.uint64)
             for k in range(RUN):
                 h = mix(h + words[a + k : a + k + n])
             suffixes.append(h.view(np.int64))
-        yield pa.record_batch(
-            [batch.column("page_id"), batch.column("url"), batch.column("host"), batch.column("page"), pa.array(kinds, pa.list_(pa.int32())), pa.array(texts, pa.list_(pa.string())), pa.array(suffixes, pa.list_(pa.int64()))],
-            names=["page_id", "url", "host", "page", "kinds", "texts", "suffixes"],
-        )
+        opened = [any(k == OPEN for k, _ in page) for page in found]
+        yield pa.record_batch([batch.column("host"), batch.column("page"), pa.array(opened, pa.bool_()), pa.array(suffixes, pa.list_(pa.int64()))], names=["host", "page", "opened", "suffixes"])
+
+
+def _proven(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text of the pages without open blocks."""
+    for batch in slices(batches, "html", 4 << 20):
+        rows = []
+        for page_id, url, page in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html"))):
+            found = blocks(page) if page else []
+            if all(k != OPEN for k, _ in found):
+                text = "\n\n".join(t for k, t in found if k == ARTICLE)
+                rows.append((page_id, url, text, len(text)))
+        yield _record(rows, ("page_id", "url", "text", "n_chars"), (pa.int64(), pa.string(), pa.string(), pa.int64()))
+
+
+def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks of the pages with open ones."""
+    for batch in slices(batches, "html", 4 << 20):
+        rows = []
+        for page_id, url, key, page in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "page", "html"))):
+            found = blocks(page) if page else []
+            if any(k == OPEN for k, _ in found):
+                rows.append((page_id, url, key, [k for k, _ in found], [t for _, t in found]))
+        yield _record(rows, ("page_id", "url", "page", "kinds", "texts"), (pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string())))
+
+
+def _record(rows: list[tuple], names: tuple, kinds: tuple) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(names)
+    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], names=list(names))
 
 
-def keep_unique(kinds: list[int], texts: list[str], covered: list[int]) -> tuple[str, int]:
-    """(article blocks and what isn't covered in open ones, words covered). covered: starts of repeated runs.
+def keep_unique(kinds: list[int], texts: list[str], covered: list[int]) -> str:
+    """Article blocks and what isn't covered in open ones. covered: starts of repeated runs.
 
     A covered stretch is cut out of a block if it is the whole block or has RUN words there, so a run that only reaches
     into a block from the next one leaves it whole.
@@ -186,29 +209,44 @@ def keep_unique(kinds: list[int], texts: list[str], covered: list[int]) -> tuple
             if text:
                 out.append(text)
         at += n
-    return "\n\n".join(out), len(flags)
+    return "\n\n".join(out)
 
 
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "url", 1 << 20):
-        rows = [keep_unique(k or [], t or [], c or []) for k, t, c in zip(*(batch.column(c).to_pylist() for c in ("kinds", "texts", "covered")))]
-        texts = [t for t, _ in rows]
-        yield pa.record_batch(
-            [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array([n for _, n in rows], pa.int64())],
-            names=["page_id", "url", "text", "n_chars", "repeated_words"],
-        )
+    for batch in batches:
+        texts = [keep_unique(k, t, c or []) for k, t, c in zip(*(batch.column(c).to_pylist() for c in ("kinds", "texts", "covered")))]
+        yield _record(list(zip(batch.column("page_id").to_pylist(), batch.column("url").to_pylist(), texts, map(len, texts))), ("page_id", "url", "text", "n_chars"), (pa.int64(), pa.string(), pa.string(), pa.int64()))
 
 
-def extract(pages: DataFrame, run_pages: int = PAGES) -> DataFrame:
-    """page_id, url, text, n_chars and repeated_words (words of the page's stream in repeated runs of its host)."""
+def _rows(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.xxhash64(host).alias("host"), F.xxhash64("page_id", "url", "html").alias("page"), F.col("html").cast("string").alias("html"))
-    parsed = materialize(rows.mapInArrow(_parse, "page_id long, url string, host long, page long, kinds array<int>, texts array<string>, suffixes array<long>"), "parsed")
-    suffixes = parsed.select("host", "page", F.posexplode("suffixes").alias("start", "prefix"))
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.xxhash64(host).alias("host"), F.xxhash64("page_id", "url", "html").alias("page"), F.col("html").cast("string").alias("html"))
+
+
+def repeated_runs(pages: DataFrame, run_pages: int = PAGES) -> DataFrame:
+    """page (a hash of the row), opened, covered: where in each page's stream a repeated run of its host starts.
+
+    The suffixes, not the texts, are shuffled; a hot host is dealt by the prefixes of its suffixes, and a hot prefix is
+    counted by partial sums.
+    """
+    streams = materialize(_rows(pages).mapInArrow(_streams, "host long, page long, opened boolean, suffixes array<long>"), "streams")
+    suffixes = streams.select("host", "page", "opened", F.posexplode("suffixes").alias("start", "prefix"))
     repeated = suffixes.groupBy("host", "prefix", "page").count().groupBy("host", "prefix").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= run_pages)
     repeated = materialize(repeated.select("host", "prefix"), "repeated")
-    covered = suffixes.join(repeated, ["host", "prefix"], "left_semi").groupBy("page").agg(F.collect_set("start").alias("covered"))
-    return parsed.drop("suffixes").join(covered, "page", "left").select("page_id", "url", "kinds", "texts", "covered").mapInArrow(_assemble, "page_id long, url string, text string, n_chars long, repeated_words long")
+    return suffixes.join(repeated, ["host", "prefix"], "left_semi").groupBy("page", "opened").agg(F.collect_set("start").alias("covered"))
+
+
+def extract(pages: DataFrame, run_pages: int = PAGES) -> DataFrame:
+    """page_id, url, text, n_chars.
+
+    Pages whose blocks are all proven by the markup need no other page and are not shuffled; those with open blocks meet
+    the repeated runs of their host.
+    """
+    rows, schema = _rows(pages), "page_id long, url string, text string, n_chars long"
+    covered = repeated_runs(pages, run_pages).where("opened").select("page", "covered")
+    opened = rows.mapInArrow(_open, "page_id long, url string, page long, kinds array<int>, texts array<string>")
+    cut = opened.join(covered, "page", "left").select("page_id", "url", "kinds", "texts", "covered").mapInArrow(_assemble, schema)
+    return rows.mapInArrow(_proven, schema).unionByName(cut)
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
