@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,18 @@ def clean_up(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_held: list[tuple[Hashable, Any]] = []
+
+
+def held(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps between tasks: the tables of the operator that it ran last, and no other's, so that
+    the stages of a pipeline don't add up in one worker."""
+    if not _held or _held[0][0] != key:
+        _held.clear()
+        _held.append((key, make()))
+    return _held[0][1]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -12,16 +12,17 @@ learned from, all texts are ``und``; only the id, text and (for learning) label
 
 from __future__ import annotations
 
-import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, table
+from .common import held, materialize, slices, table
 from .pieces import MARK, Vocabulary, edges, vocabulary
 
 #: Labelled texts learned from, at most, and rounds of expectation maximisation.
@@ -33,7 +34,7 @@ SHORT = 24
 #: Words in a worker's table.
 WORDS = 300_000
 UNKNOWN = "und"
-letters = re.compile(r"[^\W\d_]+").findall
+letters = regex.compile(r"\p{L}+").findall
 
 
 def split(text: str | None) -> list[str]:
@@ -134,6 +135,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", id
     chosen = rows.where(F.col("h") <= F.lit(cut)).select("text", "lang")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held(("language",), dict)  # no other operator's tables stay beside the counts
         for batch in slices(batches, "text"):
             words, langs = [], []
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
@@ -155,6 +157,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", id
 
 def _maximised(model: Model, words: DataFrame) -> Model:
     def expectations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held(("language",), dict)
         for batch in batches:
             lang = np.array([model.languages.index(x) for x in batch.column("lang").to_pylist()])
             weight = np.zeros((batch.num_rows, len(model.languages)))
@@ -202,9 +205,11 @@ class Scorer:
 def predict(model: Model, text: Column) -> Column:
     """struct<lang_pred string, score double> of a text column."""
 
+    key = ("language", uuid.uuid4().hex)
+
     @F.arrow_udf("lang_pred string, score double")
     def predicted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        scorer = Scorer(model)
+        scorer = held(key, lambda: Scorer(model))
         for texts in batches:
             names, scores = [], []
             for part in slices(iter([pa.record_batch([texts], names=["text"])]), "text", 4 << 20):

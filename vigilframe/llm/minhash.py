@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, table
+from .common import held, materialize, slices, table
 from .components import Forest, connected
 from .shingles import fingerprints, mix, shingle_sets, signatures
 
@@ -43,6 +43,7 @@ def _sign(docs: DataFrame, words: int, chunks: int, width: int) -> DataFrame:
     """doc_id, n_shingles, f1, f2 (fingerprint of the set), signature (binary)."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held(("minhash",), dict)  # no other operator's tables stay beside the sets
         for batch in slices(batches, "text", 2 << 20):
             sets, offsets = shingle_sets(batch.column("text"), words)
             prints, signature = fingerprints(sets, offsets), signatures(sets, offsets, chunks * width, BITS, SEED)
@@ -180,6 +181,7 @@ def _confirm(words: int, percent: int):
 
 def _sets(words: int):
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held(("minhash",), dict)
         for batch in slices(batches, "text", 2 << 20):
             sets, offsets = shingle_sets(batch.column("text"), words)
             raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer((8 * offsets).astype(np.int64).tobytes()), pa.py_buffer(sets.tobytes())])

@@ -24,15 +24,15 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, table
+from .common import held, materialize, slices, table
 
 CAPACITY = 2048
 SEPARATOR = 0
 VOCABULARY = "word_bpe_49k.json"
 #: Pieces in a group: large enough that the last sequences of a group, filled less well, hardly count.
 GROUP = 8192
-#: Words and runs of letters in a worker's tables (under 400 MB), and the longest word that is kept there.
-WORDS, RUNS, WORD_CHARS = 800_000, 800_000, 64
+#: Words and runs of letters in a worker's tables (under 160 MB), and the longest word that is kept there.
+WORDS, RUNS, WORD_CHARS = 250_000, 400_000, 64
 SEED = 7
 #: The tokenizer's own split, for words of Latin letters: what it does with one run doesn't depend on those around it.
 RUN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -120,16 +120,11 @@ class WordEncoder:
         return out, np.r_[0, ends][bounds]
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str | None) -> WordEncoder:
     """The worker's encoder; None: the public vocabulary installed on it."""
-    if path not in _encoders:
-        import public_tokenizers
+    import public_tokenizers
 
-        _encoders[path] = WordEncoder(path or public_tokenizers.path(VOCABULARY))
-    return _encoders[path]
+    return held(("packing", path), lambda: WordEncoder(path or public_tokenizers.path(VOCABULARY)))
 
 
 def tokenize(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

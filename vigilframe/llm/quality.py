@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import held, slices, table
 from .shingles import mix, word_hashes
 
 LEARNED = 20_000
@@ -176,6 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = LEARNED) -> Trees:
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "quality")
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held(("quality",), dict)
         for batch in slices(batches, "text", 4 << 20):
             x = statistics(batch.column("text"))
             yield pa.record_batch([batch.column("quality").cast(pa.int32()), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))], names=["quality", "x"])
@@ -191,6 +192,7 @@ def score(trees: Trees, text: Column) -> Column:
 
     @F.arrow_udf("double")
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        held(("quality",), dict)  # no other operator's tables stay beside the statistics
         for texts in batches:
             parts = slices(iter([pa.record_batch([texts], names=["text"])]), "text", 4 << 20)
             yield pa.array(np.concatenate([np.zeros(0), *(trees.scores(statistics(p.column("text"))) for p in parts)]))

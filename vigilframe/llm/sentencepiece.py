@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import held, slices, table
 from .pieces import MARK, Vocabulary, vocabulary
 
 #: Units and parts in a worker's tables (under 350 MB), and the longest that are kept there.
@@ -185,14 +185,9 @@ class Decoder:
         return raw[1:] if raw[:1] == b" " else raw
 
 
-_coders: dict[str | None, tuple[Encoder, Decoder]] = {}
-
-
 def coders(path: str | None) -> tuple[Encoder, Decoder]:
     """The worker's encoder and decoder; None: the public vocabulary installed on it."""
-    if path not in _coders:
-        _coders[path] = Encoder(vocabulary(path)), Decoder(vocabulary(path))
-    return _coders[path]
+    return held(("sentencepiece", path), lambda: (Encoder(vocabulary(path)), Decoder(vocabulary(path))))
 
 
 def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -14,7 +14,6 @@ empty ones at 0 and are cut to the text; overlapping edits are refused; repeated
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import held, slices, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 LEAF = 64
@@ -67,12 +66,11 @@ class Counter(dict):
         return np.add.reduceat(np.fromiter(map(len, pieces), np.int64, len(pieces)), at), np.add.reduceat(tokens, at)
 
 
-@lru_cache(maxsize=2)
 def counter(path: str | None) -> Counter:
     """The worker's counter; None: the public ranks installed on it."""
     import public_tokenizers
 
-    return Counter(path or public_tokenizers.path(VOCABULARY))
+    return held(("token_counts", path), lambda: Counter(path or public_tokenizers.path(VOCABULARY)))
 
 
 class CountTree:
