@@ -8,7 +8,7 @@ folder. Nothing is collected but two counts a round.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -55,10 +55,20 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(part, pa.int64()), pa.array(list(map(forest.find, part)), pa.int64())], names=["child", "parent"])
 
 
+def linked(rows: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """The links (child, parent) that ``make`` finds in each partition of ``rows``, reduced to a forest by the same
+    Python worker. They have no null ends and none links a node with itself."""
+    return rows.mapInArrow(lambda batches: _forest(make(batches)), _LINKS)
+
+
 def connected(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) for every node of ``links`` that is linked with a smaller one; component is the smallest node
     reachable. Nodes that aren't returned are their own component. Null ends and links with itself count for nothing."""
-    tree = links.where(F.col(a) != F.col(b)).select(F.col(a).cast("long"), F.col(b).cast("long")).mapInArrow(_forest, _LINKS)
+    return components(links.where(F.col(a) != F.col(b)).select(F.col(a).cast("long"), F.col(b).cast("long")).mapInArrow(_forest, _LINKS))
+
+
+def components(tree: DataFrame) -> DataFrame:
+    """As ``connected``, of (child, parent) where each partition holds a forest."""
     while True:
         tree = materialize(tree, "forest")
         parents = tree.groupBy("child").agg(F.min("parent").alias("low"), F.collect_set("parent").alias("parents"))

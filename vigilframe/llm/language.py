@@ -136,7 +136,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", id
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held(("language",), dict)  # no other operator's tables stay beside the counts
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             words, langs = [], []
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
                 own = split(text)
@@ -212,7 +212,7 @@ def predict(model: Model, text: Column) -> Column:
         scorer = held(key, lambda: Scorer(model))
         for texts in batches:
             names, scores = [], []
-            for part in slices(iter([pa.record_batch([texts], names=["text"])]), "text", 4 << 20):
+            for part in slices(iter([pa.record_batch([texts], names=["text"])]), "text", 2 << 20):
                 own, score = scorer.score(part.column("text").to_pylist())
                 names += own
                 scores.append(score)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import held, materialize, slices, table
-from .components import Forest, connected
+from .components import Forest, components, linked
 from .shingles import fingerprints, mix, shingle_sets, signatures
 
 CHUNKS, WIDTH, ERRORS, BITS = 8, 6, 1, 16
@@ -129,39 +129,53 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if b - a > COMPARED:
                 links += [(x, int(ids[a])) for x in ids[a + 1 : b].tolist()]
                 continue
-            forest = Forest()
+            forest, trees = Forest(), 1
             for i in range(a + 1, b):
+                if trees == 1 and (signature[a] != signature[i]).sum() <= APART:  # no other tree is left to be joined
+                    forest.join(i, a)
+                    links.append((int(ids[i]), int(ids[a])))
+                    continue
+                before = len(links)
                 near = np.flatnonzero((signature[a:i] != signature[i]).sum(axis=1) <= APART)
                 links += [(int(ids[i]), int(ids[a + j])) for j in near.tolist() if forest.join(i, a + j)]
+                trees += 1 - (len(links) - before)
         if links:
             yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*links)], names=["child", "parent"])
 
 
-def _confirm(words: int, percent: int):
+def _confirm(percent: int):
     """Of sorted (cluster, left, right, block, doc_id, set), a forest of the pairs that are similar enough."""
 
+    def similar(one: np.ndarray, other: np.ndarray) -> bool:
+        shared = len(np.intersect1d(one, other, assume_unique=True))
+        return 100 * shared >= percent * (len(one) + len(other) - shared)
+
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held(("minhash",), dict)
         for part in _runs(batches, 3):
             ids, links = part.column("doc_id").to_pylist(), []
-            raw = part.column("shingles").to_pylist()
-            left, right, block = (part.column(c).to_numpy() for c in ("left", "right", "block"))
             for a, b in _bounds(part, 3):
-                sets = [np.frombuffer(x, np.uint64) for x in raw[a:b]]
+                sets = [np.frombuffer(x, np.uint64) for x in part.column("shingles").slice(a, b - a).to_pylist()]
                 size = np.array([len(s) for s in sets])
-                owner = np.repeat(np.arange(b - a), size)
                 values = np.concatenate(sets)
                 order = np.argsort(values, kind="stable")
-                values, owner = values[order], owner[order]
+                owner = np.repeat(np.arange(b - a, dtype=np.int32), size)[order]
+                values = values[order]
                 new = np.r_[True, values[1:] != values[:-1]]
                 first = np.flatnonzero(new)
                 many = np.diff(np.r_[first, len(values)])
-                number = np.cumsum(new) - 1
                 # shared shingle -> its owners, for counting one text's overlaps with all others at once
-                place = np.empty(len(values), np.int64)
-                place[order] = number
+                place = np.empty(len(values), np.int32)
+                place[order] = np.cumsum(new) - 1
+                del values, order, new
                 ends = np.cumsum(size)
-                forest, across = Forest(), left[a] != right[a]
+                forest, trees, hub = Forest(), 1, 0
                 for i in range(1, b - a):
+                    if trees == 1 and similar(sets[hub], sets[i]):  # no other tree is left to be joined
+                        forest.join(i, hub)
+                        links.append((ids[a + i], ids[a + hub]))
+                        continue
+                    trees += 1
                     mine = place[ends[i] - size[i] : ends[i]]
                     mine = mine[many[mine] > 1]
                     if not len(mine):
@@ -169,10 +183,11 @@ def _confirm(words: int, percent: int):
                     n = many[mine]
                     at = np.repeat(first[mine] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
                     shared = np.bincount(owner[at], minlength=b - a)[:i]
-                    ok = 100 * shared >= percent * (size[:i] + size[i] - shared)
-                    if across:
-                        ok &= block[a : a + i] != block[a + i]
-                    links += [(ids[a + i], ids[a + j]) for j in np.flatnonzero(ok).tolist() if forest.join(i, j)]
+                    near = np.flatnonzero(100 * shared >= percent * (size[:i] + size[i] - shared)).tolist()
+                    joined = [j for j in near if forest.join(i, j)]
+                    links += [(ids[a + i], ids[a + j]) for j in joined]
+                    trees -= len(joined)
+                    hub = near[0] if near else hub
             if links:
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*links)], names=["child", "parent"])
 
@@ -199,8 +214,7 @@ def assign(docs: DataFrame, words: int = 4, percent: int = 80, id_col: str = "do
     classes = materialize(full.groupBy("f1", "f2").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), F.min("signature").alias("signature")), "classes")
     met = _keys(classes, chunks, width, errors).repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_met, "key long, doc_id long")
     near = met.join(classes.select("doc_id", "signature"), "doc_id").select("key", "doc_id", "signature")
-    near = near.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_near, "child long, parent long")
-    clusters = connected(near, "child", "parent")
+    clusters = components(linked(near.repartition("key").sortWithinPartitions("key", "doc_id"), _near))
     members = clusters.unionByName(clusters.select(F.col("component").alias("node"), "component").distinct())
     members = members.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")).join(classes.select("doc_id", "n_shingles"), "doc_id")
     members = materialize(members, "members")
@@ -212,7 +226,7 @@ def assign(docs: DataFrame, words: int = 4, percent: int = 80, id_col: str = "do
     pairs = sets.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     pairs = pairs.select("cluster", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "doc_id", "shingles")
     pairs = pairs.repartition("cluster", "left", "right").sortWithinPartitions("cluster", "left", "right", "doc_id")
-    links = connected(pairs.mapInArrow(_confirm(words, percent), "child long, parent long"), "child", "parent")
+    links = components(linked(pairs, _confirm(percent)))
     found = classes.join(links, classes["doc_id"] == links["node"], "left").select("f1", "f2", F.coalesce("component", "doc_id").alias("component"))
     found = materialize(found, "found")
     some = full.join(found, ["f1", "f2"]).select("doc_id", "n_shingles", F.col("component").alias("component_id"))

@@ -177,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = LEARNED) -> Trees:
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held(("quality",), dict)
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             x = statistics(batch.column("text"))
             yield pa.record_batch([batch.column("quality").cast(pa.int32()), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))], names=["quality", "x"])
 
@@ -194,7 +194,7 @@ def score(trees: Trees, text: Column) -> Column:
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         held(("quality",), dict)  # no other operator's tables stay beside the statistics
         for texts in batches:
-            parts = slices(iter([pa.record_batch([texts], names=["text"])]), "text", 4 << 20)
+            parts = slices(iter([pa.record_batch([texts], names=["text"])]), "text", 1 << 20)
             yield pa.array(np.concatenate([np.zeros(0), *(trees.scores(statistics(p.column("text"))) for p in parts)]))
 
     return scored(text)

@@ -8,7 +8,7 @@ import pyarrow as pa
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Texts are hashed in pieces of about this many bytes, cut between words, so the working arrays stay small.
-PIECE = 2 << 20
+PIECE = 1 << 19
 _powers: dict[str, np.ndarray] = {}
 
 
