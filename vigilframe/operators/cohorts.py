@@ -92,3 +92,29 @@ def best_groups(rows: DataFrame, delta: float = 0.08, members: int = 11, pairs:
     order = Window.partitionBy("host").orderBy(F.col("delta").desc(), F.col("pairs").desc(), F.col("members").desc(), "grp")
     fit = rows.where((F.col("delta") >= delta) & (F.col("members") >= members) & (F.col("pairs") >= pairs))
     return fit.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")
+
+
+def match_buckets(breadths: DataFrame) -> DataFrame:
+    """(host, apps, days) to (host, app_bin, day_bin): doublings of the application count, whole weeks after the first."""
+    days = F.floor((F.col("days") - 7) / 7)
+    return breadths.select("host", (F.length(F.bin(F.col("apps") + 1)) - 1).cast("int").alias("app_bin"), F.greatest(F.lit(0), days).cast("int").alias("day_bin"))
+
+
+def control_pools(buckets: DataFrame, members: DataFrame, group: str) -> DataFrame:
+    """For each of ``members`` (host, group) the number of hosts outside its group that match it: those of its own bucket
+    or, if it has none, those one step away in one direction.
+
+    Hosts are counted by bucket before the join, so pairs of hosts are never made.
+    """
+    key = ["app_bin", "day_bin"]
+    everyone = buckets.groupBy(*key).agg(F.count(F.lit(1)).alias("everyone"))
+    placed = buckets.join(members, "host")
+    own = placed.groupBy(group, *key).agg(F.count(F.lit(1)).alias("own"))
+    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 0), (-1, 0), (1, 0), (0, -1), (0, 1))])
+    near = own.select(group, *key, F.explode(steps).alias("step"))
+    near = near.select(group, F.col("app_bin").alias("own_app"), F.col("day_bin").alias("own_day"), "step", (F.col("app_bin") + F.col("step.a")).alias("app_bin"), (F.col("day_bin") + F.col("step.b")).alias("day_bin"))
+    outside = near.join(everyone, key).join(own, [group, *key], "left").withColumn("outside", F.col("everyone") - F.coalesce("own", F.lit(0)))
+    here = (F.col("step.a") == 0) & (F.col("step.b") == 0)
+    pools = outside.groupBy(group, F.col("own_app").alias("app_bin"), F.col("own_day").alias("day_bin")).agg(F.sum(F.when(here, F.col("outside")).otherwise(0)).alias("same"), F.sum(F.when(here, 0).otherwise(F.col("outside"))).alias("beside"))
+    found = placed.join(pools, [group, *key])
+    return found.select("host", group, *key, (F.col("same") > 0).alias("exact"), F.when(F.col("same") > 0, F.col("same")).otherwise(F.col("beside")).alias("controls"))

@@ -309,6 +309,11 @@ SQL = {
       {_FEATURES}, {_seeds('prev', 'total')}, seenh AS (SELECT host FROM later GROUP BY host HAVING count(DISTINCT day) >= 3), shown AS (SELECT DISTINCT host, 'app:' || app AS app FROM later)
       SELECT first, second, count(*) AS members, count(s.host) AS observed, count(s.host) FILTER (EXISTS (SELECT 1 FROM shown x WHERE x.host = m.host AND x.app = m.first) AND EXISTS (SELECT 1 FROM shown x WHERE x.host = m.host AND x.app = m.second)) AS persistent
       FROM member m LEFT JOIN seenh s ON s.host = m.host GROUP BY first, second""",
+    "matched_controls": f"""WITH {_OBS}, b AS (SELECT host, CAST(host AS INT) % 6 AS grp, CAST(floor(log2(count(DISTINCT app) + 1)) AS INT) AS app_bin, CAST(greatest(0, floor((count(DISTINCT day) - 7) / 7)) AS INT) AS day_bin FROM obs GROUP BY host),
+      c AS (SELECT m.host, m.grp, m.app_bin, m.day_bin,
+          (SELECT count(*) FROM b WHERE b.grp <> m.grp AND b.app_bin = m.app_bin AND b.day_bin = m.day_bin) AS same,
+          (SELECT count(*) FROM b WHERE b.grp <> m.grp AND abs(b.app_bin - m.app_bin) + abs(b.day_bin - m.day_bin) = 1) AS beside FROM b AS m)
+      SELECT host, grp, app_bin, day_bin, same > 0 AS exact, CASE WHEN same > 0 THEN same ELSE beside END AS controls FROM c""",
     "cohort_pair_overlaps": f"""WITH {_TEAM}, m AS (SELECT DISTINCT host, app FROM obs), s AS (SELECT app, count(*) AS n FROM m GROUP BY app),
       p AS (SELECT x.app AS a, y.app AS b, count(*) AS c FROM m x JOIN m y ON x.host = y.host AND x.app < y.app GROUP BY ALL)
       SELECT a, b, round(c / (sa.n + sb.n - c), 9) AS overlap FROM p JOIN s sa ON sa.app = a JOIN s sb ON sb.app = b""",

@@ -326,6 +326,14 @@ def cohort_pair_overlaps(spark: SparkSession, d: str) -> DataFrame:
     return cohorts.pair_overlaps(members, "app").select("a", "b", _r("overlap"))
 
 
+def matched_controls(spark: SparkSession, d: str) -> DataFrame:
+    """Groups by user number; a host's breadth is its applications, its depth the days it was seen."""
+    obs = novelty_view(spark, d)
+    breadths = obs.groupBy("host").agg(F.count_distinct("app").alias("apps"), F.count_distinct("day").alias("days"))
+    members = breadths.select("host", (F.col("host").cast("int") % 6).alias("grp"))
+    return cohorts.control_pools(cohorts.match_buckets(breadths), members, "grp")
+
+
 def best_groups(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers as hosts, part groups as groups."""
     rows = spark.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_suppkey").alias("host"), (F.col("l_partkey") % 40).alias("grp"))
@@ -426,7 +434,7 @@ QUERIES = {
         host_rollup, coverage, behavior_days, behavior_days_capped, distinct_estimates, sketch_merge, network_windows, references, references_all_days, app_support, pattern_support,
         fleet_hosts, local_app_days, qualified_peers, peer_evidence, dt01_novelty, dt02_funnel, dt03_remote_execution, dt04_outbound_from_new_context, findings, findings_unexpected, process_network, admission, unseen, queue_metrics, next_batches,
         global_addresses, prevalence, bundles, document_frequency, feature_weights, technical_vectors, technical_pairs, candidate_pairs, peer_pairs, peer_components, peer_groups,
-        group_explanations, group_centroids, observed_day_bands, strata, cohort_seeds, app_pairs, cohort_overlaps, cohort_persistence, cohort_pair_overlaps, best_groups, finding_families, finding_families_top, variant_examples,
+        group_explanations, group_centroids, observed_day_bands, strata, cohort_seeds, app_pairs, cohort_overlaps, cohort_persistence, cohort_pair_overlaps, matched_controls, best_groups, finding_families, finding_families_top, variant_examples,
         finding_search, inbox, findings_table_page, finding_triggers, csv_cells, discover, endpoint_coverage, command_flags, path_functions, text_functions,
     )
 }
