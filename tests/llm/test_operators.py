@@ -282,6 +282,27 @@ def test_forward_sums_all_segmentations():
     assert np.isfinite(model.log_probabilities(["th" * 2000])).all()
 
 
+def test_words_without_pieces_do_not_underflow(monkeypatch):
+    vocab = language.vocabulary(None)
+    strange = ["".join(chr(0x10330 + i % 20) for i in range(n)) for n in (6, 20, 40)]
+    p = np.full((len(vocab.pieces), 2), 1e-8)
+    for w in ("▁the", "▁and"):
+        p[vocab.ids[w], 1] = 0.1
+    model = language.Model(["a", "b"], p)
+    logs = model.log_probabilities(strange)
+    assert np.isfinite(logs).all() and (np.diff(logs, axis=0) < 0).all()
+    names, score = language.Scorer(model).score(["the and the " + w for w in strange])
+    assert names == ["b"] * 3 and (score > 0.99).all()
+    words, weight = [*strange, "the", "thing", "über"], np.arange(12.0).reshape(6, 2)
+    one = model.expected(words, weight)
+    assert np.isfinite(one).all()
+    # every segmentation uses the word's bytes once, so the bytes of a word without pieces are counted in full
+    byte = vocab.byte_ids["\U00010330".encode()[0]]
+    assert np.allclose(one[byte], sum(len(w) * c for w, c in zip(strange, weight)))
+    monkeypatch.setattr(language, "ALIKE", 1)
+    assert np.allclose(model.expected(words, weight), one) and np.allclose(model.log_probabilities(strange), logs)
+
+
 def test_language_held_out(spark, sf_dir, empty):
     docs = some_documents(spark, sf_dir)
     got = language.op9_language(spark, sf_dir).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()

@@ -3,7 +3,7 @@
 For each language a probability of every piece of a fixed public vocabulary is learned by expectation maximisation from
 labelled texts. A word's probability is the sum over all its segmentations (forward algorithm); a text's is the product
 over its words, runs of letters in lower case with the mark of a word's start. A letter that is no piece counts as the
-bytes that stand for it. The language with the largest product is predicted; ``score`` is its posterior under equal priors.
+bytes that stand for it. All of this is computed with logarithms, so no word is too long or too strange for it. The language with the largest product is predicted; ``score`` is its posterior under equal priors.
 
 Defined results: texts that are null or have no letter give ``und`` with score 0; rows with a null label aren't learned
 from; ties go to the language that sorts first; a null id is kept; repeated rows are scored alike; if nothing can be
@@ -13,7 +13,9 @@ learned from, all texts are ``und``; only the id, text and (for learning) label
 from __future__ import annotations
 
 import uuid
+from collections import deque
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -29,8 +31,8 @@ from .pieces import MARK, Vocabulary, edges, vocabulary
 LEARNED, ROUNDS = 4000, 3
 #: Expected counts added to every piece.
 SMOOTHING = 0.01
-#: Longer words are scored one at a time.
-SHORT = 24
+#: Words of one length from which arrays over all of them are quicker than one word at a time, and letters in such arrays.
+ALIKE, CHARACTERS = 16, 480_000
 #: Words in a worker's table.
 WORDS = 300_000
 UNKNOWN = "und"
@@ -47,83 +49,104 @@ class Model:
     def __init__(self, languages: list[str], probability: np.ndarray, path: str | None = None):
         self.languages, self.probability, self.path = languages, probability, path
 
+    @cached_property
+    def logs(self) -> np.ndarray:
+        return np.log(self.probability)
+
     def _unknown(self, vocab: Vocabulary, char: str) -> np.ndarray:
-        return np.prod([self.probability[vocab.byte_ids[b]] for b in char.encode("utf-8", "surrogatepass")], axis=0)
+        return self.logs[[vocab.byte_ids[b] for b in char.encode("utf-8", "surrogatepass")]].sum(axis=0)
+
+    def _into(self, vocab: Vocabulary, word: str, end: int) -> list[tuple[int, list[int], np.ndarray]]:
+        """(start, pieces, their log probability) of the edges of a word that end at ``end``."""
+        out = []
+        for start in range(max(0, end - vocab.longest), end):
+            piece = vocab.ids.get(word[start:end])
+            if piece is not None:
+                out.append((start, [piece], self.logs[piece]))
+            elif start == end - 1:
+                out.append((start, [vocab.byte_ids[b] for b in word[start].encode("utf-8", "surrogatepass")], self._unknown(vocab, word[start])))
+        return out
 
     def _one(self, vocab: Vocabulary, word: str) -> np.ndarray:
-        """Forward algorithm over a long word, rescaled as it goes."""
-        p, ids = self.probability, vocab.ids
-        window, log = [np.ones(p.shape[1])], np.zeros(p.shape[1])
+        """Forward algorithm over one word; it keeps as many places as a piece is long."""
+        window = deque([np.zeros(len(self.languages))], maxlen=vocab.longest)
         for end in range(1, len(word) + 1):
-            total = np.zeros(p.shape[1])
-            for back in range(1, min(end, vocab.longest) + 1):
-                piece = ids.get(word[end - back : end])
-                if piece is not None:
-                    total = total + window[-back] * p[piece]
-                elif back == 1:
-                    total = total + window[-1] * self._unknown(vocab, word[end - 1])
-            window = [*window[-vocab.longest + 1 :], total]
-            if end % 8 == 0 and total.min() > 0:
-                log += np.log(total)
-                window = [w / total for w in window]
-        return log + np.log(window[-1])
+            window.append(np.logaddexp.reduce([window[start - end] + log for start, _, log in self._into(vocab, word, end)]))
+        return window[-1]
+
+    def _groups(self, marked: list[str]) -> Iterator[tuple[np.ndarray, int]]:
+        """(rows, length) of words of one length, at most CHARACTERS together."""
+        size = np.array([len(w) for w in marked])
+        for n in np.unique(size).tolist():
+            at = np.flatnonzero(size == n)
+            for part in np.array_split(at, -(-len(at) // max(1, CHARACTERS // n))):
+                yield part, n
 
     def log_probabilities(self, words: list[str]) -> np.ndarray:
         """log P(word | language), words x languages."""
         vocab, out = vocabulary(self.path), np.zeros((len(words), len(self.languages)))
         marked = [MARK + w for w in words]
-        size = np.array([len(w) for w in marked])
-        for n in np.unique(size).tolist():
-            at = np.flatnonzero(size == n)
-            if n > SHORT:
-                for k in at.tolist():
-                    out[k] = self._one(vocab, marked[k])
-                continue
-            for part in np.array_split(at, -(-len(at) // 20_000)):
-                out[part] = np.log(self._forward(vocab, [marked[k] for k in part.tolist()], n)[n])
+        for part, n in self._groups(marked):
+            batch = [marked[k] for k in part.tolist()]
+            out[part] = [self._one(vocab, w) for w in batch] if len(batch) < ALIKE else self._forward(vocab, batch, n)[n]
         return out
 
     def _forward(self, vocab: Vocabulary, words: list[str], n: int) -> list[np.ndarray]:
-        p = self.probability
-        alpha = [np.zeros((len(words), p.shape[1])) for _ in range(n + 1)]
-        alpha[0][:] = 1
+        alpha = [np.full((len(words), len(self.languages)), -np.inf) for _ in range(n + 1)]
+        alpha[0][:] = 0
         for start, end, ids in edges(vocab, words, n):
             hit = np.flatnonzero(ids >= 0)
             if len(hit):
-                alpha[end][hit] += alpha[start][hit] * p[ids[hit]]
+                alpha[end][hit] = np.logaddexp(alpha[end][hit], alpha[start][hit] + self.logs[ids[hit]])
             if end - start == 1:
                 for k in np.flatnonzero(ids < 0).tolist():
-                    alpha[end][k] += alpha[start][k] * self._unknown(vocab, words[k][start])
+                    alpha[end][k] = np.logaddexp(alpha[end][k], alpha[start][k] + self._unknown(vocab, words[k][start]))
         return alpha
 
     def expected(self, words: list[str], weight: np.ndarray) -> np.ndarray:
-        """Expected counts of the pieces (pieces x languages) in words of at most SHORT characters; weight: words x languages."""
-        vocab, p = vocabulary(self.path), self.probability
-        counts = np.zeros_like(p)
+        """Expected counts of the pieces (pieces x languages) in words; weight: words x languages."""
+        vocab, counts = vocabulary(self.path), np.zeros_like(self.probability)
         marked = [MARK + w for w in words]
-        size = np.array([len(w) for w in marked])
-        for n in [k for k in np.unique(size).tolist() if k <= SHORT]:
-            at = np.flatnonzero(size == n)
-            for part in np.array_split(at, -(-len(at) // 20_000)):
-                batch = [marked[k] for k in part.tolist()]
-                alpha = self._forward(vocab, batch, n)
-                beta = [np.zeros_like(alpha[0]) for _ in range(n + 1)]
-                beta[n] = weight[part] / alpha[n]
-                for start, end, ids in sorted(edges(vocab, batch, n), key=lambda e: -e[1]):
-                    hit = np.flatnonzero(ids >= 0)
-                    if len(hit):
-                        flow = beta[end][hit] * p[ids[hit]]
-                        np.add.at(counts, ids[hit], alpha[start][hit] * flow)
-                        beta[start][hit] += flow
-                    if end - start == 1:
-                        for k in np.flatnonzero(ids < 0).tolist():
-                            char = batch[k][start]
-                            flow = beta[end][k] * self._unknown(vocab, char)
-                            beta[start][k] += flow
-                            for b in char.encode("utf-8", "surrogatepass"):
-                                counts[vocab.byte_ids[b]] += alpha[start][k] * flow
+        with np.errstate(divide="ignore"):
+            weight = np.log(weight)
+        for part, n in self._groups(marked):
+            if len(part) < ALIKE:
+                for k in part.tolist():
+                    self._expected_of(vocab, marked[k], weight[k], counts)
+                continue
+            batch = [marked[k] for k in part.tolist()]
+            alpha = self._forward(vocab, batch, n)
+            beta = [np.full_like(alpha[0], -np.inf) for _ in range(n + 1)]
+            beta[n] = weight[part] - alpha[n]
+            for start, end, ids in sorted(edges(vocab, batch, n), key=lambda e: -e[1]):
+                hit = np.flatnonzero(ids >= 0)
+                if len(hit):
+                    flow = beta[end][hit] + self.logs[ids[hit]]
+                    np.add.at(counts, ids[hit], np.exp(alpha[start][hit] + flow))
+                    beta[start][hit] = np.logaddexp(beta[start][hit], flow)
+                if end - start == 1:
+                    for k in np.flatnonzero(ids < 0).tolist():
+                        char = batch[k][start]
+                        flow = beta[end][k] + self._unknown(vocab, char)
+                        beta[start][k] = np.logaddexp(beta[start][k], flow)
+                        for b in char.encode("utf-8", "surrogatepass"):
+                            counts[vocab.byte_ids[b]] += np.exp(alpha[start][k] + flow)
         return counts
 
+    def _expected_of(self, vocab: Vocabulary, word: str, weight: np.ndarray, counts: np.ndarray) -> None:
+        """Adds the expected counts of one word to ``counts``."""
+        n = len(word)
+        alpha, beta = np.zeros((n + 1, len(weight))), np.full((n + 1, len(weight)), -np.inf)
+        for end in range(1, n + 1):
+            alpha[end] = np.logaddexp.reduce([alpha[start] + log for start, _, log in self._into(vocab, word, end)])
+        beta[n] = weight - alpha[n]
+        for end in range(n, 0, -1):
+            for start, pieces, log in self._into(vocab, word, end):
+                flow = beta[end] + log
+                beta[start] = np.logaddexp(beta[start], flow)
+                for piece in pieces:
+                    counts[piece] += np.exp(alpha[start] + flow)
+
 
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", bound: int = LEARNED, path: str | None = None) -> Model:
     """Learns from at most ``bound`` rows with a label, those whose hash of the id is smallest.
