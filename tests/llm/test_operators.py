@@ -439,3 +439,20 @@ def test_repeated_runs_of_a_host_go(spark):
     assert line not in by[2].text and "Own words number 2" in by[2].text and "Title number 2" in by[2].text
     assert line in by[10].text and by[11].text == by[12].text == "" and by[20].text == line
     assert all(r.n_chars == len(r.text) for r in got)
+
+
+def test_open_pages_of_a_hot_host_keep_their_prose(spark):
+    line, phrase = "follow us on all of the usual channels today", "at the end of the day"
+    own = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    prose = lambda k: f"{own(k, 12)} {phrase if k % 10 == 0 else ''} {own(-k, 12)}".replace("  ", " ")
+    rows = [(k, f"https://hot.example/{k}", f"<div><p>{prose(k)}</p><p>{line}</p></div>") for k in range(1, 2001)]
+    article = own("a", 40)
+    rows += [(3000 + k, f"https://hot.example/copy{k}", f"<div><p>{article}</p><p>{line}</p></div>") for k in range(5)]
+    rows += [(4000 + k, f"https://small.example/{k}", f"<div><p>{article}</p></div>") for k in range(5)]  # copies of one stream
+    rows += [(5000 + k, f"https://near.example/{k}", f"<div><nav>{own(k, 8)}</nav><p>{article}</p></div>") for k in range(5)]  # other menus
+    rows += [(6000 + k, f"https://mid.example/{k}", f"<div><p>{own(k, 30)} {line} {own(-k - 1, 30)}</p></div>") for k in range(5)]  # inside prose
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows)
+    assert all(got[k] == prose(k) for k in range(1, 2001))
+    assert all(got[k] == article for start in (3000, 4000, 5000) for k in range(start, start + 5))
+    assert all(got[6000 + k] == f"{own(k, 30)} {line} {own(-k - 1, 30)}" for k in range(5))

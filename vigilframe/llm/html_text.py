@@ -4,9 +4,11 @@ A page is cut into blocks, each of one of three kinds: *article* (inside ``artic
 headers, footers, sidebars, notices, adverts, forms, reader comments, by element, role, class or id) and *open* (all
 else). The words of chrome and open blocks are the page's stream. All suffixes of a host's streams are sorted by their
 first ``RUN`` words (a suffix array cut at the shortest run of interest: equal prefixes meet in one place of the sorted
-order, wherever their pages are stored); a run of at least ``RUN`` words that stands in at least ``PAGES`` distinct pages
-of the host is repeated. Repeated runs are cut out of open blocks and unique runs stay; article blocks are proven by the
-markup and stay whole, chrome goes.
+order, wherever their pages are stored); a run of at least ``RUN`` words that stands in at least ``PAGES`` distinct streams
+of the host and in at least a ``SHARE`` of them is repeated, so what counts doesn't shrink with the size of the host and
+copies of one stream count once. Repeated runs are cut out of open blocks that consist mostly of them; all other open
+blocks stay whole, and so do all of a page that would be left without text. Article blocks are proven by the markup and
+stay whole, chrome goes.
 
 Articles are not put into the stream: copies of an article on one host are its text, not boilerplate, and a page whose
 markup names its article needs no guess about it. Pages that name no article rest on the suffix array alone.
@@ -18,6 +20,7 @@ are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
@@ -31,7 +34,9 @@ from pyspark.sql import functions as F
 from .common import materialize, slices, table
 from .shingles import mix, word_hashes
 
-RUN, PAGES = 5, 3
+RUN, PAGES, SHARE = 5, 3, 0.5
+#: Parts into which the repeated prefixes of a host are dealt when they meet its number of streams.
+PARTS = 64
 ARTICLE, OPEN, CHROME = 0, 1, 2
 
 #: Elements whose content is never text of the page.
@@ -138,20 +143,21 @@ def blocks(page: str) -> list[tuple[int, str]]:
 
 
 def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each page whether it has open blocks, and for each suffix of its stream the hash of the first RUN words."""
+    """Of each page whether it has open blocks, a hash of its stream, and for each suffix of it the hash of the first RUN words."""
     for batch in slices(batches, "html", 4 << 20):
         found = [blocks(page) if page else [] for page in batch.column("html").to_pylist()]
         stream = pa.array([" ".join(t for k, t in page if k != ARTICLE) for page in found], pa.string())
         words, offsets = word_hashes(stream)
-        suffixes = []
+        suffixes, contents = [], []
         for a, b in zip(offsets.tolist(), offsets[1:].tolist()):
             n = max(0, b - a - RUN + 1)
             h = np.zeros(n, np.uint64)
             for k in range(RUN):
                 h = mix(h + words[a + k : a + k + n])
             suffixes.append(h.view(np.int64))
+            contents.append(int.from_bytes(hashlib.blake2b(words[a:b].tobytes(), digest_size=8).digest(), "little", signed=True))
         opened = [any(k == OPEN for k, _ in page) for page in found]
-        yield pa.record_batch([batch.column("host"), batch.column("page"), pa.array(opened, pa.bool_()), pa.array(suffixes, pa.list_(pa.int64()))], names=["host", "page", "opened", "suffixes"])
+        yield pa.record_batch([batch.column("host"), batch.column("page"), pa.array(opened, pa.bool_()), pa.array(contents, pa.int64()), pa.array(suffixes, pa.list_(pa.int64()))], names=["host", "page", "opened", "content", "suffixes"])
 
 
 def _proven(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,8 +191,9 @@ def _record(rows: list[tuple], names: tuple, kinds: tuple) -> pa.RecordBatch:
 def keep_unique(kinds: list[int], texts: list[str], covered: list[int]) -> str:
     """Article blocks and what isn't covered in open ones. covered: starts of repeated runs.
 
-    A covered stretch is cut out of a block if it is the whole block or has RUN words there, so a run that only reaches
-    into a block from the next one leaves it whole.
+    A block with half of its words or fewer covered stays whole. Of others a covered stretch is cut out if it is the whole
+    block or has RUN words there, so a run that only reaches into a block from the next one leaves it whole. If no text
+    would be left, nothing tells the page's own text from its host's, and all open blocks stay.
     """
     flags: set[int] = set()
     for start in covered:
@@ -199,7 +206,7 @@ def keep_unique(kinds: list[int], texts: list[str], covered: list[int]) -> str:
         words = text.split()
         n = len(re.findall(r"[^\x20\x09-\x0d]+", text))  # as the stream's words were counted
         if kind == OPEN:
-            if flags and n == len(words):
+            if n == len(words) and 2 * sum(w in flags for w in range(at, at + n)) > n:
                 kept: list[str] = []
                 for hit, stretch in groupby(enumerate(words, at), key=lambda w: w[0] in flags):
                     part = [w for _, w in stretch]
@@ -209,7 +216,7 @@ def keep_unique(kinds: list[int], texts: list[str], covered: list[int]) -> str:
             if text:
                 out.append(text)
         at += n
-    return "\n\n".join(out)
+    return "\n\n".join(out or [t for k, t in zip(kinds, texts) if k == OPEN])
 
 
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,15 +230,18 @@ def _rows(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.xxhash64(host).alias("host"), F.xxhash64("page_id", "url", "html").alias("page"), F.col("html").cast("string").alias("html"))
 
 
-def repeated_runs(pages: DataFrame, run_pages: int = PAGES) -> DataFrame:
+def repeated_runs(pages: DataFrame, run_pages: int = PAGES, share: float = SHARE) -> DataFrame:
     """page (a hash of the row), opened, covered: where in each page's stream a repeated run of its host starts.
 
     The suffixes, not the texts, are shuffled; a hot host is dealt by the prefixes of its suffixes, and a hot prefix is
     counted by partial sums.
     """
-    streams = materialize(_rows(pages).mapInArrow(_streams, "host long, page long, opened boolean, suffixes array<long>"), "streams")
-    suffixes = streams.select("host", "page", "opened", F.posexplode("suffixes").alias("start", "prefix"))
-    repeated = suffixes.groupBy("host", "prefix", "page").count().groupBy("host", "prefix").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= run_pages)
+    streams = materialize(_rows(pages).mapInArrow(_streams, "host long, page long, opened boolean, content long, suffixes array<long>"), "streams")
+    suffixes = streams.select("host", "page", "opened", "content", F.posexplode("suffixes").alias("start", "prefix"))
+    counted = suffixes.groupBy("host", "prefix", "content").count().groupBy("host", "prefix").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= run_pages)
+    hosts = streams.where(F.size("suffixes") > 0).groupBy("host", "content").count().groupBy("host").agg(F.count(F.lit(1)).alias("contents")).where(F.col("contents") >= run_pages)
+    hosts = hosts.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))).withColumn("part", F.col("part").cast("long"))
+    repeated = counted.withColumn("part", F.pmod("prefix", F.lit(PARTS)).cast("long")).join(hosts, ["host", "part"]).where(F.col("pages") >= share * F.col("contents"))
     repeated = materialize(repeated.select("host", "prefix"), "repeated")
     return suffixes.join(repeated, ["host", "prefix"], "left_semi").groupBy("page", "opened").agg(F.collect_set("start").alias("covered"))
 
