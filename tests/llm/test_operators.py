@@ -194,6 +194,25 @@ def test_near_duplicates_of_a_key_too_large_to_compare(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == brute_components(texts, 4, 80)[0]
 
 
+def test_no_task_holds_a_key_too_large_to_compare(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "COMPARED", 5)
+
+    def bounded(make):
+        def checked(batches):
+            rest = list(batches)
+            for part in minhash._runs(iter(rest), 1):
+                assert all(b - a <= 5 for a, b in minhash._bounds(part, 1))
+            yield from make(iter(rest))
+
+        return checked
+
+    monkeypatch.setattr(minhash, "_met", bounded(minhash._met))
+    monkeypatch.setattr(minhash, "_near", bounded(minhash._near))
+    texts = near_copies(60)
+    got = minhash.assign(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute_components(texts, 4, 80)[0]
+
+
 def test_near_duplicates_nulls_and_empty(spark, docs, empty):
     got = minhash.assign(docs).collect()
     assert len(got) == docs.count() and [r.kept for r in got if r.doc_id is None] == [False]

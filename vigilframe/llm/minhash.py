@@ -6,7 +6,10 @@ pigeonhole principle two signatures that differ in fewer than ``chunks * (errors
 pair meets under a key. (With the defaults, two texts at a similarity of 0.8 miss each other with a chance of 0.0002.)
 
 Texts with the same set form a class and only its smallest document goes on. Under a key the signatures are compared
-with each other and joined into a forest, so a key of n members sends n - 1 rows at most. The connected candidates form
+with each other and joined into a forest, so a key of n members sends n - 1 rows at most. Keys of more than ``COMPARED``
+members are counted first: their members are linked with the first one where they stand, and neither they nor their
+signatures are dealt by the key (there are 1/COMPARED as many such keys as all rows have keys, and they are broadcast),
+so no task holds more than ``COMPARED`` members of a key. The connected candidates form
 clusters; the sets of a cluster's texts are compared exactly in blocks, and a task sends a forest of confirmed links.
 Components of these links, carried back to all members of the classes, are the result.
 
@@ -126,9 +129,6 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, links = part.column("doc_id").to_numpy(), []
         signature = _unpack(part.column("signature").combine_chunks())
         for a, b in _bounds(part, 1):
-            if b - a > COMPARED:
-                links += [(x, int(ids[a])) for x in ids[a + 1 : b].tolist()]
-                continue
             forest, trees = Forest(), 1
             for i in range(a + 1, b):
                 if trees == 1 and (signature[a] != signature[i]).sum() <= APART:  # no other tree is left to be joined
@@ -212,9 +212,12 @@ def assign(docs: DataFrame, words: int = 4, percent: int = 80, id_col: str = "do
     signed = materialize(_sign(texts, words, chunks, width), "signed")
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = materialize(full.groupBy("f1", "f2").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), F.min("signature").alias("signature")), "classes")
-    met = _keys(classes, chunks, width, errors).repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_met, "key long, doc_id long")
+    keyed = _keys(classes, chunks, width, errors)
+    hot = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).where(F.col("n") > COMPARED).select("key", "first"), "hot")
+    stars = linked(keyed.join(F.broadcast(hot), "key").where("doc_id <> first").select("doc_id", "first"), iter)
+    met = keyed.join(F.broadcast(hot), "key", "left_anti").repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_met, "key long, doc_id long")
     near = met.join(classes.select("doc_id", "signature"), "doc_id").select("key", "doc_id", "signature")
-    clusters = components(linked(near.repartition("key").sortWithinPartitions("key", "doc_id"), _near))
+    clusters = components(linked(near.repartition("key").sortWithinPartitions("key", "doc_id"), _near).unionByName(stars))
     members = clusters.unionByName(clusters.select(F.col("component").alias("node"), "component").distinct())
     members = members.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")).join(classes.select("doc_id", "n_shingles"), "doc_id")
     members = materialize(members, "members")
