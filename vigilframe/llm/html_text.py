@@ -1,17 +1,17 @@
-"""Main text of web pages, with boilerplate found by a suffix array of each host (operator 1).
+"""Main text of web pages, with boilerplate found by runs of words that a host repeats (operator 1).
 
 A page is cut into blocks, each of one of three kinds: *article* (inside ``article`` or ``main``), *chrome* (menus,
 headers, footers, sidebars, notices, adverts, forms, reader comments, by element, role, class or id) and *open* (all
-else). The words of chrome and open blocks are the page's stream. All suffixes of a host's streams are sorted by their
-first ``RUN`` words (a suffix array cut at the shortest run of interest: equal prefixes meet in one place of the sorted
-order, wherever their pages are stored); a run of at least ``RUN`` words that stands in at least ``PAGES`` distinct streams
+else). The words of chrome and open blocks are the page's stream. Every suffix of a host's streams is hashed by its first
+``RUN`` words and the hashes are counted; no suffixes are sorted and no neighbours compared, so this is no suffix array,
+and longer repeats are known only as ``RUN`` words that follow on each other. A run of at least ``RUN`` words that stands in at least ``PAGES`` distinct streams
 of the host and in at least a ``SHARE`` of them is repeated, so what counts doesn't shrink with the size of the host and
 copies of one stream count once. Repeated runs are cut out of open blocks that consist mostly of them; all other open
 blocks stay whole, and so do all of a page that would be left without text. Article blocks are proven by the markup and
 stay whole, chrome goes.
 
 Articles are not put into the stream: copies of an article on one host are its text, not boilerplate, and a page whose
-markup names its article needs no guess about it. Pages that name no article rest on the suffix array alone.
+markup names its article needs no guess about it. Pages that name no article rest on the counts alone.
 
 Defined results: null and empty html give the empty text; a null url is a host of its own; broken markup (unclosed or
 stray tags) never drops text; a null page_id is kept; repeated rows count as one page and are returned each; extra columns
