@@ -4,8 +4,8 @@ A document is the ids of its text, then a separator id; it is cut into pieces of
 longer. Pieces are dealt by hash into groups of about ``group`` pieces. Each group is packed by best-fit decreasing:
 a segment tree over the remaining capacities finds the tightest open sequence in O(log capacity) steps a piece.
 
-The tokenizer splits at white space, so the ids of a text are those of its space-separated words in a row; each Python
-worker keeps a bounded table from word to ids, and only words not in it are encoded.
+The tokenizer splits at white space and between letters and signs, so the ids of a text are those of its words and signs
+in a row; each Python worker keeps a bounded table from word to ids, and only words not in it are encoded.
 
 Defined results: null and empty texts are the separator alone; a null id is kept as null; repeated rows are packed
 once each; an empty table gives no rows; only the id and text columns are read.
@@ -16,11 +16,11 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,88 +31,97 @@ SEPARATOR = 0
 VOCABULARY = "word_bpe_49k.json"
 #: Pieces in a group: large enough that the last sequences of a group, filled less well, hardly count.
 GROUP = 8192
-#: Words and runs of letters in a worker's tables (under 160 MB), and the longest word that is kept there.
-WORDS, RUNS, WORD_CHARS = 250_000, 400_000, 64
+#: Words in a worker's table (under 150 MB), and the longest that are kept there.
+WORDS, WORD_CHARS = 400_000, 64
 SEED = 7
-#: The tokenizer's own split, for words of Latin letters: what it does with one run doesn't depend on those around it.
-RUN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-ENDS = frozenset(".,;:!?")
-LATIN = regex.compile(r"[!-~\u00a1-\u017f]+")
+#: Signs between which and a letter the tokenizer's own pattern always cuts (an apostrophe and a bar may belong to a word).
+SIGNS = r"""[0-9!"#$%&()*+,\-./:;<=>?@\[\\\]^_`{}~]"""
+#: Stands between new words that aren't runs of letters: a token of its own that joins with nothing.
+BETWEEN = "<|endoftext|>"
+#: Runs of letters that are encoded as one text.
+TOGETHER = 5000
 
 
 class WordEncoder:
-    """Ids of texts. A batch is split at spaces and line ends, so each distinct word of it is looked up once; words are
-    made of runs, of which only those not met before are encoded. Words that aren't Latin are encoded as they are."""
+    """Ids of texts. A batch is split at spaces, line ends and between letters and signs, and each distinct word of it,
+    with A-Z in lower case as the vocabulary has them, is looked up once. Words not in the table are encoded together.
+
+    The ids of all words in the table stand in one flat array. When the table is full, the words that no later batch asked
+    for are forgotten.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.last = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
-        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _encode_runs(self, runs: list[str]) -> list[bytes]:
-        """Many runs as one text: the last id of each run, and only that, is that of a word's end."""
-        out = []
-        for k in range(0, len(runs), 20_000):
-            part = runs[k : k + 20_000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) != len(part):
-                out += self._encode(part)
-                continue
-            raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
-            out += [raw[a:b] for a, b in zip(at, at[1:])]
-        return out
-
-    @staticmethod
-    def _split(word: str) -> list[str] | None:
-        """The runs of a Latin word in lower case, None for other words."""
-        low = word.lower()
-        if low.isalpha() and low.isascii():
-            return [low]
-        if low[-1:] in ENDS and low[:-1].isalpha() and low.isascii():
-            return [low[:-1], low[-1]]
-        return RUN.findall(low) if LATIN.fullmatch(word) and "<|" not in word else None
-
-    def _new(self, words: list[str]) -> list[bytes]:
-        split = [self._split(w) for w in words]
-        whole = [w for w, s in zip(words, split) if s is None]
-        others = dict(zip(whole, self._encode(whole)))
-        split = [[] if s is None else s for s in split]
-        missing = list({r for s in split for r in s}.difference(self.runs))
-        own = dict(zip(missing, self._encode_runs(missing)))
-        if len(self.runs) + len(own) > RUNS:
-            own |= {r: self.runs[r] for s in split for r in s if r not in own}
-            self.runs = {}
-        self.runs.update((r, ids) for r, ids in own.items() if len(r) <= WORD_CHARS)
-        return [others[w] if w in others else b"".join([own[r] if r in own else self.runs[r] for r in s]) for w, s in zip(words, split)]
-
-    def _lookup(self, words: list[str]) -> list[bytes]:
-        found = list(map(self.words.get, words))
-        new = [k for k, ids in enumerate(found) if ids is None]
-        if len(self.words) + len(new) > WORDS:
-            self.words = {}
-        for k, ids in zip(new, self._new([words[k] for k in new])):
-            found[k] = ids
-            if len(words[k]) <= WORD_CHARS:
-                self.words[words[k]] = ids
-        return found
+        size = self.tokenizer.get_vocab_size() + 1
+        self.last, self.mark = np.zeros(size, bool), np.zeros(size, bool)
+        self.last[[i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token.endswith("</w>")]] = True
+        self.mark[self.tokenizer.token_to_id(BETWEEN)] = True
+        self.at: dict[str, int] = {}
+        self.length, self.flat, self.asked = np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, bool)
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _runs(self, words: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+        """Ids and their numbers of runs of letters, encoded as one text: the last id of each, and only that, is that of a
+        word's end."""
+        ids = self._ids(" ".join(words))
+        ends = np.flatnonzero(self.last[ids]) + 1
+        return ([ids], np.diff(ends, prepend=0)) if len(ends) == len(words) else self._others(words)
+
+    def _others(self, words: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+        ids = self._ids("".join(w + BETWEEN for w in words))
+        marks = self.mark[ids]
+        return [ids[~marks]], np.diff(np.flatnonzero(marks), prepend=-1) - 1
+
+    def _singly(self, words: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+        ids = [self._ids(w) for w in words]
+        return ids, np.array(list(map(len, ids)), np.int64)
+
+    def _encode(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(the words in another order, their ids in a row, the numbers of their ids)."""
+        runs = [w for w in words if w.isalpha()]
+        rest = [w for w in words if not w.isalpha()]
+        plain, odd = [w for w in rest if "<|" not in w], [w for w in rest if "<|" in w]
+        found = [self._runs(runs[k : k + TOGETHER]) for k in range(0, len(runs), TOGETHER)] + [self._others(plain), self._singly(odd)]
+        return [*runs, *plain, *odd], np.concatenate([i for ids, _ in found for i in ids]), np.concatenate([n for _, n in found])
+
+    def _forget(self) -> None:
+        keep = self.asked if 2 * self.asked.sum() < len(self.asked) else np.zeros(len(self.asked), bool)
+        self.flat, self.length = self.flat[np.repeat(keep, self.length)], self.length[keep]
+        place = np.cumsum(keep) - 1
+        self.at = {w: int(place[k]) for w, k in self.at.items() if keep[k]}
+        self.asked = np.zeros(len(self.length), bool)
+
+    def _lookup(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of each word, the numbers of ids by place, the ids of all places in a row)."""
+        if len(self.length) > WORDS:
+            self._forget()
+        place = np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
+        self.asked[place[place >= 0]] = True
+        new = [words[k] for k in np.flatnonzero(place < 0).tolist()]
+        if not new:
+            return place, self.length, self.flat
+        short, long = self._encode([w for w in new if len(w) <= WORD_CHARS]), self._encode([w for w in new if len(w) > WORD_CHARS])
+        n = len(self.length)
+        self.at.update(zip(short[0], range(n, n + len(short[0]))))
+        self.flat, self.length = np.concatenate([self.flat, short[1]]), np.concatenate([self.length, short[2]])
+        self.asked = np.r_[self.asked, np.zeros(len(short[0]), bool)]
+        here = dict(zip(long[0], range(len(self.length), len(self.length) + len(long[0]))))  # not kept
+        place[place < 0] = [here[w] if w in here else self.at[w] for w in new]
+        return place, np.concatenate([self.length, long[2]]), np.concatenate([self.flat, long[1]])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts as uint32, offsets of the texts)."""
-        split = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
+        texts = pc.replace_substring(pc.ascii_lower(texts.fill_null("")), "\n", " ")
+        texts = pc.replace_substring_regex(texts, rf"([^\PL\x{{130}}])({SIGNS})", r"\1 \2")  # its lower case ends in a sign
+        texts = pc.replace_substring_regex(texts, rf"({SIGNS})(\pL)", r"\1 \2")
+        split = pc.split_pattern(texts, " ")
         word = split.flatten().dictionary_encode()
-        ids = self._lookup(word.dictionary.to_pylist())
-        length = np.array([len(b) >> 2 for b in ids], np.int64)
-        start, flat = np.cumsum(length) - length, np.frombuffer(b"".join(ids), np.uint32)
-        index = word.indices.to_numpy()
+        place, length, flat = self._lookup(word.dictionary.to_pylist())
+        start, index = np.cumsum(length) - length, place[word.indices.to_numpy()]
         n = length[index]
         ends = np.cumsum(n)
         out = flat[np.repeat(start[index] - (ends - n), n) + np.arange(n.sum())]
