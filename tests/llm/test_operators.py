@@ -1,6 +1,7 @@
 """The training-data operators against brute force, round trips and hand-made edge cases."""
 
 import bisect
+import hashlib
 import math
 import random
 import re
@@ -66,6 +67,36 @@ def test_exact_index_appends_only_new(spark, docs):
     assert second.columns == docs.columns
 
 
+def test_exact_index_over_three_batches(spark):
+    """Larger ids that arrive late, counts over all batches, and the same after the index is made compact."""
+    rng = random.Random(3)
+    index, seen = exact_dedup.DigestIndex(spark, "digests_of_three", 4), {}
+    for batch in range(3):
+        rows = [(rng.randrange(1000) + (500 if batch == 2 else 0), rng.choice(["a", "A", "b", "ä", "Ä", None, "", f"own {batch}"])) for _ in range(40)]
+        for k, t in rows:
+            seen.setdefault((t or "").translate(ASCII), []).append(k)
+        got = exact_dedup.assign(spark.createDataFrame(rows, "doc_id long, text string"), index).collect()
+        want = sorted((k, max(seen[x]), len(seen[x]), k == max(seen[x]), hashlib.sha256(x.encode()).hexdigest()) for k, t in rows for x in [(t or "").translate(ASCII)])
+        assert sorted(map(tuple, got)) == want
+        if batch == 1:
+            index.compact()
+            assert index.read().count() == len(seen)
+    assert {(r.keep_id, r.group_size) for r in index.groups().collect()} == {(max(v), len(v)) for v in seen.values()}
+    plan = index.groups()._jdf.queryExecution().toString()
+    assert "Exchange" not in plan
+    index.drop()
+
+
+def test_exact_rows_of_one_id(spark):
+    rows = spark.createDataFrame([(1, "a", "x"), (1, "A", "y"), (1, "a", "x")], "doc_id long, text string, keep_id string")
+    assert [tuple(r) for r in exact_dedup.keep_one(rows).collect()] == [(1, "a", "x")]
+
+
+def test_exact_empty(spark, empty):
+    index = exact_dedup.DigestIndex(spark, "digests_of_none", 4)
+    assert exact_dedup.assign(empty, index).count() == 0 and index.append(empty).count() == 0
+
+
 # --- operator 8
 
 

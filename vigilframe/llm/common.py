@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Hashable, Iterator
 from typing import Any
@@ -18,8 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a local one where that is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "file:/tmp/vigilframe-checkpoints"
+    """The folder that all executors share: ``spark.checkpoint.dir``. Where that is unset, a local master (tests) gets a
+    folder of the machine, a cluster an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return named or "file:/tmp/vigilframe-checkpoints"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import exact_dedup, html_text, language, minhash, nearest, packing, quality, sentencepiece, sharding, token_counts
 
 
@@ -19,7 +17,6 @@ def queries() -> dict:
         "op7_minhash": minhash.op7_minhash,
         "op8_sharding": sharding.op8_sharding,
         "op9_language": language.op9_language,
-        "pipeline": corpus_pipeline.run,
     }
 
 
