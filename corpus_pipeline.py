@@ -34,8 +34,11 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id stays; the digests go into a new index."""
-    return exact_dedup.DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}").append(docs)
+    """Of equal texts the document with the largest id stays; the digests go through an index of this run."""
+    index = exact_dedup.DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}", id_type=docs.schema["doc_id"].dataType.simpleString())
+    kept = index.append(docs)
+    index.drop()
+    return kept
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
