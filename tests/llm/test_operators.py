@@ -218,6 +218,26 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, words):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_near_duplicates_in_two_rounds(spark, monkeypatch):
+    """Chains of small edits: most texts of a cluster aren't similar to its hubs, so round two has to find their links."""
+    monkeypatch.setattr(minhash, "BLOCK_TEXTS", 6)
+    monkeypatch.setattr(minhash, "HUBS", 2)
+    rng, texts = random.Random(8), {}
+    for chain in range(3):
+        w = [f"c{chain}w{k}" for k in range(90)]
+        for k in range(40):
+            for _ in range(rng.choice([0, 1, 1, 2, 3])):
+                w[rng.randrange(len(w))] = f"y{rng.randrange(9999)}"
+            texts[len(texts)] = " ".join(w)
+    order = list(texts)
+    rng.shuffle(order)
+    texts = {n: texts[k] for n, k in enumerate(order)}
+    asked, compared = [], minhash._compared
+    monkeypatch.setattr(minhash, "_compared", lambda rows, percent: asked.append(1) or compared(rows, percent))
+    got = minhash.assign(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute_components(texts, 4, 80)[0] and len(asked) == 2
+
+
 def test_near_duplicates_of_a_key_too_large_to_compare(spark, monkeypatch):
     monkeypatch.setattr(minhash, "COMPARED", 5)
     texts = near_copies(120, 2)
