@@ -445,15 +445,38 @@ def test_nearest_recall(spark):
     assert nearest.search(table.limit(0), table.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("radius", [0, 3, 15, 16, 40, 64])
-def test_index_finds_every_code_within_the_radius(radius):
+def test_nearest_in_blocks_and_on_the_table(spark, sf_dir, monkeypatch):
+    """Several blocks of rows and of queries give what one block gives; recall on the test table is against brute force."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    found = {(r.query_id, r.rank): (r.vec_id, round(r.score, 12)) for r in nearest.op2_nearest(spark, sf_dir).collect()}
+    ids, x = nearest.valid(*(rows.toArrow()[c].combine_chunks() for c in ("vec_id", "embedding")))
+    unit = x / nearest.norms(x)[:, None]
+    hit = total = 0
+    for q in np.flatnonzero(ids % 50 == 0).tolist():
+        near = np.lexsort((ids, -(unit @ unit[q])))
+        best = [int(ids[k]) for k in near if k != q][:5]
+        hit, total = hit + len({found[int(ids[q]), r][0] for r in range(1, 6)} & set(best)), total + 5
+    assert hit >= 0.9 * total and len(found) == total
+    share = nearest.retrieved(rows, rows.where("vec_id % 50 = 0")).collect()
+    assert all(r.within <= r.looked <= r.rows == len(ids) for r in share) and len(share) == total // 5
+    monkeypatch.setattr(nearest, "BLOCK", 64)
+    monkeypatch.setattr(nearest, "QUERIES", 4)
+    small = nearest.op2_nearest(spark, sf_dir)
+    assert {r.query_id for r in small.collect()} == {q for q, _ in found} and small.count() == len(found)
+
+
+@pytest.mark.parametrize("radius", [0, 3, 15, 16, 40, 60])
+@pytest.mark.parametrize("n", [400, 1500])
+def test_index_finds_every_code_within_the_radius(radius, n):
     rng = np.random.default_rng(radius)
-    codes = rng.integers(0, 1 << 16, (400, 4), dtype=np.uint16)
-    codes[:50] ^= codes[50:100] & rng.integers(0, 4, (50, 4), dtype=np.uint16)
+    codes = rng.integers(0, 2, (n, 60)).astype(bool)
+    codes[:50] ^= codes[50:100] & (rng.random((50, 60)) < 0.1)
     index = nearest.Index(codes)
-    for q in range(0, 400, 37):
-        want = np.flatnonzero(np.bitwise_count(codes ^ codes[q]).sum(axis=1) <= radius)
-        assert index.within(codes[q], radius).tolist() == want.tolist()
+    assert index.length == (8 if n == 400 else 10)
+    for q in range(0, n, 37):
+        want = np.flatnonzero((codes ^ codes[q]).sum(axis=1) <= radius)
+        got, looked = index.within(index.substrings(codes[q : q + 1])[0], nearest.words(codes[q : q + 1])[0], radius)
+        assert got.tolist() == want.tolist() and looked >= len(got)
 
 
 # --- operator 10

@@ -4,35 +4,36 @@ Fit: several rotations are learned by iterative quantisation on a bounded sample
 rotated coordinates. The Hamming radius is learned on the sample too: the distance that ``COVERED`` of the true
 neighbours there keep to (in all data the neighbours are nearer, so the share found is larger).
 
-Search: codes are split into substrings of 16 bits, each indexed by value within a block of rows. By the pigeonhole
-principle a code within the radius is near the query's in some substring, so probing each substring's index within its
-share of the radius retrieves every such code; candidates are checked on the whole code and reranked by the cosine of the
-original vectors in double precision. Where a block gives fewer than k, the radius grows until it does. Queries go to the
-tasks in blocks of bounded size, each against all rows.
+Search: rows and queries meet in blocks of bounded size, dealt by Spark; neither goes through the driver. In a block the
+codes are split into substrings of about log2(rows) bits, each with a table from its value to the rows that have it. By
+the pigeonhole principle a code within the radius is near the query's in some substring: the values within a substring's
+share of the radius are enumerated by flipping bits and looked up, which retrieves every such code; candidates are checked
+on the whole code and reranked by the cosine of the original vectors in double precision. Where a block gives fewer than
+k, the radius grows until it does. ``retrieved`` tells what share of the rows the tables and the radius let through.
 
 Defined results: vectors that are null, zero, of another length than most of the sample's, or hold null or non-finite
 components take no part, nor do rows with a null id; a query never finds rows of its own id; ties go to the smaller id;
-of rows that repeat an id the nearest counts; empty tables give no rows; other columns are ignored.
+of rows that repeat an id the nearest counts, of queries that repeat one the smallest vector; empty tables give no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import partitions, table
 
 SAMPLE, SAMPLE_QUERIES = 16_384, 512
 ROTATIONS, STEPS = 4, 15
 COVERED = 0.98
-#: Rows of an index block and queries sent to the tasks at a time.
-BLOCK, QUERIES = 65_536, 8_192
-SUBSTRING = 16
+#: Rows and queries of a block, at most (but for chance: both are dealt by hash).
+BLOCK, QUERIES = 32_768, 8_192
+#: Bits of a substring, at least and at most.
+SHORTEST, LONGEST = 8, 16
 
 
 def valid(ids: pa.Array, vectors: pa.Array, length: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -70,17 +71,15 @@ class Codes:
         self.radius = self._radius(sample, k)
 
     def encode(self, x: np.ndarray) -> np.ndarray:
-        """Codes as rows of 16-bit substrings, their number filled up to whole 64-bit words."""
+        """Codes as rows of bits."""
         unit = x / norms(x)[:, None] - self.mean
-        bits = np.concatenate([unit @ r > 0 for r in self.rotations], axis=1)
-        packed = np.packbits(bits, axis=1)
-        return np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8))).view(np.uint16)
+        return np.concatenate([unit @ r > 0 for r in self.rotations], axis=1)
 
     def _radius(self, sample: np.ndarray, k: int) -> int:
         if len(sample) <= 2 * k:
             return self.bits
         unit = sample / norms(sample)[:, None]
-        codes = self.encode(sample).view(np.uint64)
+        codes = words(self.encode(sample))
         apart = []
         for q in range(min(SAMPLE_QUERIES, len(sample))):
             s = unit @ unit[q]
@@ -93,36 +92,55 @@ class Codes:
 class Index:
     """Codes of a block, each substring indexed by its values."""
 
-    def __init__(self, codes: np.ndarray):
-        self.codes, self.words, self.tables = codes, np.ascontiguousarray(codes).view(np.uint64), []
-        for s in range(codes.shape[1]):
-            values, where, counts = np.unique(codes[:, s], return_inverse=True, return_counts=True)
-            self.tables.append((values, np.argsort(where, kind="stable"), np.cumsum(counts) - counts, counts))
-
-    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """All rows whose codes differ from ``code`` in at most ``radius`` bits."""
+    def __init__(self, bits: np.ndarray):
+        n, width = bits.shape
+        self.length = min(LONGEST, max(SHORTEST, int(np.log2(max(n, 1)))))
+        self.words, self.tables = words(bits), []
+        for values in self.substrings(bits).T:
+            order = np.argsort(values, kind="stable")
+            self.tables.append((order, np.searchsorted(values[order], np.arange((1 << self.length) + 1))))
+        flips = np.arange(1 << self.length)
+        weight = np.bitwise_count(flips)
+        self.flips = flips[np.argsort(weight, kind="stable")]
+        self.ball = np.cumsum(np.bincount(weight, minlength=self.length + 1))  # values within so many flips
+
+    def substrings(self, bits: np.ndarray) -> np.ndarray:
+        """Values of the substrings, the last one filled up with zeros (rows x substrings)."""
+        full = np.pad(bits, ((0, 0), (0, -bits.shape[1] % self.length)))
+        return full.reshape(len(bits), -1, self.length) @ (1 << np.arange(self.length))
+
+    def within(self, values: np.ndarray, code: np.ndarray, radius: int) -> tuple[np.ndarray, int]:
+        """(all rows whose codes differ from ``code`` in at most ``radius`` bits, the number of rows that were looked at).
+        values: the code's substrings."""
         share, rest = divmod(radius, len(self.tables))
-        met = np.zeros(len(self.codes), bool)
-        for s, (values, order, first, counts) in enumerate(self.tables):
+        met = np.zeros(len(self.words), bool)
+        for s, (order, first) in enumerate(self.tables):
             allowed = share if s <= rest else share - 1  # else the substrings' distances would sum up to more than radius
             if allowed < 0:
                 continue
-            hit = np.flatnonzero(np.bitwise_count(values ^ code[s]) <= allowed)
-            n = counts[hit]
-            met[order[np.repeat(first[hit] - (np.cumsum(n) - n), n) + np.arange(n.sum())]] = True
-            if met.all():
-                break
+            probed = self.flips[: self.ball[min(allowed, self.length)]] ^ values[s]
+            at = first[probed]
+            n = first[probed + 1] - at
+            met[order[np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())]] = True
         rows = np.flatnonzero(met)
-        return rows[np.bitwise_count(self.words[rows] ^ code.view(np.uint64)).sum(axis=1) <= radius]
+        return rows[np.bitwise_count(self.words[rows] ^ code).sum(axis=1) <= radius], len(rows)
+
 
+def words(bits: np.ndarray) -> np.ndarray:
+    """Codes as rows of 64-bit words, filled up with zeros."""
+    packed = np.packbits(bits, axis=1)
+    return np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8))).view(np.uint64)
 
-def _search(model: Codes, q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> pa.RecordBatch:
-    """The k nearest found of each query in one block."""
-    index, size, out = Index(model.encode(x)), norms(x), []
-    for q, query, norm, code in zip(q_ids.tolist(), queries, norms(queries), model.encode(queries)):
+
+def _search(model: Codes, q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> pa.Table:
+    """The k nearest found of each query in one block, and for each query a row without vec_id: rows, looked at, within."""
+    index, size, out, counts = Index(model.encode(x)), norms(x), [], []
+    bits = model.encode(queries)
+    for q, query, norm, values, code in zip(q_ids.tolist(), queries, norms(queries), index.substrings(bits), words(bits)):
         radius = model.radius
         while True:
-            rows = index.within(code, radius)
+            rows, looked = index.within(values, code, radius)
+            near = len(rows)
             rows = rows[ids[rows] != q]
             if len(rows) >= k or radius >= model.bits:
                 break
@@ -130,47 +148,49 @@ def _search(model: Codes, q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarra
         score = (x[rows] * query).sum(axis=1) / (size[rows] * norm)
         best = np.lexsort((ids[rows], -score))
         best = best[np.r_[True, ids[rows][best][1:] != ids[rows][best][:-1]]][:k] if len(best) else best
-        out += [(q, int(ids[rows[b]]), float(score[b])) for b in best]
-    columns = list(zip(*out)) or [(), (), ()]
-    return pa.record_batch([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["query_id", "vec_id", "score"])
+        out += [(q, int(ids[rows[b]]), float(score[b]), 0, 0, 0) for b in best]
+        counts.append((q, None, None, len(ids), looked, near))
+    columns = list(zip(*out, *counts)) if out or counts else [()] * 6
+    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()))], names=["query_id", "vec_id", "score", "rows", "looked", "within"])
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest rows of ``vectors`` found for each row of ``queries``."""
+def _found(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector_col: str) -> DataFrame:
     spark = vectors.sparkSession
     columns = [F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding")]
-    rows, asked = vectors.select(*columns), queries.select(*columns)
-    sample = rows.where("vec_id IS NOT NULL AND embedding IS NOT NULL").orderBy(F.xxhash64("vec_id")).limit(SAMPLE).toArrow()
+    rows = vectors.select(*columns).where("vec_id IS NOT NULL AND embedding IS NOT NULL")
+    asked = queries.select(*columns).where("vec_id IS NOT NULL").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    sample = rows.orderBy(F.xxhash64("vec_id")).limit(SAMPLE).toArrow()
     model = Codes(valid(sample["vec_id"].combine_chunks(), sample["embedding"].combine_chunks())[1], k)
     length = len(model.mean)
-    blocks = max(1, -(-asked.count() // (QUERIES // 2)))
-    found = []
-    for b in range(blocks):  # by hash, so a block holds about half of QUERIES
-        part = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow()
-        sent = spark.sparkContext.broadcast(valid(part["vec_id"].combine_chunks(), part["embedding"].combine_chunks(), length))
-
-        def searched(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            q_ids, q = sent.value
-            q_ids, at = np.unique(q_ids, return_index=True)
-            q, held, n = q[at], [], 0
-            for batch in batches:
-                held.append(valid(batch.column("vec_id"), batch.column("embedding"), length))
-                n += len(held[-1][0])
-                if n >= BLOCK:
-                    yield _search(model, q_ids, q, *map(np.concatenate, zip(*held)), k)
-                    held, n = [], 0
-            if n:
-                yield _search(model, q_ids, q, *map(np.concatenate, zip(*held)), k)
-
-        found.append(rows.mapInArrow(searched, "query_id long, vec_id long, score double"))
-    every = found[0]
-    for other in found[1:]:
-        every = every.unionByName(other)
-    every = every.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    n, m = rows.count(), queries.count()
+    blocks, turns = max(1, -(-2 * n // BLOCK), min(partitions(spark), n // 1024)), max(1, -(-2 * m // QUERIES))
+    # a block of rows meets every block of queries; rows that repeat an id are spread, since they are dealt by their place
+    left = rows.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
+    left = left.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
+    right = asked.withColumn("turn", F.pmod(F.xxhash64("vec_id"), F.lit(turns)).cast("int"))
+    right = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def searched(own: pa.Table, asking: pa.Table) -> pa.Table:
+        q_ids, q = valid(asking["vec_id"].combine_chunks(), asking["embedding"].combine_chunks(), length)
+        ids, x = valid(own["vec_id"].combine_chunks(), own["embedding"].combine_chunks(), length)
+        return _search(model, q_ids, q, ids, x, k)
+
+    return left.groupBy("block", "turn").cogroup(right.groupBy("block", "turn")).applyInArrow(searched, "query_id long, vec_id long, score double, rows long, looked long, within long")
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest rows of ``vectors`` found for each row of ``queries``."""
+    every = _found(vectors, queries, k, id_col, vector_col).where("vec_id IS NOT NULL").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def retrieved(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """query_id, rows, looked, within: the rows searched, those that the tables gave and those within the radius."""
+    counts = _found(vectors, queries, k, id_col, vector_col).where("vec_id IS NULL")
+    return counts.groupBy("query_id").agg(*[F.sum(c).alias(c) for c in ("rows", "looked", "within")])
+
+
 def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 nearest found of every row of ``embeddings`` whose vec_id is divisible by 50, among all other rows."""
     rows = table(spark, sf_dir, "embeddings")
