@@ -549,3 +549,69 @@ def test_open_pages_of_a_hot_host_keep_their_prose(spark):
     assert all(got[k] == prose(k) for k in range(1, 2001))
     assert all(got[k] == article for start in (3000, 4000, 5000) for k in range(start, start + 5))
     assert all(got[6000 + k] == f"{own(k, 30)} {line} {own(-k - 1, 30)}" for k in range(5))
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<article><header class="entry-header"><h1>Title</h1></header><p>Body</p></article>', "Title\n\nBody"),
+        ('<article title="The hidden cost of tea"><p>Body</p></article>', "Body"),
+        ('<article data-id="ad-77"><p>Body</p></article>', "Body"),
+        ('<article id="search-results-explained"><p>Body</p></article>', "Body"),
+        ('<article class="post category-sharing tag-menu"><p>Body</p></article>', "Body"),
+        ('<main><p class="notice">Ad<p>Real one<p>Real two</main>', "Real one\n\nReal two"),
+        ('<ul><li class="ad">ad<li>real item</ul>', "real item"),
+        ('<div id="comments"><article class="comment">nice</article></div><article class="comment">too</article><main hidden>x</main><main>Body</main>', "Body"),
+        ("<article><p>" + "long &amp; " * 60_000 + "</p></article>", ("long & " * 60_000).strip()),
+    ],
+)
+def test_markup_does_not_drop_articles(page, text):
+    assert "\n\n".join(t for k, t in html_text.blocks(page) if k != html_text.CHROME) == text
+
+
+@pytest.mark.parametrize("tasks", [1, 7])
+def test_repeated_runs_equal_brute_force(spark, tasks):
+    """Streams of few words, so that repeats of all lengths overlap, begin at the edges and reach over tasks' borders."""
+    rng, rows = random.Random(tasks), []
+    for k in range(60):
+        words = [rng.choice(["ab", "ab", "ab", "cd", "ef"]) for _ in range(rng.choice([0, 3, 5, 30, 120]))]
+        rows.append((k, f"https://h{k % 3}.example/{k}", f"<div><p>{' '.join(words)}</p></div>"))
+    rows += [(100 + k, u, h) for k, (_, u, h) in enumerate(rows[:12])]  # copies of streams
+    parsed = html_text.parse(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", tasks)
+        got = html_text.repeated_runs(parsed).join(parsed.select("page", "page_id"), "page").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    streams = {k: re.findall(r"[a-z]+", h[8:-10]) for k, _, h in rows}
+    host = {k: u.split("/")[2] for k, u, _ in rows}
+    seen, contents = {}, {}
+    for k, w in streams.items():
+        if len(w) >= 5:
+            contents.setdefault(host[k], set()).add(tuple(w))
+        for i in range(len(w) - 4):
+            seen.setdefault((host[k], tuple(w[i : i + 5])), set()).add(tuple(w))
+    want = {}
+    for k, w in streams.items():
+        starts = {i for i in range(len(w) - 4) if len(seen[host[k], tuple(w[i : i + 5])]) >= max(3, 0.5 * len(contents[host[k]]))}
+        if starts:
+            want[k] = starts
+    assert {r.page_id: set(r.covered) for r in got} == want and want
+
+
+def test_pages_without_article_tags(spark, sf_dir):
+    """The test pages, each host's boilerplate made the same on all of its pages and the tags that name articles taken out:
+    the boilerplate goes, the articles stay."""
+    plain = lambda h: re.sub(r"<(/?)(article|main)[^>]*>", r"<\1div>", h)
+    whole = {r.page_id: r.text for r in html_text.op1_html_text(spark, sf_dir).collect()}
+    source = spark.read.parquet(f"{sf_dir}/pages.parquet").limit(40).collect()
+    line = lambda k: " ".join(f"{x}of{k}" for x in "visit our other pages and tell all your friends about them".split())
+    rows = [(r.page_id, f"https://h{r.page_id % 4}.example/{r.page_id}", plain(r.html.replace("</body>", "") + f"<div>{line(r.page_id % 4)}</div>")) for r in source if r.html]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows) > 20
+    assert all(got[k] == whole[k] for k, _, _ in rows)
+
+
+def test_html_empty_table(spark):
+    assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string, text string")).count() == 0

@@ -1,21 +1,29 @@
-"""Main text of web pages, with boilerplate found by runs of words that a host repeats (operator 1).
+"""Main text of web pages, with boilerplate found by a suffix array over each host's pages (operator 1).
 
-A page is cut into blocks, each of one of three kinds: *article* (inside ``article`` or ``main``), *chrome* (menus,
-headers, footers, sidebars, notices, adverts, forms, reader comments, by element, role, class or id) and *open* (all
-else). The words of chrome and open blocks are the page's stream. Every suffix of a host's streams is hashed by its first
-``RUN`` words and the hashes are counted; no suffixes are sorted and no neighbours compared, so this is no suffix array,
-and longer repeats are known only as ``RUN`` words that follow on each other. A run of at least ``RUN`` words that stands in at least ``PAGES`` distinct streams
-of the host and in at least a ``SHARE`` of them is repeated, so what counts doesn't shrink with the size of the host and
-copies of one stream count once. Repeated runs are cut out of open blocks that consist mostly of them; all other open
-blocks stay whole, and so do all of a page that would be left without text. Article blocks are proven by the markup and
-stay whole, chrome goes.
+A page is parsed once and cut into blocks, each of one of three kinds: *article* (inside ``article`` or ``main``), *chrome*
+(menus, headers, footers, sidebars, notices, adverts, forms, reader comments, by element, role, class or id) and *open*
+(all else). The words of chrome and open blocks are the page's stream.
 
-Articles are not put into the stream: copies of an article on one host are its text, not boilerplate, and a page whose
-markup names its article needs no guess about it. Pages that name no article rest on the counts alone.
+The suffixes of all streams of a host are sorted by their words' numbers (range partitioning on host and the first
+``DEPTH`` words, so a hot host and a hot beginning are spread over many tasks). Neighbours are compared: suffixes that follow on each other with
+at least ``RUN`` words in common are an interval of the array, and its pages are counted, copies of one stream once. An
+interval that reaches over the border of a task is summed from its parts. Longer repeats are intervals of each of their
+suffixes, so the maximal repeated runs of a page are the unions of its suffixes' common beginnings. A run is repeated if at
+least ``PAGES`` distinct streams of the host have it and at least a ``SHARE`` of them, so what counts doesn't shrink with
+the size of the host. What such runs cover is cut out of open blocks that consist mostly of them; all other open blocks
+stay whole, and so do all of a page that would be left without text.
+
+Article blocks are proven by the markup and stay whole, chrome goes. Articles are not put into the stream: copies of an
+article on one host are its text, not boilerplate, and a page whose markup names its article needs no guess about it. Pages
+that name no article rest on the suffix array alone.
+
+Markup: an ``article`` is chrome only where it is hidden, inside chrome, or its first class is a chrome word as it stands
+(``class="comment"``), ``main`` only where it is hidden or inside chrome. Inside an article a header is its own. Paragraphs,
+items and rows end where the next one begins.
 
 Defined results: null and empty html give the empty text; a null url is a host of its own; broken markup (unclosed or
-stray tags) never drops text; a null page_id is kept; repeated rows count as one page and are returned each; extra columns
-are ignored.
+stray tags) drops no text but that of elements it leaves open inside chrome; a null page_id is kept; repeated rows count
+as one page and are returned each; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,6 +43,8 @@ from .common import materialize, slices, table
 from .shingles import mix, word_hashes
 
 RUN, PAGES, SHARE = 5, 3, 0.5
+#: Words of a suffix by which it is sorted, and suffixes that a task puts into a batch.
+DEPTH, AT_ONCE = 8, 100_000
 #: Parts into which the repeated prefixes of a host are dealt when they meet its number of streams.
 PARTS = 64
 ARTICLE, OPEN, CHROME = 0, 1, 2
@@ -50,6 +60,10 @@ CHROME_WORDS = frozenset(
     "comment comments commentlist disqus reply replies respond discussion related recommended share sharing social newsletter subscribe signup login form search pagination pager skip".split()
 )
 BESIDE = frozenset("has with no without".split())
+#: Chrome words that say nothing inside an article.
+OWN_WORDS = frozenset("header masthead".split())
+#: Elements that a new one ends: a paragraph by any block, an item or row by the next.
+ENDED = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody"]), "option": frozenset(["option"])}
 #: Elements that keep their place on the stack until they are closed; all others but RAW only separate blocks or not.
 BOXES = CHROME_TAGS | frozenset("html body div section article main ul ol dl table figure details fieldset blockquote center address hgroup".split())
 #: Elements inside which text runs on.
@@ -57,7 +71,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 TAG = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>""", re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 WORD = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -67,22 +81,28 @@ def _kind_of(tag: str, attributes: str, inside: int) -> int:
     if inside == CHROME:
         return CHROME
     words: set[str] = set()
-    role, hidden = "", False
+    role, hidden, first = "", False, ""
     if attributes:
         for name, value in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'")
             if name == "role":
-                role = value.lower()
+                role = value.strip().lower()
             elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 hidden = True
             elif name in ("class", "id"):
+                if name == "class":
+                    first = (value.lower().split() or [""])[0]
                 for one in value.split():  # "with-sidebar" says what stands beside a box, not what it is
                     own = WORD.findall(CAMEL.sub(" ", one).lower())
                     words.update(own if BESIDE.isdisjoint(own) else ())
-    if hidden or role in CHROME_ROLES or words & CHROME_WORDS and tag not in ("body", "html", "main"):
+    if hidden:
         return CHROME
     if tag in ("article", "main") or role in ("article", "main"):
-        return ARTICLE
+        return CHROME if tag == "article" and first in CHROME_WORDS else ARTICLE
+    if inside == ARTICLE:
+        words -= OWN_WORDS
+    if role in CHROME_ROLES or words & CHROME_WORDS and tag not in ("body", "html"):
+        return CHROME
     if tag in CHROME_TAGS and not (tag == "header" and inside == ARTICLE):
         return CHROME
     return inside
@@ -118,7 +138,11 @@ def blocks(page: str) -> list[tuple[int, str]]:
                 position = end.end() if end else n
             if tag not in ("svg", "math"):
                 close()
-        elif tag in BOXES:
+            continue
+        if not closing and stack and (stack[-1][0] == "p" and tag not in INLINE and tag != "br" or tag in ENDED.get(stack[-1][0], ())):
+            close()
+            kind = stack.pop()[1]
+        if tag in BOXES:
             close()
             if not closing:
                 stack.append((tag, kind))
@@ -142,45 +166,124 @@ def blocks(page: str) -> list[tuple[int, str]]:
     return out
 
 
-def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each page whether it has open blocks, a hash of its stream, and for each suffix of it the hash of the first RUN words."""
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each page: its text if no block is open, else its blocks; its stream as 32-bit numbers of words, and their hash."""
     for batch in slices(batches, "html", 4 << 20):
         found = [blocks(page) if page else [] for page in batch.column("html").to_pylist()]
         stream = pa.array([" ".join(t for k, t in page if k != ARTICLE) for page in found], pa.string())
-        words, offsets = word_hashes(stream)
-        suffixes, contents = [], []
-        for a, b in zip(offsets.tolist(), offsets[1:].tolist()):
-            n = max(0, b - a - RUN + 1)
-            h = np.zeros(n, np.uint64)
-            for k in range(RUN):
-                h = mix(h + words[a + k : a + k + n])
-            suffixes.append(h.view(np.int64))
-            contents.append(int.from_bytes(hashlib.blake2b(words[a:b].tobytes(), digest_size=8).digest(), "little", signed=True))
-        opened = [any(k == OPEN for k, _ in page) for page in found]
-        yield pa.record_batch([batch.column("host"), batch.column("page"), pa.array(opened, pa.bool_()), pa.array(contents, pa.int64()), pa.array(suffixes, pa.list_(pa.int64()))], names=["host", "page", "opened", "content", "suffixes"])
-
-
-def _proven(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The text of the pages without open blocks."""
-    for batch in slices(batches, "html", 4 << 20):
+        numbers, offsets = word_hashes(stream)
+        numbers = np.maximum((numbers >> np.uint64(32)).astype(np.uint32), 1)
         rows = []
-        for page_id, url, page in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html"))):
-            found = blocks(page) if page else []
-            if all(k != OPEN for k, _ in found):
-                text = "\n\n".join(t for k, t in found if k == ARTICLE)
-                rows.append((page_id, url, text, len(text)))
-        yield _record(rows, ("page_id", "url", "text", "n_chars"), (pa.int64(), pa.string(), pa.string(), pa.int64()))
+        for page, a, b in zip(found, offsets.tolist(), offsets[1:].tolist()):
+            opened = any(k == OPEN for k, _ in page)
+            words = numbers[a:b].tobytes()
+            content = int.from_bytes(hashlib.blake2b(words, digest_size=8).digest(), "little", signed=True)
+            text = None if opened else "\n\n".join(t for k, t in page if k == ARTICLE)
+            rows.append((opened, content, words, text, [k for k, _ in page] if opened else None, [t for _, t in page] if opened else None))
+        own = _record(rows, ("opened", "content", "stream", "text", "kinds", "texts"), (pa.bool_(), pa.int64(), pa.binary(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.string())))
+        yield pa.record_batch([*(batch.column(c) for c in KEYS), *own.columns], names=[*KEYS, *own.schema.names])
 
 
-def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The blocks of the pages with open ones."""
-    for batch in slices(batches, "html", 4 << 20):
-        rows = []
-        for page_id, url, key, page in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "page", "html"))):
-            found = blocks(page) if page else []
-            if any(k == OPEN for k, _ in found):
-                rows.append((page_id, url, key, [k for k, _ in found], [t for _, t in found]))
-        yield _record(rows, ("page_id", "url", "page", "kinds", "texts"), (pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string())))
+KEYS = ("page_id", "url", "host", "page")
+PARSED = "page_id long, url string, host long, page long, opened boolean, content long, stream binary, text string, kinds array<int>, texts array<string>"
+
+
+def heads(words: np.ndarray) -> np.ndarray:
+    """Hashes of the first RUN words of suffixes (suffixes x at least RUN, 32-bit numbers)."""
+    h = np.zeros(len(words), np.uint64)
+    for k in range(RUN):
+        h = mix(h + words[:, k])
+    return h.view(np.int64)
+
+
+def _suffixes(stream: bytes) -> np.ndarray:
+    """The first DEPTH words of all suffixes that have RUN words at least; zeros behind the end."""
+    words = np.frombuffer(stream, np.uint32)
+    n = len(words) - RUN + 1
+    if n <= 0:
+        return np.zeros((0, DEPTH), np.uint32)
+    return np.lib.stride_tricks.sliding_window_view(np.r_[words, np.zeros(DEPTH - RUN, np.uint32)], DEPTH)[:n]
+
+
+def _rows_of(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[list[np.ndarray], list[np.ndarray], np.ndarray]]:
+    """(values of the keys repeated for each suffix, places, suffixes) of the streams of several rows, about AT_ONCE suffixes at a time."""
+    own, many = [], 0
+    for batch in batches:
+        for *values, stream in zip(*(batch.column(c).to_pylist() for c in (*keys, "stream"))):
+            found = _suffixes(stream)
+            if len(found):
+                own.append((values, found))
+                many += len(found)
+            if many >= AT_ONCE:
+                yield _joined(own)
+                own, many = [], 0
+    if own:
+        yield _joined(own)
+
+
+def _joined(own: list) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    n = [len(x) for _, x in own]
+    return [np.repeat(np.array(v, np.int64), n) for v in zip(*(v for v, _ in own))], [x for _, x in own], np.concatenate([x for _, x in own])
+
+
+def _to_sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, beginning, content, first) of all suffixes; first: no earlier suffix of the stream begins with its RUN words.
+    Beginnings are big-endian, so that they sort by words."""
+    for (host, content), parts, every in _rows_of(batches, ("host", "content")):
+        first, at = np.zeros(len(every), bool), 0
+        for part in parts:
+            first[at + np.unique(heads(part), return_index=True)[1]] = True
+            at += len(part)
+        raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * DEPTH), len(every), [None, pa.py_buffer(every.astype(">u4").tobytes())])
+        yield pa.record_batch([pa.array(host), raw.cast(pa.binary()), pa.array(content), pa.array(first)], names=["host", "beginning", "content", "first"])
+
+
+def _intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, head, pages) of the intervals of sorted suffixes whose neighbours have RUN words or more in common. Of those
+    that don't reach the border of the task, only such as PAGES streams have."""
+    carried: list | None = None  # the last interval so far: host, head, pages
+    last: tuple | None = None  # the suffix before: host, words, content
+    edge = True  # the carried interval is the task's first
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        host, content, first = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("host", "content", "first"))
+        words = np.frombuffer(b"".join(batch.column("beginning").to_pylist()), ">u4").reshape(n, DEPTH).astype(np.uint32)
+        if last is None:
+            last = (~host[0], words[0], content[0])
+        before = np.concatenate([last[1][None], words[:-1]])
+        same = np.r_[last[0], host[:-1]] == host
+        common = np.where(same, np.logical_and.accumulate(before == words, axis=1).sum(axis=1), 0)  # with the suffix before
+        again = (common == DEPTH) & (np.r_[last[2], content[:-1]] == content)  # a copy of the stream
+        last = (host[-1], words[-1], content[-1])
+        begins = np.flatnonzero(common < RUN)
+        pages = np.add.reduceat((first & ~again).astype(np.int64), begins) if len(begins) else np.zeros(0, np.int64)
+        head = heads(words[begins])
+        until = int(begins[0]) if len(begins) else n
+        if carried is not None:
+            carried[2] += int((first & ~again)[:until].sum())
+        if not len(begins):
+            continue
+        done = [] if carried is None else [(*carried, edge)]
+        edge = carried is None and len(begins) == 1
+        if carried is None and len(begins) > 1:
+            done.append((host[begins[0]], head[0], pages[0], True))
+        inner = slice(0 if carried is not None else 1, len(begins) - 1)
+        out = [(int(h), int(x), int(c)) for h, x, c, border in done if border or c >= PAGES]
+        keep = pages[inner] >= PAGES
+        out += list(zip(host[begins[inner]][keep].tolist(), head[inner][keep].tolist(), pages[inner][keep].tolist()))
+        carried = [int(host[begins[-1]]), int(head[-1]), int(pages[-1])]
+        if out:
+            yield _record(out, ("host", "head", "pages"), (pa.int64(),) * 3)
+    if carried is not None:
+        yield _record([tuple(carried)], ("host", "head", "pages"), (pa.int64(),) * 3)
+
+
+def _to_cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for (host, page), parts, every in _rows_of(batches, ("host", "page")):
+        start = np.concatenate([np.arange(len(p), dtype=np.int32) for p in parts])
+        yield pa.record_batch([pa.array(host), pa.array(page), pa.array(start), pa.array(heads(every))], names=["host", "page", "start", "head"])
 
 
 def _record(rows: list[tuple], names: tuple, kinds: tuple) -> pa.RecordBatch:
@@ -230,33 +333,44 @@ def _rows(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.xxhash64(host).alias("host"), F.xxhash64("page_id", "url", "html").alias("page"), F.col("html").cast("string").alias("html"))
 
 
-def repeated_runs(pages: DataFrame, run_pages: int = PAGES, share: float = SHARE) -> DataFrame:
-    """page (a hash of the row), opened, covered: where in each page's stream a repeated run of its host starts.
+def parse(pages: DataFrame) -> DataFrame:
+    """The pages with their blocks or texts and their streams, written once."""
+    return materialize(_rows(pages).mapInArrow(_parsed, PARSED), "parsed")
 
-    The suffixes, not the texts, are shuffled; a hot host is dealt by the prefixes of its suffixes, and a hot prefix is
-    counted by partial sums.
-    """
-    streams = materialize(_rows(pages).mapInArrow(_streams, "host long, page long, opened boolean, content long, suffixes array<long>"), "streams")
-    suffixes = streams.select("host", "page", "opened", "content", F.posexplode("suffixes").alias("start", "prefix"))
-    counted = suffixes.groupBy("host", "prefix", "content").count().groupBy("host", "prefix").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= run_pages)
-    hosts = streams.where(F.size("suffixes") > 0).groupBy("host", "content").count().groupBy("host").agg(F.count(F.lit(1)).alias("contents")).where(F.col("contents") >= run_pages)
+
+def intervals(parsed: DataFrame, run_pages: int = PAGES, share: float = SHARE) -> DataFrame:
+    """(host, head): the beginnings of RUN words that enough distinct streams of the host have, by the suffix array."""
+    suffixes = parsed.select("host", "content", "stream").mapInArrow(_to_sort, "host long, beginning binary, content long, first boolean")
+    order = ["host", "beginning", "content"]
+    found = suffixes.repartitionByRange(*order).sortWithinPartitions(*order, F.col("first").desc()).mapInArrow(_intervals, "host long, head long, pages long")
+    found = found.groupBy("host", "head").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= run_pages)
+    hosts = parsed.where(F.octet_length("stream") >= 4 * RUN).groupBy("host", "content").count().groupBy("host").agg(F.count(F.lit(1)).alias("contents")).where(F.col("contents") >= run_pages)
     hosts = hosts.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))).withColumn("part", F.col("part").cast("long"))
-    repeated = counted.withColumn("part", F.pmod("prefix", F.lit(PARTS)).cast("long")).join(hosts, ["host", "part"]).where(F.col("pages") >= share * F.col("contents"))
-    repeated = materialize(repeated.select("host", "prefix"), "repeated")
-    return suffixes.join(repeated, ["host", "prefix"], "left_semi").groupBy("page", "opened").agg(F.collect_set("start").alias("covered"))
+    found = found.withColumn("part", F.pmod("head", F.lit(PARTS)).cast("long")).join(hosts, ["host", "part"]).where(F.col("pages") >= share * F.col("contents"))
+    return materialize(found.select("host", "head"), "repeated")
+
+
+def repeated_runs(parsed: DataFrame, run_pages: int = PAGES, share: float = SHARE) -> DataFrame:
+    """page (a hash of the row), covered: where in each page's stream a repeated run of RUN words or more begins; the words
+    from each of these on, RUN at a time, are the page's maximal runs."""
+    suffixes = parsed.select("host", "page", "stream").mapInArrow(_to_cover, "host long, page long, start int, head long")
+    return suffixes.join(intervals(parsed, run_pages, share), ["host", "head"], "left_semi").groupBy("page").agg(F.collect_set("start").alias("covered"))
 
 
 def extract(pages: DataFrame, run_pages: int = PAGES) -> DataFrame:
     """page_id, url, text, n_chars.
 
-    Pages whose blocks are all proven by the markup need no other page and are not shuffled; those with open blocks meet
-    the repeated runs of their host.
+    Pages whose blocks are all proven by the markup go as they are; those with open blocks meet the repeated runs of
+    their host, which all pages of the host make.
     """
-    rows, schema = _rows(pages), "page_id long, url string, text string, n_chars long"
-    covered = repeated_runs(pages, run_pages).where("opened").select("page", "covered")
-    opened = rows.mapInArrow(_open, "page_id long, url string, page long, kinds array<int>, texts array<string>")
+    parsed, schema = parse(pages), "page_id long, url string, text string, n_chars long"
+    repeated = intervals(parsed, run_pages)
+    opened = parsed.where("opened")
+    suffixes = opened.select("host", "page", "stream").mapInArrow(_to_cover, "host long, page long, start int, head long")
+    covered = suffixes.join(repeated, ["host", "head"], "left_semi").groupBy("page").agg(F.collect_set("start").alias("covered"))
     cut = opened.join(covered, "page", "left").select("page_id", "url", "kinds", "texts", "covered").mapInArrow(_assemble, schema)
-    return rows.mapInArrow(_proven, schema).unionByName(cut)
+    proven = parsed.where("NOT opened").select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+    return proven.unionByName(cut)
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
