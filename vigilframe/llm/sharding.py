@@ -5,8 +5,11 @@ in memory by Fisher-Yates with a generator seeded by (seed, bucket). The buckets
 permutation of the records; position p goes to shard ``p % shards`` as slot ``p // shards``, so shard sizes differ by
 one row at most (the ``rows`` law) and slots have no gaps. The same seed and rows give the same shards.
 
-Groups of equal texts scatter like any other rows, since the id is part of the hash. Defined results: null ids and
-texts hash as such; whole repeated rows are interchangeable; an empty table gives no rows; extra columns pass through.
+Groups of equal texts scatter like any other rows, since the id is part of the hash. Each bucket is a partition of the
+second pass, so a task holds a bucket (or, by chance of the deal, a few) however large the table is. Defined results:
+null ids and texts hash as such; whole repeated rows are interchangeable; an empty table gives no rows; extra columns pass
+through, but for those called size, shard or slot, in whose place the results come. Rows that repeat id and text share a
+hash and so a bucket, which is as large as they are.
 """
 
 from __future__ import annotations
@@ -46,14 +49,14 @@ def _offsets(counts: DataFrame) -> DataFrame:
 
 def shuffle_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns of ``docs`` with size (UTF-8 bytes of the text plus 1), shard int and slot long."""
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, docs.drop("size", "shard", "slot")
     size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long") + 1
     total = docs.agg(F.sum(size)).first()[0] or 0
     buckets = max(-(-total // bucket_bytes), 4 * partitions(spark))
     key = F.xxhash64(F.lit(seed), F.col(id_col), F.xxhash64(F.col(text_col)))
     rows = docs.select("*", size.alias("__size"), F.pmod(key, F.lit(buckets)).alias("__bucket"), key.alias("__key"))
     counts = materialize(rows.groupBy("__bucket").agg(F.count(F.lit(1)).alias("n")), "bucket-counts")
-    placed = rows.join(_offsets(counts), "__bucket")
+    placed = rows.join(_offsets(counts), "__bucket").repartition(buckets, "__bucket")
     fields = [*docs.schema.fields, T.StructField("size", T.LongType()), T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())]
     names = docs.columns
 
