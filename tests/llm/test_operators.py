@@ -1,6 +1,7 @@
 """The training-data operators against brute force, round trips and hand-made edge cases."""
 
 import bisect
+import functools
 import hashlib
 import math
 import random
@@ -116,6 +117,40 @@ def test_shards(spark, docs):
     assert [tuple(r) for r in sorted(again, key=key)] == [tuple(r) for r in sorted(rows, key=key)]
 
 
+def test_shards_equal_a_plain_scatter_and_exchange(spark, docs):
+    """Both passes again, a row at a time: seeded hashes deal rows into buckets, each is exchanged, the buckets stand in a row."""
+    import xxhash
+
+    spark_hash = lambda parts: functools.reduce(lambda seed, part: seed if part is None else xxhash.xxh64_intdigest(part, seed), parts, 42)
+    number = lambda n, size=8: None if n is None else n.to_bytes(size, "little", signed=True)
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").dropDuplicates().collect()]
+    got = sharding.shuffle_shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), shards=5, bucket_bytes=4000).collect()
+    total = sum(len((t or "").encode()) + 1 for _, t in rows)
+    buckets = max(-(-total // 4000), 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = {}
+    for k, t in rows:
+        inner = spark_hash([None if t is None else t.encode()])
+        key = spark_hash([number(sharding.SEED, 4), number(k), inner.to_bytes(8, "little")])
+        key -= (key >> 63) << 64
+        dealt.setdefault(key % buckets, []).append((key, k, t))
+    position, want = 0, set()
+    for b in sorted(dealt):
+        order = np.arange(len(dealt[b]))
+        rng = np.random.Generator(np.random.Philox(np.random.SeedSequence([sharding.SEED, b])))
+        rng.shuffle(order)
+        for k in order:
+            _, doc_id, text = sorted(dealt[b], key=lambda x: x[0])[k]
+            want.add((doc_id, text, position % 5, position // 5))
+            position += 1
+    assert {(r.doc_id, r.text, r.shard, r.slot) for r in got} == want and len(got) == len(rows)
+
+
+def test_shards_with_columns_of_the_results_names(spark):
+    rows = spark.createDataFrame([(1, "a", "x", "y", "z"), (2, None, "x", "y", "z")], "doc_id long, text string, slot string, size string, Shard string")
+    got = sharding.shuffle_shards(rows).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.size) for r in got] == [(1, 2), (2, 1)] and sorted(r.shard for r in got) == [0, 1]
+
+
 def test_shuffle_is_a_permutation_by_exchange():
     order = sharding.fisher_yates(1000, 3, 4)
     assert sorted(order) == list(range(1000)) and list(order) != list(range(1000))
@@ -321,6 +356,34 @@ def test_sentencepiece_is_the_best_segmentation():
         assert decoder.decode(own) == text.replace("▁", " ").encode()
 
 
+@pytest.mark.parametrize("alphabet", ["theranidsou", "▁ther", "an日x\n", "a"])
+def test_window_in_chunks_keeps_no_more_than_the_longest_piece(alphabet):
+    encoder, _ = sentencepiece.coders(None)
+    rng = random.Random(len(alphabet))
+    text = "".join(rng.choice(alphabet) for _ in range(3000))
+    best = [(0.0, None, None)]
+    for end in range(1, len(text) + 1):
+        found = (-1e300, None, None)
+        for start in range(max(0, end - encoder.vocab.longest), end):
+            piece = encoder.edges.get(text[start:end])
+            score = piece[1] if piece else encoder.unknown if end - start == 1 else None
+            if score is not None and best[start][0] + score > found[0]:
+                found = (best[start][0] + score, start, [piece[0]] if piece else [encoder.vocab.byte_ids[b] for b in text[start].encode()])
+        best.append(found)
+    want, end = [], len(text)
+    while end:
+        want, end = best[end][2] + want, best[end][1]
+    window, got, at, held = sentencepiece.Window(encoder), [], 0, 0
+    while at < len(text):
+        n = rng.choice([1, 2, 30, 200])
+        got += window.feed(text[at : at + n])
+        at += n
+        assert len(window.best) <= encoder.vocab.longest + 1
+        held = max(held, len(window.text))
+    assert got + window.finish() == want == encoder.ids(text)
+    assert held < 600 or alphabet == "a"
+
+
 def test_sentencepiece_tables_round_trip(spark, docs, empty):
     encoded = sentencepiece.encode(docs)
     back = sentencepiece.decode(materialize(encoded, "encoded"))

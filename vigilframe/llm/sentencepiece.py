@@ -2,7 +2,8 @@
 
 The text, with a mark for each space and one in front, is segmented into the pieces of a fixed public vocabulary whose
 scores have the largest sum. Characters that are no piece are spelled in byte pieces. The search keeps the best scores of
-a window as long as the longest piece; ids are committed as soon as all paths that still can win meet at one boundary.
+a window as long as the longest piece (``Window``, to which a text may come in chunks of any size); whenever all paths
+that still can win meet at one boundary, the ids in front of it are committed and everything before it is forgotten.
 
 Between two characters that stand side by side in no piece all paths meet. So they do in front of every run of marks: a
 text is a row of units (marks and what follows them), a unit a row of parts, and the ids of short units and parts are kept
@@ -10,7 +11,8 @@ in bounded tables of the worker. Of two equal sums the piece that
 starts earlier wins. Decoding is exact: ``decode(encode(text)) == text``.
 
 Defined results: null and empty texts have no ids and decode to the empty text; a mark in the text itself decodes to a
-space, as with the library; repeated rows are encoded alike; only the id and text columns are read.
+space, as with the library, so such a text doesn't come back as it was; repeated rows are encoded alike; only the id and
+text columns are read.
 """
 
 from __future__ import annotations
@@ -29,8 +31,6 @@ from .pieces import MARK, Vocabulary, vocabulary
 
 #: Units and parts in a worker's tables (under 350 MB), and the longest that are kept there.
 UNITS, PARTS, UNIT_CHARS = 700_000, 700_000, 48
-#: Characters between two looks for a common boundary.
-LOOK = 64
 #: Below the lowest score of a piece by so much is a character that is none.
 BELOW = 10.0
 
@@ -50,58 +50,9 @@ class Encoder:
             self.reach[p[0]] = max(self.reach.get(p[0], 1), len(p))
 
     def ids(self, unit: str) -> list[int]:
-        """Streaming Viterbi over marked text."""
-        edges, reach, n = self.edges, self.reach, len(unit)
-        out: list[int] = []
-        base = 0  # everything before is committed; the lists start there
-        best: list[float] = [0.0]
-        back: list[tuple[int, int]] = [(0, -1)]
-        for start in range(n):
-            score, char = best[start - base], unit[start]
-            longest = min(reach.get(char, 1), n - start)
-            while len(best) <= start - base + longest:
-                best.append(-1e300)
-                back.append((0, -1))
-            if score > -1e299:
-                at = start - base
-                for length in range(1, longest + 1):
-                    edge = edges.get(unit[start : start + length])
-                    if edge is not None:
-                        total = score + edge[1]
-                        if total > best[at + length]:
-                            best[at + length] = total
-                            back[at + length] = (start, edge[0])
-                if char not in edges and score + self.unknown > best[at + 1]:
-                    best[at + 1], back[at + 1] = score + self.unknown, (start, -1)
-            if start - base >= LOOK and start % LOOK == 0:
-                meet = self._meeting(best, back, start + 1, base)
-                if meet > base:
-                    out += self._path(unit, back, meet, base)
-                    best, back, base = best[meet - base :], back[meet - base :], meet
-                    top = best[0]
-                    best = [b - top if b > -1e299 else b for b in best]
-        return out + self._path(unit, back, n, base)
-
-    @staticmethod
-    def _meeting(best: list[float], back: list[tuple[int, int]], first: int, base: int) -> int:
-        """The last boundary that the paths to all reached positions from ``first`` on go through."""
-        ends = {p for p in range(first, base + len(best)) if best[p - base] > -1e299}
-        while len(ends) > 1:
-            last = max(ends)
-            ends.discard(last)
-            ends.add(back[last - base][0])
-        return ends.pop() if ends else base
-
-    def _path(self, unit: str, back: list[tuple[int, int]], end: int, base: int) -> list[int]:
-        ids: list[int] = []
-        while end > base:
-            start, piece = back[end - base]
-            if piece >= 0:
-                ids.append(piece)
-            else:
-                ids += [self.vocab.byte_ids[b] for b in reversed(unit[start:end].encode("utf-8", "surrogatepass"))]
-            end = start
-        return ids[::-1]
+        """Streaming Viterbi over marked text; a unit that fits into the window is there at once."""
+        window = Window(self)
+        return window.finish(unit) if len(unit) <= self.vocab.longest else window.feed(unit) + window.finish()
 
     def _cut(self, unit: str) -> list[str]:
         cuts = [k for k in range(1, len(unit)) if unit[k - 1 : k + 1] not in self.side_by_side]
@@ -166,6 +117,87 @@ class Encoder:
         return np.frombuffer(b"".join(self._part(p) for u in parts for p in self._cut(u)), np.uint32)
 
 
+class Window:
+    """The state of the search: the text behind the last commit, the best scores of the places that the pieces begun so
+    far can reach (one more than the longest piece has characters, at most) and the steps back to the commit."""
+
+    def __init__(self, encoder: Encoder):
+        self.encoder, self.longest = encoder, encoder.vocab.longest
+        self.text, self.start = "", 0  # start: the next place to begin pieces at, counted from the commit
+        self.best: list[float] = [0.0]  # from start on
+        self.back: list[tuple[int, int]] = [(0, -1)]  # from the commit on: where the best piece that ends there starts, and its id
+        self.look = self.longest
+
+    def feed(self, chunk: str) -> list[int]:
+        """Takes more text; the ids that no later text can change any more."""
+        self.text += chunk
+        return self._run(len(self.text) - self.longest + 1)
+
+    def finish(self, chunk: str = "") -> list[int]:
+        """Takes the last text; all ids that are left."""
+        self.text += chunk
+        out = self._run(len(self.text))
+        out += self._path(len(self.text))
+        self.__init__(self.encoder)
+        return out
+
+    def _run(self, limit: int) -> list[int]:
+        edges, reach, unknown, text, n = self.encoder.edges, self.encoder.reach, self.encoder.unknown, self.text, len(self.text)
+        best, back, out, start = self.best, self.back, [], self.start
+        low = start  # the place of best[0]
+        while start < limit:
+            score, char, at = best[start - low], text[start], start - low
+            longest = min(reach.get(char, 1), n - start)
+            while len(best) <= at + longest:
+                best.append(-1e300)
+                back.append((0, -1))
+            if score > -1e299:
+                for length in range(1, longest + 1):
+                    edge = edges.get(text[start : start + length])
+                    if edge is not None:
+                        total = score + edge[1]
+                        if total > best[at + length]:
+                            best[at + length] = total
+                            back[start + length] = (start, edge[0])
+                if char not in edges and score + unknown > best[at + 1]:
+                    best[at + 1], back[start + 1] = score + unknown, (start, -1)
+            start += 1
+            if start >= self.look:  # the scores in front of the next place are done with
+                best, low = best[start - low :], start
+                meet = self._meeting(best, start)
+                if meet:
+                    out += self._path(meet)
+                    text, n, limit, start = text[meet:], n - meet, limit - meet, start - meet
+                    self.text, low = text, start
+                    back = self.back = [(max(a - meet, 0), piece) for a, piece in back[meet:]]
+                    top = max(best)
+                    best = [b - top if b > -1e299 else b for b in best]
+                self.look = start + self.longest
+        self.best, self.start = best[start - low :], start
+        return out
+
+    def _meeting(self, best: list[float], first: int) -> int:
+        """The last boundary that the paths to all reached places from ``first`` on go through; 0 if there is none behind
+        the commit."""
+        ends = {first + k for k, b in enumerate(best) if b > -1e299}
+        while len(ends) > 1:
+            last = max(ends)
+            ends.discard(last)
+            ends.add(self.back[last][0])
+        return ends.pop() if ends else 0
+
+    def _path(self, end: int) -> list[int]:
+        ids: list[int] = []
+        while end > 0:
+            start, piece = self.back[end]
+            if piece >= 0:
+                ids.append(piece)
+            else:
+                ids += [self.encoder.vocab.byte_ids[b] for b in reversed(self.text[start:end].encode("utf-8", "surrogatepass"))]
+            end = start
+        return ids[::-1]
+
+
 class Decoder:
     """Text of ids: the bytes of the pieces in a row, marks as spaces, without the mark in front."""
 
@@ -225,7 +257,7 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
             texts, rows = batch.column("text").cast(pa.binary()).to_pylist(), []
             for text, a, b in zip(texts, offsets.tolist(), offsets[1:].tolist()):
                 own = ids[a:b]
-                rows.append((b - a, zlib.crc32(own.tobytes()), decoder.decode(own) == (text or b"").replace(MARK.encode(), b" ")))
+                rows.append((b - a, zlib.crc32(own.tobytes()), decoder.decode(own) == (text or b"")))
             columns = list(zip(*rows)) or [(), (), ()]
             yield pa.record_batch([batch.column("doc_id"), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.bool_())], names=["doc_id", "n_ids", "ids_crc32", "round_trip"])
 

@@ -8,7 +8,8 @@ that state without reading the untouched text's tokens again.
 
 Counts are those of a public byte-level vocabulary without special tokens; each worker keeps a bounded table from pre-token
 to count. Defined results: null and empty texts have no tokens and no leaves; edits with null ends or text count as
-empty ones at 0 and are cut to the text; overlapping edits are refused; repeated rows are counted alike.
+empty ones at 0 and are cut to the text; overlapping edits are refused; repeated rows are counted alike, and give
+one row of ``recount`` (rows of one id are taken for one text).
 """
 
 from __future__ import annotations
@@ -181,7 +182,7 @@ def recount(docs: DataFrame, state: DataFrame, edits: DataFrame, path: str | Non
     with its ``state``: doc_id, text, n_tokens, leaf_chars, leaf_tokens, n_encoded (pre-tokens encoded again), for the
     documents that have edits. A document's edits come into one row, so they should be far fewer than its text."""
     own = edits.groupBy("doc_id").agg(F.collect_list(F.struct(F.coalesce("start", F.lit(0)).alias("start"), F.coalesce("end", "start", F.lit(0)).alias("end"), F.coalesce("replacement", F.lit("")).alias("replacement"))).alias("edits"))
-    rows = own.join(state.select("doc_id", "leaf_chars", "leaf_tokens"), "doc_id").join(docs.select("doc_id", "text"), "doc_id")
+    rows = own.join(state.select("doc_id", "leaf_chars", "leaf_tokens"), "doc_id").join(docs.select("doc_id", "text"), "doc_id").dropDuplicates(["doc_id"])
 
     def applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = counter(path)
