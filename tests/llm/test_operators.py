@@ -83,8 +83,12 @@ def test_exact_index_over_three_batches(spark):
             index.compact()
             assert index.read().count() == len(seen)
     assert {(r.keep_id, r.group_size) for r in index.groups().collect()} == {(max(v), len(v)) for v in seen.values()}
-    plan = index.groups()._jdf.queryExecution().toString()
-    assert "Exchange" not in plan
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(index.groups())
+    # groups are made on the map side, then anti-joined; the index isn't shuffled
+    joined = exact_dedup._grouped(spark.createDataFrame([(1, "a")], "doc_id long, text string"), "doc_id", "text").join(index._known(), "text_digest", "left_anti")
+    steps = [s for s in re.findall(r"SortMergeJoin|Exchange|SortAggregate|partial_max", plan(joined))]
+    assert steps[0] == "SortMergeJoin" and steps.count("Exchange") == 1 and steps.index("Exchange") < len(steps) - 1
     index.drop()
 
 

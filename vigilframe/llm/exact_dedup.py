@@ -62,8 +62,12 @@ class DigestIndex:
         return self.read().select("text_digest").hint("merge")
 
     def add(self, digests: DataFrame, id_col: str = "doc_id") -> None:
-        """Adds a batch of (id_col, text_digest): its new digests, and what it says of those that the index holds."""
+        """Adds a batch of (id_col, text_digest): its new digests, and what it says of those that the index holds.
+
+        The groups are written first: the planner would put the joins below the aggregate, and so deal all rows of a group.
+        """
         batch = digests.groupBy("text_digest").agg(F.max(id_col).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        batch = materialize(batch, "exact-batch")
         fresh = batch.join(self._known(), "text_digest", "left_anti")
         again = batch.join(self._known(), "text_digest", "left_semi")
         self._write(fresh.unionByName(again).repartition(self.buckets, "text_digest"), self.name)
@@ -77,7 +81,7 @@ class DigestIndex:
         fresh = materialize(_grouped(docs, id_col, text_col).join(self._known(), "text_digest", "left_anti"), "exact-fresh")
         if not self.read().isEmpty():
             again = docs.select(F.col(id_col).alias("keep_id"), digest(F.col(text_col)).alias("text_digest"))
-            again = again.groupBy("text_digest").agg(F.max("keep_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+            again = materialize(again.groupBy("text_digest").agg(F.max("keep_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "exact-batch")
             again = materialize(again.join(self._known(), "text_digest", "left_semi"), "exact-again")
             self._write(again.repartition(self.buckets, "text_digest"), self.name)
         self._write(fresh.select("text_digest", "keep_id", "group_size").repartition(self.buckets, "text_digest"), self.name)
@@ -95,10 +99,12 @@ class DigestIndex:
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(text_digest, keep_id, group_size, row): the groups of a batch, each with its row of the largest id."""
+    """(text_digest, keep_id, group_size, row, seen): the groups of a batch, each with its row of the largest id. ``seen`` is
+    any number: the planner puts no join below a column that depends on the order of rows, so it stays above the groups."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     largest = F.max_by(row, F.struct(F.col(id_col), F.col(text_col)))
-    return docs.groupBy(digest(F.col(text_col)).alias("text_digest")).agg(F.max(id_col).alias("keep_id"), F.count(F.lit(1)).alias("group_size"), largest.alias("row"))
+    groups = docs.groupBy(digest(F.col(text_col)).alias("text_digest"))
+    return groups.agg(F.max(id_col).alias("keep_id"), F.count(F.lit(1)).alias("group_size"), largest.alias("row")).withColumn("seen", F.monotonically_increasing_id())
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
