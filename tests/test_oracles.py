@@ -16,7 +16,7 @@ def rows(df):
 @pytest.fixture(scope="session")
 def duck(sf_dir):
     c = duckdb.connect()
-    for t in ("customer", "part", "orders", "lineitem", "events", "pages"):
+    for t in ("customer", "part", "supplier", "orders", "lineitem", "events", "pages"):
         c.sql(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     return c
 

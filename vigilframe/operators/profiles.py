@@ -60,11 +60,11 @@ def weights(prevalences: DataFrame, hosts: int) -> DataFrame:
     weighted = prevalences.join(document_frequency(prevalences), ["channel", "feature"]).withColumn("weight", F.col("prevalence") * idf)
     order = Window.partitionBy("host", "channel").orderBy(F.col("weight").desc(), "feature")
     limit = F.create_map(*[F.lit(x) for pair in CHANNEL_LIMITS.items() for x in pair])[F.col("channel")]
-    return weighted.withColumn("r", F.row_number().over(order)).where(F.col("r") <= limit).select("host", "channel", "feature", "prevalence", "weight")
+    return weighted.withColumn("r", F.row_number().over(order)).where(F.col("r") <= limit).select("host", "channel", "feature", "prevalence", "weight", "r")
 
 
 def technical(prevalences: DataFrame, hosts: int) -> DataFrame:
-    """Unit vectors of distinctive features (host, feature, value), for technical clusters."""
+    """Unit vectors of distinctive features (host, feature, value, r), for technical clusters."""
     least = 2 if hosts < 20 else 3
     rows = prevalences.where("channel <> 'activity'").join(document_frequency(prevalences), ["channel", "feature"])
     rows = rows.where((F.col("df") >= least) & (F.col("df") / hosts <= 0.55)).select(
@@ -72,7 +72,7 @@ def technical(prevalences: DataFrame, hosts: int) -> DataFrame:
     )
     order = Window.partitionBy("host").orderBy(F.col("v").desc(), "feature")
     rows = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= TECHNICAL_FEATURES)
-    return rows.withColumn("norm", F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("host")))).select("host", "feature", (F.col("v") / F.col("norm")).alias("value"))
+    return rows.withColumn("norm", F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("host")))).select("host", "feature", (F.col("v") / F.col("norm")).alias("value"), "r")
 
 
 def with_bundles(obs: DataFrame) -> tuple[DataFrame, int]:

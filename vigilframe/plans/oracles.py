@@ -119,19 +119,25 @@ weighed AS (
   FROM full_prev JOIN df USING (channel, feature), total
 ),
 w AS (
-  SELECT host, channel, feature, weight FROM (SELECT *, row_number() OVER (PARTITION BY host, channel ORDER BY weight DESC, feature) AS r FROM weighed)
+  SELECT host, channel, feature, weight, r FROM (SELECT *, row_number() OVER (PARTITION BY host, channel ORDER BY weight DESC, feature) AS r FROM weighed)
   WHERE r <= CASE channel WHEN 'applications' THEN 160 WHEN 'network' THEN 64 WHEN 'activity' THEN 8 ELSE 96 END
 )"""
 
-_CANDIDATES = """, post AS (
-  SELECT channel, feature, host, row_number() OVER (PARTITION BY channel, feature ORDER BY host) - 1 AS i, count(*) OVER (PARTITION BY channel, feature) AS c
-  FROM w WHERE channel NOT IN ('activity', 'platform')
+def _candidates(name: str, rows: str, keys: str) -> str:
+    """Pairs under keys; long postings in a ring of 8, the longest not at all, two shared keys from 20 hosts on."""
+    same = " AND ".join(f"x.{k} = y.{k}" for k in keys.split(", "))
+    own = ", ".join(f"x.{k}" for k in keys.split(", "))
+    return f""", {name}_post AS (
+  SELECT {keys}, host, row_number() OVER (PARTITION BY {keys} ORDER BY host) - 1 AS i, count(*) OVER (PARTITION BY {keys}) AS c FROM ({rows})
 ),
-cand AS (
-  SELECT DISTINCT least(x.host, y.host) AS a, greatest(x.host, y.host) AS b
-  FROM post x JOIN post y ON x.channel = y.channel AND x.feature = y.feature AND x.i <> y.i
-  WHERE x.c BETWEEN 2 AND 120 AND (x.c <= 24 OR (y.i - x.i + x.c) % x.c BETWEEN 1 AND 8)
-)"""
+{name}_hits AS (
+  SELECT DISTINCT least(x.host, y.host) AS a, greatest(x.host, y.host) AS b, {own} FROM {name}_post x JOIN {name}_post y ON {same} AND x.i <> y.i, total
+  WHERE x.c BETWEEN 2 AND CASE WHEN n < 20 THEN n ELSE greatest(16, least(300, CAST(floor(n * 0.45::DOUBLE) AS BIGINT))) END AND (x.c <= 24 OR (y.i - x.i + x.c) % x.c BETWEEN 1 AND 8)
+),
+{name} AS (SELECT a, b FROM {name}_hits, total GROUP BY a, b, n HAVING count(*) >= CASE WHEN n < 20 THEN 1 ELSE 2 END)"""
+
+
+_CANDIDATES = _candidates("cand", "SELECT * FROM w, total WHERE channel IN ('applications', 'bundles', 'process', 'network') AND (n < 64 OR r <= 8)", "channel, feature")
 
 _SCORED = """, chan AS (SELECT unnest(['applications', 'bundles', 'process', 'network', 'activity']) AS channel),
 sides AS (
@@ -163,8 +169,75 @@ tv AS (
   SELECT host, channel || ':' || feature AS feature, prevalence * (ln((n + 1) / (df + 1)) + 0.15) AS v FROM prev JOIN tdf USING (channel, feature), total
   WHERE channel <> 'activity' AND df >= CASE WHEN n < 20 THEN 2 ELSE 3 END AND df / n <= 0.55
 ),
-tt AS (SELECT host, feature, v FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY v DESC, feature) AS r FROM tv) WHERE r <= 36),
-tech AS (SELECT host, feature, v / sqrt(sum(v * v) OVER (PARTITION BY host)) AS value FROM tt)"""
+tt AS (SELECT host, feature, v, r FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY v DESC, feature) AS r FROM tv) WHERE r <= 36),
+tech AS (SELECT host, feature, v / sqrt(sum(v * v) OVER (PARTITION BY host)) AS value, r FROM tt)"""
+
+_TECH_PAIRS = (
+    _candidates("tcand", "SELECT * FROM tech, total WHERE n < 64 OR r <= 32", "feature")
+    + """, tpair AS (
+  SELECT a, b, sum(x.value * y.value) AS cosine FROM tcand JOIN tech x ON x.host = a JOIN tech y ON y.host = b AND y.feature = x.feature GROUP BY a, b HAVING sum(x.value * y.value) >= 0.72
+)"""
+)
+
+#: Members against the centroid of their component, over all of its features; members in ``gm`` (host, component), sizes in ``grp``.
+_CENTROIDS = """, cent AS (SELECT component, channel, feature, sum(weight) / size AS c FROM w JOIN gm USING (host) JOIN grp USING (component) WHERE channel <> 'platform' GROUP BY component, channel, feature, size),
+js AS (
+  SELECT m.host, m.component, cent.channel, sum(least(coalesce(w.weight, 0), c)) / sum(greatest(coalesce(w.weight, 0), c)) AS s
+  FROM gm m JOIN cent ON cent.component = m.component LEFT JOIN w ON w.host = m.host AND w.channel = cent.channel AND w.feature = cent.feature GROUP BY ALL
+),
+gs AS (
+  SELECT component, size, coalesce(sum(s) FILTER (channel = 'applications'), 0) / size AS applications, coalesce(sum(s) FILTER (channel = 'bundles'), 0) / size AS bundles, coalesce(sum(s) FILTER (channel = 'process'), 0) / size AS process,
+         coalesce(sum(s) FILTER (channel = 'network'), 0) / size AS network, coalesce(sum(s) FILTER (channel = 'activity'), 0) / size AS activity FROM js JOIN grp USING (component) GROUP BY component, size
+),
+go AS (SELECT *, 0.40 * applications + 0.15 * bundles + 0.20 * process + 0.15 * network + 0.10 * activity AS overall FROM gs)"""
+
+_GROUPS = (
+    """, grp AS (SELECT component, count(*) AS size FROM comp, total GROUP BY component, n HAVING count(*) >= 3 AND NOT (n >= 10 AND count(*) / n > 0.90)),
+gm AS (SELECT comp.host, component FROM comp JOIN grp USING (component))"""
+    + _CENTROIDS
+    + """, ga AS (
+  SELECT component, count(*) AS apps FROM (SELECT component, feature FROM prev JOIN gm USING (host) JOIN grp USING (component) WHERE channel = 'applications' GROUP BY component, feature, size HAVING count(*) / size >= 0.5) GROUP BY component
+),
+rec AS (
+  SELECT go.*, apps FROM go JOIN ga USING (component), total WHERE overall >= 0.50 AND applications >= 0.42 AND apps >= CASE WHEN n < 20 THEN 3 ELSE 4 END
+    AND (bundles >= 0.28 OR process >= 0.30 OR network >= 0.30 OR activity >= 0.55)
+)"""
+)
+
+_CLUSTERS = """, tlink AS (SELECT a, b FROM tpair UNION SELECT b, a FROM tpair),
+treach(host, other) AS (SELECT a, a FROM tlink UNION SELECT r.host, l.b FROM treach r JOIN tlink l ON l.a = r.other),
+tcomp AS (SELECT host, min(other) AS component FROM treach GROUP BY host),
+tsize AS (SELECT component, count(*) AS size FROM tcomp, total GROUP BY component, n HAVING count(*) >= 3 AND NOT (n >= 10 AND count(*) / n > 0.90)),
+tcent AS (SELECT component, feature, sum(value) / size AS c FROM tech JOIN tcomp USING (host) JOIN tsize USING (component) GROUP BY component, feature, size),
+tnorm AS (SELECT component, sqrt(sum(c * c)) AS norm FROM tcent GROUP BY component),
+tcoh AS (SELECT component, size, sum(value * c) / norm / size AS cohesion FROM tech JOIN tcomp USING (host) JOIN tcent USING (component, feature) JOIN tnorm USING (component) JOIN tsize USING (component) GROUP BY component, size, norm)"""
+
+_EXPLAINED = """, fleet AS (SELECT channel, feature, count(*) AS df FROM full_prev GROUP BY ALL),
+own AS (SELECT component, channel, feature, count(*) AS c FROM full_prev JOIN member USING (host) GROUP BY ALL),
+sc AS (
+  SELECT component, channel, feature, (c / size - df / n) * (ln((n + 1) / (df + 1)) + 0.15) AS score,
+         CASE split_part(feature, ':', 1) WHEN 'app' THEN substr(feature, 5) WHEN 'pc' THEN split_part(substr(feature, 4), '>', 2) WHEN 'net' THEN split_part(feature, ':', 2) ELSE '' END AS anchor
+  FROM own JOIN size USING (component) JOIN fleet USING (channel, feature), total WHERE c / size >= 0.5 AND c / size > df / n
+),
+one AS (SELECT *, row_number() OVER (PARTITION BY component, anchor ORDER BY score DESC, feature) AS k FROM sc WHERE feature LIKE 'app:%'),
+apps AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY score DESC, feature) AS j FROM one WHERE k = 1) WHERE j <= 4),
+proc1 AS (SELECT *, row_number() OVER (PARTITION BY component, anchor ORDER BY score DESC, feature) AS k FROM sc WHERE channel = 'process' AND (component, anchor) NOT IN (SELECT (component, anchor) FROM apps)),
+proc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY score DESC, feature) AS j FROM proc1 WHERE k = 1) WHERE j <= 2),
+net1 AS (SELECT *, row_number() OVER (PARTITION BY component, anchor ORDER BY score DESC, feature) AS k FROM sc WHERE channel = 'network' AND (component, anchor) NOT IN (SELECT (component, anchor) FROM apps UNION ALL SELECT (component, anchor) FROM proc)),
+net AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY score DESC, feature) AS j FROM net1 WHERE k = 1) WHERE j <= 2),
+few AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY component, channel ORDER BY score DESC, feature) AS j FROM sc WHERE channel IN ('bundles', 'activity')) WHERE j <= CASE channel WHEN 'bundles' THEN 2 ELSE 1 END),
+parent AS (SELECT component, anchor, arg_min(split_part(substr(feature, 4), '>', 1), (-score, feature)) AS launched_by FROM sc WHERE channel = 'process' GROUP BY ALL),
+kinds AS (SELECT component, anchor, string_agg(DISTINCT split_part(feature, ':', 3), '/' ORDER BY split_part(feature, ':', 3)) AS network_kinds FROM sc WHERE channel = 'network' GROUP BY ALL),
+told AS (
+  SELECT component, channel, feature, score, launched_by, network_kinds FROM apps LEFT JOIN parent USING (component, anchor) LEFT JOIN kinds USING (component, anchor)
+  UNION ALL SELECT component, channel, feature, score, NULL, NULL FROM (SELECT * FROM proc UNION ALL SELECT * FROM net) UNION ALL SELECT component, channel, feature, score, NULL, NULL FROM few
+),
+expl AS (
+  SELECT *, CASE split_part(feature, ':', 1) WHEN 'app' THEN 'application ' || substr(feature, 5) WHEN 'pc' THEN 'parent-child ' || substr(feature, 4)
+      WHEN 'net' THEN split_part(feature, ':', 2) || ' with ' || split_part(feature, ':', 3) || ' network activity' WHEN 'bundle' THEN 'application bundle ' || replace(substr(feature, 8), '|', ' + ')
+      ELSE replace(replace(feature, 'activity:', 'activity '), 'utc', ' UTC') END AS label
+  FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY score DESC, channel, feature) AS r FROM told) WHERE r <= 10
+)"""
 
 
 def _seeds(prev: str, n: str) -> str:
@@ -282,20 +355,26 @@ SQL = {
     "document_frequency": f"WITH {_OBS}{_FEATURES} SELECT channel, feature, count(*) AS df FROM prev GROUP BY ALL",
     "feature_weights": f"WITH {_TEAM}{_FEATURES}{_BUNDLES}{_WEIGHTS} SELECT host, channel, feature, round(weight, 9) AS weight FROM w",
     "technical_vectors": f"WITH {_TEAM}{_FEATURES}{_TECH} SELECT host, feature, round(value, 9) AS value FROM tech",
-    "technical_pairs": f"""WITH {_TEAM}{_FEATURES}{_TECH}, ok AS (SELECT feature FROM tech GROUP BY feature HAVING count(*) BETWEEN 2 AND 500)
-      SELECT x.host AS a, y.host AS b, round(sum(x.value * y.value), 9) AS cosine FROM tech x JOIN tech y ON x.feature = y.feature AND x.host < y.host
-      GROUP BY x.host, y.host HAVING sum(x.value * y.value) >= 0.72 AND bool_or(x.feature IN (SELECT feature FROM ok))""",
+    "technical_pairs": f"WITH {_TEAM}{_FEATURES}{_TECH}{_TECH_PAIRS} SELECT a, b, round(cosine, 9) AS cosine FROM tpair",
+    "technical_clusters_alone": f"WITH RECURSIVE {_TEAM}{_FEATURES}{_TECH}{_TECH_PAIRS}{_CLUSTERS} SELECT component, size, round(cohesion, 9) AS cohesion FROM tcoh WHERE cohesion >= 0.68",
+    "technical_clusters": f"""WITH RECURSIVE {_TEAM}{_FEATURES}{_BUNDLES}{_WEIGHTS}{_CANDIDATES}{_SCORED}{_COMPONENTS}{_GROUPS}{_TECH}{_TECH_PAIRS}{_CLUSTERS}
+      SELECT component, size, round(cohesion, 9) AS cohesion FROM tcoh t WHERE cohesion >= 0.68 AND NOT EXISTS (
+        SELECT 1 FROM tcomp x JOIN comp y ON y.host = x.host JOIN rec ON rec.component = y.component WHERE x.component = t.component GROUP BY y.component HAVING count(*) / t.size >= 0.80)""",
+    "group_catalogue": f"""WITH {_TEAM}{_FEATURES}{_BUNDLES}{_WEIGHTS}{_TEAMS}, grp AS (SELECT * FROM size), gm AS (SELECT * FROM member){_CENTROIDS}{_EXPLAINED},
+      fp AS (SELECT component, sha256('main' || chr(10) || string_agg(channel || ':' || feature, chr(10) ORDER BY r)) AS f FROM expl WHERE r <= 6 GROUP BY component),
+      od AS (SELECT component, CAST(floor(median(observed_days)) AS INT) AS observed_days FROM hd JOIN member USING (host) GROUP BY component)
+      SELECT component, substr(f, 1, 12) AS id, size, observed_days, CASE WHEN observed_days < 3 THEN 'provisional' WHEN observed_days < 7 THEN 'growing' ELSE 'stable' END AS maturity, round(overall, 3) AS cohesion,
+        round(least(1, overall * least(1, greatest(1, observed_days) / 7) * least(1, size / 15)), 3) AS confidence,
+        CASE greatest(applications, bundles, process, network, activity) WHEN applications THEN 'applications' WHEN bundles THEN 'bundles' WHEN process THEN 'process' WHEN network THEN 'network' ELSE 'activity' END AS dominant_channel
+      FROM go JOIN fp USING (component) JOIN od USING (component)""",
+    "suppressing_groups": """SELECT s_suppkey AS group_id, s_suppkey % 5 = 0 OR (s_suppkey % 2 = 0 AND s_suppkey % 3 <> 0 AND s_suppkey % 7 <> 0 AND s_suppkey % 11 <> 0) AS suppressing FROM supplier""",
     "candidate_pairs": f"WITH {_TEAM}{_FEATURES}{_BUNDLES}{_WEIGHTS}{_CANDIDATES} SELECT a, b FROM cand",
     "peer_pairs": f"""WITH {_TEAM}{_FEATURES}{_BUNDLES}{_WEIGHTS}{_CANDIDATES}{_SCORED} SELECT a, b, round(applications, 9) AS applications, round(bundles, 9) AS bundles, round(process, 9) AS process,
       round(network, 9) AS network, round(activity, 9) AS activity, round(overall, 9) AS overall, shared_apps, eligible FROM elig""",
     "peer_components": f"WITH RECURSIVE {_TEAM}{_FEATURES}{_BUNDLES}{_WEIGHTS}{_CANDIDATES}{_SCORED}{_COMPONENTS} SELECT host, component FROM comp",
-    "peer_groups": f"""WITH RECURSIVE {_TEAM}{_FEATURES}{_BUNDLES}{_WEIGHTS}{_CANDIDATES}{_SCORED}{_COMPONENTS}
-      SELECT component, size, links, round(mean_overall, 9) AS mean_overall FROM (SELECT component, count(*) AS size FROM comp GROUP BY component)
-      JOIN (SELECT component, count(*) AS links, avg(overall) AS mean_overall FROM elig JOIN comp ON comp.host = a WHERE eligible GROUP BY component) USING (component) WHERE size >= 3""",
-    "group_explanations": f"""WITH {_TEAM}{_FEATURES}{_TEAMS}, fleet AS (SELECT channel, feature, count(*) AS df FROM prev GROUP BY ALL),
-      own AS (SELECT component, channel, feature, count(*) AS c FROM prev JOIN member USING (host) GROUP BY ALL),
-      sc AS (SELECT component, channel, feature, (c / size - df / n) * (ln((n + 1) / (df + 1)) + 0.15) AS score FROM own JOIN size USING (component) JOIN fleet USING (channel, feature), total)
-      SELECT component, channel, feature, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY score DESC, channel, feature) AS r FROM sc WHERE score > 0) WHERE r <= 10""",
+    "peer_groups": f"""WITH RECURSIVE {_TEAM}{_FEATURES}{_BUNDLES}{_WEIGHTS}{_CANDIDATES}{_SCORED}{_COMPONENTS}{_GROUPS}
+      SELECT component, size, apps, round(applications, 9) AS applications, round(bundles, 9) AS bundles, round(process, 9) AS process, round(network, 9) AS network, round(activity, 9) AS activity, round(overall, 9) AS overall FROM rec""",
+    "group_explanations": f"WITH {_TEAM}{_FEATURES}{_BUNDLES}{_TEAMS}{_EXPLAINED} SELECT component, channel, feature, label, round(score, 9) AS score, launched_by, network_kinds FROM expl",
     "group_centroids": f"WITH {_TEAM}{_FEATURES}{_TEAMS} SELECT component, channel, feature, round(sum(prevalence) / size, 9) AS value FROM prev JOIN member USING (host) JOIN size USING (component) GROUP BY component, channel, feature, size",
     "observed_day_bands": f"""WITH {_OBS}, hd AS (SELECT host, count(DISTINCT day) AS n FROM obs GROUP BY host)
       SELECT CASE WHEN n <= 2 THEN '1-2' WHEN n <= 6 THEN '3-6' WHEN n <= 13 THEN '7-13' ELSE '14+' END AS band, count(*) AS hosts, median(n) AS median_days FROM hd GROUP BY 1""",

@@ -241,21 +241,25 @@ def technical_vectors(spark: SparkSession, d: str) -> DataFrame:
     return profiles.technical(profiles.prevalence(obs), obs.select("host").distinct().count()).select("host", "feature", _r("value"))
 
 
-def technical_pairs(spark: SparkSession, d: str) -> DataFrame:
+def _technical(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
     obs = cohort_view(spark, d)
-    vectors = profiles.technical(profiles.prevalence(obs), obs.select("host").distinct().count())
-    return peers.cosine_pairs(vectors).select("a", "b", _r("cosine"))
+    hosts = obs.select("host").distinct().count()
+    return peers.kept(profiles.technical(profiles.prevalence(obs), hosts)), hosts
+
+
+def technical_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return peers.cosine_pairs(*_technical(spark, d)).select("a", "b", _r("cosine"))
 
 
 def candidate_pairs(spark: SparkSession, d: str) -> DataFrame:
     found, hosts = _profile(spark, d)
-    return peers.candidate_pairs(profiles.weights(found, hosts))
+    return peers.candidate_pairs(peers.kept(profiles.weights(found, hosts)), hosts)
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     found, hosts = _profile(spark, d)
     weighted = peers.kept(profiles.weights(found, hosts))
-    return peers.pair_scores(peers.candidate_pairs(weighted), weighted, hosts)
+    return peers.pair_scores(peers.candidate_pairs(weighted, hosts), weighted, hosts)
 
 
 def peer_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -266,16 +270,65 @@ def peer_components(spark: SparkSession, d: str) -> DataFrame:
     return peers.components(_scored(spark, d).where("eligible").select("a", "b"))
 
 
+def _groups(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """(groups, members of all components, prevalence, hosts)."""
+    found, hosts = _profile(spark, d)
+    found = peers.kept(found)
+    weighted = peers.kept(profiles.weights(found, hosts))
+    pairs = peers.pair_scores(peers.candidate_pairs(weighted, hosts), weighted, hosts).where("eligible").select("a", "b")
+    members = peers.components(pairs)
+    return peers.kept(peers.groups(members, weighted, found, hosts)), members, found, hosts
+
+
 def peer_groups(spark: SparkSession, d: str) -> DataFrame:
-    scored = peers.kept(_scored(spark, d))
-    return peers.groups(peers.components(scored.where("eligible")), scored).select("component", "size", "links", _r("mean_overall"))
+    return _groups(spark, d)[0].select("component", "size", "apps", *[_r(c) for c in (*profiles.CHANNEL_WEIGHTS, "overall")])
+
+
+def technical_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Without the clusters that are mostly inside a recommended group."""
+    groups, members, _, _ = _groups(spark, d)
+    vectors, hosts = _technical(spark, d)
+    clusters = peers.components(peers.cosine_pairs(vectors, hosts).select("a", "b"))
+    return peers.technical_clusters(clusters, vectors, members.join(groups, "component", "left_semi"), hosts).select("component", "size", _r("cohesion"))
+
+
+def technical_clusters_alone(spark: SparkSession, d: str) -> DataFrame:
+    """All technical clusters, as if no group were recommended."""
+    vectors, hosts = _technical(spark, d)
+    clusters = peers.components(peers.cosine_pairs(vectors, hosts).select("a", "b"))
+    return peers.technical_clusters(clusters, vectors, clusters.limit(0), hosts).select("component", "size", _r("cohesion"))
+
+
+def _teams(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    obs = cohort_view(spark, d)
+    return obs, obs.select("host", (F.col("host").cast("int") % 6).cast("string").alias("component")).distinct()
 
 
 def group_explanations(spark: SparkSession, d: str) -> DataFrame:
     """What sets each team's hosts apart."""
-    obs = cohort_view(spark, d)
-    members = obs.select("host", (F.col("host").cast("int") % 6).cast("string").alias("component")).distinct()
-    return peers.explanations(members, profiles.prevalence(obs), obs.select("host").distinct().count()).select("component", "channel", "feature", _r("score"))
+    members = _teams(spark, d)[1]
+    found, hosts = _profile(spark, d)
+    return peers.explanations(members, peers.kept(found), hosts).select("component", "channel", "feature", "label", _r("score"), "launched_by", "network_kinds")
+
+
+def group_catalogue(spark: SparkSession, d: str) -> DataFrame:
+    """The teams as if they were recommended groups."""
+    obs, members = _teams(spark, d)
+    found, hosts = _profile(spark, d)
+    found = peers.kept(found)
+    explained = peers.explanations(members, found, hosts)
+    observed = obs.groupBy("host").agg(F.count_distinct("day").alias("observed_days"))
+    return peers.catalogue(members, explained, peers.group_scores(members, profiles.weights(found, hosts)), observed, "main", False)
+
+
+def suppressing_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as registered groups."""
+    key = F.col("s_suppkey")
+    registry = spark.read.parquet(f"{d}/supplier.parquet").select(
+        key.alias("group_id"), F.when(key % 5 == 0, "manual").otherwise("auto").alias("origin"), (key % 2 == 0).alias("approved"), F.when(key % 3 == 0, "technical").otherwise("recommended").alias("suitability"),
+        F.when(key % 7 == 0, "growing").otherwise("stable").alias("maturity"), (key % 11 == 0).alias("partial"),
+    )
+    return peers.may_suppress(registry).select("group_id", "suppressing")
 
 
 def group_centroids(spark: SparkSession, d: str) -> DataFrame:
@@ -433,7 +486,7 @@ QUERIES = {
     for f in (
         host_rollup, coverage, behavior_days, behavior_days_capped, distinct_estimates, sketch_merge, network_windows, references, references_all_days, app_support, pattern_support,
         fleet_hosts, local_app_days, qualified_peers, peer_evidence, dt01_novelty, dt02_funnel, dt03_remote_execution, dt04_outbound_from_new_context, findings, findings_unexpected, process_network, admission, unseen, queue_metrics, next_batches,
-        global_addresses, prevalence, bundles, document_frequency, feature_weights, technical_vectors, technical_pairs, candidate_pairs, peer_pairs, peer_components, peer_groups,
+        global_addresses, prevalence, bundles, document_frequency, feature_weights, technical_vectors, technical_pairs, candidate_pairs, peer_pairs, peer_components, peer_groups, technical_clusters, technical_clusters_alone, group_catalogue, suppressing_groups,
         group_explanations, group_centroids, observed_day_bands, strata, cohort_seeds, app_pairs, cohort_overlaps, cohort_persistence, cohort_pair_overlaps, matched_controls, best_groups, finding_families, finding_families_top, variant_examples,
         finding_search, inbox, findings_table_page, finding_triggers, csv_cells, discover, endpoint_coverage, command_flags, path_functions, text_functions,
     )
