@@ -3,8 +3,11 @@
 import duckdb
 import pytest
 
-from vigilframe.plans import oracles
-from vigilframe.plans.queries import QUERIES, entry_funnel
+from vigilframe.plans import finding_oracles, finding_queries, oracles, queries
+from vigilframe.plans.queries import entry_funnel
+
+QUERIES = {**queries.QUERIES, **finding_queries.QUERIES}
+SQL = {**oracles.SQL, **finding_oracles.SQL}
 
 
 def rows(df):
@@ -22,12 +25,12 @@ def duck(sf_dir):
 
 
 def test_each_query_has_an_oracle():
-    assert set(QUERIES) == set(oracles.SQL)
+    assert set(QUERIES) == set(SQL)
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_equal(spark, duck, sf_dir, name):
-    got, want = QUERIES[name](spark, sf_dir).toPandas(), duck.sql(oracles.SQL[name]).df()
+    got, want = QUERIES[name](spark, sf_dir).toPandas(), duck.sql(SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,8 +51,7 @@ def redact_path(image: Column) -> Column:
 
 def basename(path: Column) -> Column:
     """The last part of a path in lower case, 255 characters at most; ``unknown`` if there is none."""
-    last = F.substring(F.lower(F.trim(F.regexp_extract(path, r"([^\\/]*)$", 1))), 1, 255)
-    return F.when(F.coalesce(last, F.lit("")) == "", "unknown").otherwise(last)
+    return F.coalesce(F.nullif(F.substring(F.lower(F.trim(F.regexp_extract(path, r"([^\\/]*)$", 1))), 1, 255), F.lit("")), F.lit("unknown"))
 
 
 #: What the flags of a command line look for.
@@ -85,14 +86,23 @@ def guid(text: Column) -> Column:
     return F.when(g.rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"), g)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body).getItem(0)
+
+
 def name_shape(image: Column) -> Column:
     """A file's name with ``{number}`` for runs of digits, if five letters or more anchor it; null without a name."""
-    name = basename(image)
-    stem = F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
-    letters = F.length(F.regexp_replace(stem, r"[^\p{L}]", ""))
-    ext = name.substr(F.length(stem) + 1, F.length(name))
-    shape = F.when((letters >= 5) & stem.rlike("[0-9]"), F.concat(F.regexp_replace(stem, "[0-9]+", "{number}"), ext)).otherwise(name)
-    return F.when(~name.isin("unknown", "-"), shape)
+
+    def shape(name: Column) -> Column:
+        def of(stem: Column) -> Column:
+            letters = F.length(F.regexp_replace(stem, r"[^\p{L}]", ""))
+            numbered = F.concat(F.regexp_replace(stem, "[0-9]+", "{number}"), name.substr(F.length(stem) + 1, F.length(name)))
+            return F.when((letters >= 5) & stem.rlike("[0-9]"), numbered).otherwise(name)
+
+        return F.when(~name.isin("unknown", "-"), let(F.regexp_replace(name, r"(?<=.)\.[^.]*$", ""), of))
+
+    return let(basename(image), shape)
 
 
 def csv_safe(text: Column) -> Column:
@@ -102,3 +112,57 @@ def csv_safe(text: Column) -> Column:
 def symbol(text: Column) -> Column:
     """Upper snake case."""
     return F.regexp_replace(F.regexp_replace(F.upper(F.trim(text)), "[^A-Z0-9]+", "_"), "^_+|_+$", "")
+
+
+def shown(value: Column, fallback: str = "—") -> Column:
+    """A value as shown: the fallback where it is missing or empty."""
+    return F.when(F.coalesce(value.cast("string"), F.lit("")) == "", fallback).otherwise(value.cast("string"))
+
+
+def glob_pattern(glob: str) -> str:
+    """A file name pattern (``*``, ``?``, ``[a-z]``, ``[!a-z]``) as a regular expression for whole names, letter case and all."""
+    out, k = [], 0
+    while k < len(glob):
+        c, k = glob[k], k + 1
+        end = glob.find("]", k + (glob[k : k + 1] == "!") + 1) if c == "[" else -1
+        if c == "*":
+            out.append(".*")
+        elif c == "?":
+            out.append(".")
+        elif end > 0:
+            inside = glob[k:end].replace("\\", "\\\\").replace("[", "\\[").replace("&", "\\&").replace("^", "\\^")
+            out.append(f"[{'^' + inside[1:] if inside.startswith('!') else inside}]")
+            k = end + 1
+        else:
+            out.append(c if c.isalnum() or c == "_" else "\\" + c)
+    return f"(?s)^{''.join(out)}\\z"
+
+
+def matches_glob(name: Column, glob: str) -> Column:
+    return name.rlike(glob_pattern(glob))
+
+
+def contains_ignoring_case(name: Column, text: str) -> Column:
+    """A search as the inbox has it: ``%`` and ``_`` of the text stand for any letters."""
+    return name.ilike(f"%{text[:100]}%")
+
+
+def is_domain_name(query: Column) -> Column:
+    """A DNS question that names a domain."""
+    return F.contains(query, F.lit("."))
+
+
+def next_span(current: Column, ceiling: Column, received: Column, maximum: Column, attempts: Column, fill: float = 0.65) -> Column:
+    """The span of the next slice: smaller where the last one was nearly full or had to be cut, twice as long where it was
+    nearly empty, never beyond the ceiling. fill: how full a slice should be."""
+    span, top = F.greatest(F.lit(1), current), F.greatest(F.lit(1), ceiling)
+    share = received / maximum
+    same = F.least(span, top)
+    smaller = F.least(top, F.greatest(F.lit(1), F.floor(span * fill / share)))
+    return (
+        F.when(maximum <= 0, same)
+        .when((attempts > 1) | (share > 0.75), F.when(received <= 0, same).otherwise(smaller))
+        .when((share < 0.45) & (span < top), F.least(top, F.greatest(span + 1, span * 2)))
+        .otherwise(same)
+        .cast("long")
+    )

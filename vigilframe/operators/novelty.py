@@ -56,12 +56,19 @@ def qualified_peers(window: DataFrame, policy: Policy) -> DataFrame:
 
 def peer_evidence(subjects: DataFrame, window: DataFrame, groups: DataFrame, policy: Policy) -> DataFrame:
     """For each (host, app, parent, location): qualified peers of the host's group and how many show the same pattern.
-    ``groups``: (host, grp)."""
-    peers = qualified_peers(window, policy).select(F.col("host").alias("peer"), "app").join(groups.select(F.col("host").alias("peer"), "grp"), "peer")
-    shown = window.select(F.col("host").alias("peer"), *PATTERN).distinct().withColumn("shown", F.lit(1))
+    ``groups``: (host, grp).
+
+    Qualified hosts are counted by group and application, and by group and pattern; a subject that is among them is taken
+    off its own counts, so no pairs of hosts are made."""
+    qualified = qualified_peers(window, policy).select("host", "app").join(groups, "host")
+    eligible = qualified.groupBy("grp", "app").agg(F.count(F.lit(1)).alias("eligible"))
+    shows = window.select("host", *PATTERN).distinct().join(qualified, ["host", "app"])
+    seen = shows.groupBy("grp", *PATTERN).agg(F.count(F.lit(1)).alias("seen"))
     subject = subjects.select("host", *PATTERN).distinct().join(groups, "host")
-    pairs = subject.join(peers, ["grp", "app"]).where(F.col("peer") != F.col("host")).join(shown, ["peer", *PATTERN], "left")
-    return pairs.groupBy("host", *PATTERN).agg(F.count(F.lit(1)).alias("peer_eligible"), F.count("shown").alias("peer_seen"))
+    found = subject.join(eligible, ["grp", "app"]).join(seen, ["grp", *PATTERN], "left")
+    found = found.join(qualified.withColumn("is_peer", F.lit(1)), ["host", "grp", "app"], "left").join(shows.select("host", "grp", *PATTERN, F.lit(1).alias("is_shown")), ["host", "grp", *PATTERN], "left")
+    counts = found.select("host", *PATTERN, (F.col("eligible") - F.coalesce("is_peer", F.lit(0))).alias("peer_eligible"), (F.coalesce("seen", F.lit(0)) - F.coalesce("is_shown", F.lit(0))).alias("peer_seen"))
+    return counts.where("peer_eligible > 0")
 
 
 def gates(live: DataFrame, days: DataFrame, day: int, policy: Policy) -> DataFrame:

@@ -32,6 +32,33 @@ def behavior_days(obs: DataFrame, cap: int) -> DataFrame:
     return days.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cap).drop("rank")
 
 
+def overflow(obs: DataFrame, cap: int) -> DataFrame:
+    """(host, day, contexts, events) that ``behavior_days`` leaves out of the days that have more contexts than the cap."""
+    days = obs.groupBy("host", "day", "app", "parent", "location").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_seen"))
+    order = Window.partitionBy("host", "day").orderBy("first_seen", "app", "parent", "location")
+    over = days.withColumn("rank", F.row_number().over(order)).where(F.col("rank") > cap)
+    return over.groupBy("host", "day").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("events"))
+
+
+def sustained(windows: DataFrame, keys: list[str], value: str, threshold: float) -> DataFrame:
+    """Windows (keys, start, value) over the threshold that directly follow one that is, too; a gap breaks the row."""
+    order = Window.partitionBy(*keys).orderBy("start")
+    over = windows.where(F.col(value) > threshold).withColumn("before", F.lag("start").over(order))
+    return over.where(F.col("before") == F.col("start") - WINDOW_SECONDS).drop("before")
+
+
+def thresholds(windows: DataFrame, keys: list[str], value: str, baseline_days: int = 28, floor: float = 30.0, factor: float = 4.0, least_days: int = 7, least_windows: int = 8) -> DataFrame:
+    """(keys, day, days, windows, threshold): for each day with windows (keys, start, value), what counts as unusual by the
+    95th percentile of the days before it; only where these are enough."""
+    rows = windows.withColumn("day", F.floor(F.col("start") / 86400).cast("int"))
+    wanted = rows.select(*keys, "day").distinct()
+    before = rows.select(*keys, F.col("day").alias("d"), F.col(value).alias("v"))
+    met = wanted.join(before, keys).where((F.col("d") < F.col("day")) & (F.col("d") >= F.col("day") - baseline_days))
+    found = met.groupBy(*keys, "day").agg(F.count_distinct("d").alias("days"), F.count(F.lit(1)).alias("windows"), F.percentile("v", 0.95).alias("p95"))
+    found = found.where((F.col("days") >= least_days) & (F.col("windows") >= least_windows))
+    return found.select(*keys, "day", "days", "windows", F.greatest(F.lit(floor), F.col("p95") * factor, F.col("p95") + floor / 2).alias("threshold"))
+
+
 def registers(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """The sketch of each key's distinct values: (keys, bucket, rank); sketches merge by the largest rank of a bucket."""
     x = F.sha2(F.col(value).cast("string"), 256)
@@ -59,6 +86,8 @@ def network_windows(obs: DataFrame, value: str, samples: int = 5) -> DataFrame:
     keys = ["host", "app", "kind", "start"]
     rows = obs.where(F.col("kind").isNotNull()).withColumn("start", window_start(F.col("ts")))
     firsts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("ts", "event_id")).alias("at"))
-    seen = firsts.groupBy(*keys).agg(F.sum("c").alias("n"), F.sort_array(F.collect_list(F.struct("at", F.col(value).alias("v")))).alias("all"))
-    seen = seen.select(*keys, "n", F.slice(F.transform("all", lambda s: s.getField("v")), 1, samples).alias("samples"))
+    order = Window.partitionBy(*keys).orderBy("at", value)
+    ranked = firsts.withColumn("r", F.row_number().over(order)).where(F.col("r") <= samples)  # ranked before they are collected
+    few = ranked.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("r", F.col(value).alias("v")))), lambda s: s.getField("v")).alias("samples"))
+    seen = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).join(few, keys, "left").withColumn("samples", F.coalesce("samples", F.array()))
     return seen.join(estimates(registers(rows, keys, value), keys), keys)

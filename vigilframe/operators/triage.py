@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import basename, csv_safe, name_shape
+from ..functions.scalars import basename, csv_safe, name_shape, shown
 
 #: When findings are a family and how many are shown.
 FAMILY_FINDINGS, FAMILY_HOSTS, FAMILIES, VARIANTS = 5, 2, 30, 8
@@ -13,10 +13,11 @@ FAMILY_KEY = ["detector", "category", "parent", "location", "shape"]
 
 
 def consensus(names: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, pattern): of names with one shape, the first with ``*`` for each run of digits that varies."""
+    """(keys, pattern): of distinct names with one shape, the first with ``*`` for each run of digits that varies."""
     split = names.select(*keys, F.posexplode(F.expr(r"regexp_extract_all(name, '[0-9]+|[^0-9]+', 0)")).alias("p", "part"))
-    parts = split.groupBy(*keys, "p").agg(F.when((F.count_distinct("part") > 1) & F.min("part").rlike("^[0-9]"), "*").otherwise(F.min("part")).alias("part"))
-    return parts.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p", "part"))), lambda s: s.getField("part")), "").alias("pattern"))
+    parts = split.groupBy(*keys, "p").agg(F.min("part").alias("low"), F.max("part").alias("high"))
+    part = F.when((F.col("low") != F.col("high")) & F.col("low").rlike("^[0-9]"), "*").otherwise(F.col("low"))
+    return parts.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p", part.alias("part")))), lambda s: s.getField("part")), "").alias("pattern"))
 
 
 def families(open_findings: DataFrame) -> DataFrame:
@@ -65,11 +66,84 @@ def page(findings: DataFrame, order: list[Column], size: int, number: int = 0) -
 def trigger() -> Column:
     """What a finding says in one line."""
     number = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("?"))
-    return (
+    novelty = (
         F.when(F.col("category") == "rare_application", F.concat(F.lit("Rare application ("), number("app_hosts"), F.lit("/"), number("fleet_hosts"), F.lit(" hosts)")))
         .when(F.col("category") == "rare_launch_relationship", F.concat(F.lit("Rare launch ("), number("pattern_hosts"), F.lit("/"), number("app_hosts"), F.lit(" app hosts)")))
         .otherwise("Unusual local behavior")
     )
+    return F.when(F.col("detector") == "DS-EXEC-001", "Remote execution characteristics").when(F.col("detector") == "DS-EXEC-002", "New context + outbound activity").when(F.col("detector") == "DS-NET-001", "Network diversity shift").otherwise(novelty)
+
+
+def order_by(column: str, descending: bool) -> list[Column]:
+    """The order of the findings table by one of its six columns, ties by id."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    by = {
+        "when": F.col("last_seen"), "detector": F.col("detector"), "hostname": F.col("host_name"), "parent": text("parent"),
+        "process": F.coalesce("image", "app", F.lit("")), "trigger": F.coalesce("category", "detector"),
+    }[column]
+    return [by.desc() if descending else by.asc(), F.col("id").asc()]
+
+
+def in_state(findings: DataFrame, status: str = "open") -> DataFrame:
+    """Findings of a state, of all states, or (``open``, and for unknown ones) of those that are open."""
+    if status == "all":
+        return findings
+    return findings.where(F.col("state") == status) if status in ("new", "investigating", "malicious", "resolved", "expected") else findings.where(F.col("state").isin("new", "investigating", "malicious"))
+
+
+def hmac_sha256(key: bytes, message: Column) -> Column:
+    """The keyed digest of a text, in hexadecimal. key: 64 bytes at most."""
+    full = key.ljust(64, b"\0")
+    inner, outer = (F.lit(bytearray(b ^ pad for b in full)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(message, "UTF-8")), 256))), 256)
+
+
+#: Places that may be told.
+PLACES = ("windows", "program-files", "user-profile", "downloads", "temporary", "network-share", "other", "unknown")
+
+
+def table_rows(findings: DataFrame, privacy_key: bytes | None = None) -> DataFrame:
+    """(id, when, detector, hostname, parent, process, trigger) as shown and exported.
+
+    With a key, hosts are aliases that hold for this key only, times are dates, and paths a place and a file name.
+    """
+    at = F.timestamp_seconds("last_seen")
+    has = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    if privacy_key is None:
+        when, name = F.date_format(at, "yyyy-MM-dd HH:mm:ss"), F.col("host_name")
+        process = F.when(has("image"), F.col("image")).when(has("app"), F.concat("app", F.lit(" (path unavailable)"))).otherwise("—")
+    else:
+        when = F.date_format(at, "yyyy-MM-dd")
+        name = F.concat(F.lit("host-"), F.substring(hmac_sha256(privacy_key, F.concat("namespace", F.lit("\0"), "host")), 1, 10))
+        place = F.when(F.col("location").isin(*PLACES), F.col("location")).otherwise("unknown")
+        last = lambda c: F.regexp_extract(F.translate(F.col(c), "/", "\\"), r"([^\\]*)$", 1)
+        leaf = F.when(has("image"), last("image")).otherwise(last("app"))
+        process = F.when(has("image") | has("app"), F.concat(place, F.lit("\\"), F.when(leaf == "", "unknown").otherwise(leaf))).otherwise("—")
+    return findings.select("id", when.alias("when"), "detector", name.alias("hostname"), shown(F.col("parent")).alias("parent"), process.alias("process"), trigger().alias("trigger"))
+
+
+#: The head of an export.
+HEADERS = ("Last seen (UTC)", "Detector", "Hostname", "Parent", "Process (path)", "Trigger")
+
+
+def csv_lines(rows: DataFrame) -> DataFrame:
+    """(id, line) of ``table_rows``: cells that no spreadsheet takes for a formula, quoted where they need it."""
+    quoted = lambda c: F.when(F.col(c).rlike('[",\\r\\n]'), F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.col(c))
+    cells = ["when", "detector", "hostname", "parent", "process", "trigger"]
+    return rows.select("id", *[csv_safe(F.col(c)).alias(c) for c in cells]).select("id", F.concat_ws(",", *map(quoted, cells)).alias("line"))
+
+
+def write_export(findings: DataFrame, path: str, privacy_key: bytes | None = None, most: int = 10_000) -> None:
+    """One file with a byte order mark, a head and CRLF line ends; refused beyond ``most`` rows, which bounds its one task."""
+    lines = csv_lines(table_rows(bounded(findings, most).orderBy(F.col("last_seen").desc(), "id"), privacy_key))
+    head = findings.sparkSession.range(1).select(F.lit("\ufeff" + ",".join(HEADERS)).alias("line"))
+    ordered = head.withColumn("o", F.lit(-1).cast("long")).unionByName(lines.select("line", F.monotonically_increasing_id().alias("o")))
+    ordered.coalesce(1).sortWithinPartitions("o").select("line").write.option("lineSep", "\r\n").text(path)
+
+
+def as_json(findings: DataFrame, columns: list[str]) -> DataFrame:
+    """(id, json) of each finding."""
+    return findings.select("id", F.to_json(F.struct(*columns)).alias("json"))
 
 
 def bounded(rows: DataFrame, most: int) -> DataFrame:

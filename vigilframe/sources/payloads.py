@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -224,5 +224,8 @@ def malformed_groups(normalized: DataFrame, limit: int = 50, samples: int = 3, r
     """The most frequent kinds of invalid records: (reason, layout, n, samples); the layout is the sorted field names."""
     keys = F.coalesce(F.array_join(F.sort_array(F.map_keys(F.from_json(F.col(record), _MAP))), ","), F.lit(""))
     bad = normalized.where("status = 'invalid'").withColumn("layout", F.substring(keys, 1, 500))
-    grouped = bad.groupBy("reason", "layout").agg(F.count(F.lit(1)).alias("n"), F.slice(F.sort_array(F.collect_set(F.substring(F.col(record), 1, 200))), 1, samples).alias("samples"))
-    return grouped.orderBy(F.col("n").desc(), "reason", "layout").limit(limit)
+    top = bad.groupBy("reason", "layout").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "reason", "layout").limit(limit)
+    texts = bad.select("reason", "layout", F.substring(F.col(record), 1, 200).alias("text")).join(F.broadcast(top.select("reason", "layout")), ["reason", "layout"]).distinct()
+    order = Window.partitionBy("reason", "layout").orderBy("text")
+    few = texts.withColumn("r", F.row_number().over(order)).where(F.col("r") <= samples).groupBy("reason", "layout").agg(F.sort_array(F.collect_list("text")).alias("samples"))
+    return top.join(few, ["reason", "layout"], "left").withColumn("samples", F.coalesce("samples", F.array())).orderBy(F.col("n").desc(), "reason", "layout")
