@@ -45,7 +45,7 @@ SEED = 11
 #: Members of a key from which it may be hot, and the share of all classes from which it is.
 COMPARED, HOT_PARTS = 8192, 100_000
 #: Shingles and texts in a block of a cluster, and texts of it that are compared with all others in round one.
-BLOCK_SHINGLES, BLOCK_TEXTS, HUBS = 1 << 20, 128, 8
+BLOCK_SHINGLES, BLOCK_TEXTS, HUBS = 1 << 20, 64, 8
 
 
 def _sign(docs: DataFrame, words: int, chunks: int, width: int) -> DataFrame:
