@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import uuid
 from collections.abc import Callable, Hashable, Iterator
@@ -48,11 +50,22 @@ def clean_up(spark: SparkSession) -> None:
 _held: list[tuple[Hashable, Any]] = []
 
 
+def _release() -> None:
+    """Gives memory that is no longer used back to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def held(key: Hashable, make: Callable[[], Any]) -> Any:
     """What a Python worker keeps between tasks: the tables of the operator that it ran last, and no other's, so that
     the stages of a pipeline don't add up in one worker."""
     if not _held or _held[0][0] != key:
-        _held.clear()
+        if _held:
+            _held.clear()
+            _release()
         _held.append((key, make()))
     return _held[0][1]
 
