@@ -132,8 +132,9 @@ def test_two_teams_are_two_groups(spark):
     rows = [(f"{team}{h}", f"{team}-app{a}", f"{team}-svc", "program-files", 100 + d) for team in ("cad", "office") for h in range(3) for a in range(3) for d in range(5)]
     found, hosts = profiles.with_bundles(obs(spark, rows))
     weighted = profiles.weights(found, hosts)
-    scored = peers.kept(peers.pair_scores(peers.candidate_pairs(weighted), weighted, hosts))
-    got = {r.component: (r.size, r.links) for r in peers.groups(peers.components(scored.where("eligible")), scored).collect()}
+    scored = peers.kept(peers.pair_scores(peers.candidate_pairs(weighted, hosts), weighted, hosts))
+    assert scored.where("eligible").count() == 6
+    got = {r.component: (r.size, r.apps) for r in peers.groups(peers.components(scored.where("eligible")), weighted, found, hosts).collect()}
     assert got == {"cad0": (3, 3), "office0": (3, 3)}
 
 
@@ -146,3 +147,38 @@ def test_equal_values_never_fall_into_two_bands(spark):
     ordered = sorted(values)
     low, high = ordered[(len(values) - 1) // 3], ordered[2 * (len(values) - 1) // 3]
     assert bands == {n: {"low" if n <= low else "middle" if n <= high else "high"} for n in set(values)}
+
+
+def test_addresses_as_the_standard_library_sees_them(spark):
+    """Whole and shortened IPv6 addresses in and around all special ranges, and text that is none."""
+    import ipaddress
+    import random
+
+    from vigilframe.operators import correlation
+
+    rng, texts = random.Random(6), ["", "::", "::1", "::2", ":::", "1::2::3", "12345::", "g::", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7:8:9", "1:2:3:4:5:6:7::", "::ffff:1:2", None]
+    for first in ("2001:0", "2001:1ff", "2001:200", "2001:db8", "2001:1", "2001:3", "2001:4:112", "2001:20", "2001:30", "2001:40", "2002", "2620", "64:ff9b:1", "64:ff9b:2", "100", "fc00", "fdff", "fe80", "febf", "fec0", "ff02"):
+        for _ in range(6):
+            tail = ":".join(f"{rng.choice([0, 0, 1, rng.randrange(1 << 16)]):x}" for _ in range(8 - first.count(":") - 1))
+            whole = ipaddress.ip_address(f"{first}:{tail}")
+            texts += [str(whole), whole.exploded.upper()]
+    texts += [str(ipaddress.ip_address(rng.randrange(1 << 32))) for _ in range(40)]
+
+    def wanted(text):
+        try:
+            return ipaddress.ip_address(text).is_global
+        except ValueError:
+            return False
+
+    rows = spark.createDataFrame([(t,) for t in texts], "a string").repartition(1).select("a", correlation.is_global(F.col("a")).alias("g")).collect()
+    assert {r.a: r.g for r in rows if not (r.a or "").startswith("22")} == {t: wanted(t or "") for t in texts if not (t or "").startswith("22")}
+
+
+def test_globs_as_the_standard_library_sees_them(spark):
+    import fnmatch
+
+    from vigilframe.functions import scalars
+
+    names, globs = ["abc", "a.c", "a]c", "ABC", "a\nc", "", "ab", "a-c", "a\\c"], ["a*", "a?c", "a[!b]c", "a[]]c", "a[b-d]*", "*", "a[", "a.c", "[a-c][a-c]", "a\\c"]
+    rows = spark.createDataFrame([(n,) for n in names], "n string").select("n", *[scalars.matches_glob(F.col("n"), g).alias(str(k)) for k, g in enumerate(globs)]).collect()
+    assert [[r[str(k)] for k in range(len(globs))] for r in rows] == [[fnmatch.fnmatchcase(r.n, g) for g in globs] for r in rows]

@@ -3,11 +3,11 @@
 import duckdb
 import pytest
 
-from vigilframe.plans import finding_oracles, finding_queries, oracles, queries
+from vigilframe.plans import finding_oracles, finding_queries, oracles, queries, raw_queries
 from vigilframe.plans.queries import entry_funnel
 
-QUERIES = {**queries.QUERIES, **finding_queries.QUERIES}
-SQL = {**oracles.SQL, **finding_oracles.SQL}
+QUERIES = {**queries.QUERIES, **finding_queries.QUERIES, **raw_queries.QUERIES}
+SQL = {**oracles.SQL, **finding_oracles.SQL, **raw_queries.SQL}
 
 
 def rows(df):

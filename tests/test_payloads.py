@@ -78,3 +78,26 @@ def test_times(spark, value, seconds):
     from vigilframe.functions.scalars import epoch
 
     assert spark.createDataFrame([(value,)], "t string").select(epoch(F.col("t"))).first()[0] == seconds
+
+
+def test_depth_bound(spark):
+    deep = lambda n: '{"a":' * n + '"[[{{"' + "}" * n
+    rows = normalized(spark, [deep(64), deep(65), json.dumps({**BASE, "x": "[" * 200})])
+    assert [r.reason for r in rows] == ["no event id", "JSON nested too deeply", None]
+
+
+def test_deep_search(spark):
+    """Fields below layers of other names are found, if asked for."""
+    odd = {"outer": [{"layer": {"Provider": {"@Name": "Microsoft-Windows-Sysmon"}, "ids": {"EventID": {"#text": "1"}}, "where": {"Computer": "Workstation.Example."}, "when": {"TimeCreated": {"@SystemTime": "2023-11-14T22:12:20Z"}}}}, {"rows": [{"@": {"Name": "Image"}, "value": "C:\\x\\y.exe"}]}]}
+    rows = spark.createDataFrame([(json.dumps(odd),), (json.dumps(BASE),)], "record string")
+    assert [r.status for r in payloads.normalize(rows).collect()] == ["invalid", "accepted"] or payloads.normalize(rows).where("status = 'accepted'").count() == 1
+    found = {r.record == json.dumps(BASE): r for r in payloads.normalize(rows, search_deep=True).collect()}
+    assert (found[False].status, found[False].host, found[False].event_id, found[False].app) == ("accepted", "workstation.example", 1, "y.exe")
+    assert found[True].app == "utility.exe"
+
+
+def test_errors_and_sizes_of_payloads(spark):
+    many = spark.createDataFrame([(1, json.dumps([{"n": k} for k in range(30)])), (2, json.dumps(BASE))], "payload int, value string")
+    rows = payloads.normalize(payloads.records(many))
+    assert [(r.payload, r.r) for r in payloads.first_errors(rows, "payload").orderBy("r").collect()] == [(1, k) for k in range(1, 21)]
+    assert [tuple(r) for r in payloads.too_many(many, "payload", 29).collect()] == [(1, 30)]

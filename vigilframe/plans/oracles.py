@@ -297,6 +297,16 @@ _GLOBAL = " AND ".join(
     )
 )
 
+_OUTBOUND = (
+    _OBS
+    + _DAYS
+    + """, c AS (SELECT host, k AS guid, ts AS created, day, app, parent, location FROM (SELECT *, row_number() OVER (PARTITION BY host, k ORDER BY ts, event_id) AS r FROM obs WHERE event_type = 'click') WHERE r = 1),
+      n AS (SELECT c.*, min(o.ts) AS network_ts FROM c JOIN obs o ON o.host = c.host AND o.k = c.guid AND o.event_type = 'purchase' AND o.ts >= c.created AND o.event_id % 10 NOT IN (0, 1) GROUP BY ALL),
+      out AS (SELECT * FROM n
+        WHERE (location = 'user-profile' OR guid % 10 = 3) AND (SELECT count(DISTINCT day) FROM days d WHERE d.host = n.host AND d.day >= n.day - 28 AND d.day < n.day) >= 7
+          AND NOT EXISTS (SELECT 1 FROM days d WHERE d.host = n.host AND d.app = n.app AND d.parent = n.parent AND d.location = n.location AND d.day >= n.day - 28 AND d.day < n.day))"""
+)
+
 _TEAMS = ", member AS (SELECT DISTINCT host, CAST(CAST(host AS INT) % 6 AS VARCHAR) AS component FROM obs), size AS (SELECT component, count(*) AS size FROM member GROUP BY component)"
 
 SQL = {
@@ -330,11 +340,13 @@ SQL = {
       ['x https://a.example/p', 'iex (Invoke-WebRequest HTTP://a.example)', 'start-process y', 'javascript:z http://b'][k % 7 % 4 + 1] AS command FROM obs)
       SELECT event_id, host, app, 'high' AS priority FROM x WHERE app <> 'notepad.exe' AND regexp_matches(lower(command), 'https?://')
         AND (app = 'mshta.exe' OR regexp_matches(lower(command), '\\biex\\b|invoke-expression|start-process|javascript:|vbscript:'))""",
-    "dt04_outbound_from_new_context": f"""WITH {_OBS}{_DAYS}, c AS (SELECT host, k AS guid, ts AS created, day, app, parent, location FROM (SELECT *, row_number() OVER (PARTITION BY host, k ORDER BY ts, event_id) AS r FROM obs WHERE event_type = 'click') WHERE r = 1),
-      n AS (SELECT c.*, min(o.ts) AS network_ts FROM c JOIN obs o ON o.host = c.host AND o.k = c.guid AND o.event_type = 'purchase' AND o.ts >= c.created GROUP BY ALL)
-      SELECT host, guid, app, parent, location, round(created, 9) AS created, round(network_ts, 9) AS network_ts FROM n
-      WHERE (location = 'user-profile' OR guid % 10 = 3) AND (SELECT count(DISTINCT day) FROM days d WHERE d.host = n.host AND d.day >= n.day - 28 AND d.day < n.day) >= 7
-        AND NOT EXISTS (SELECT 1 FROM days d WHERE d.host = n.host AND d.app = n.app AND d.parent = n.parent AND d.location = n.location AND d.day >= n.day - 28 AND d.day < n.day)""",
+    "dt04_outbound_from_new_context": f"WITH {_OUTBOUND} SELECT host, guid, app, parent, location, round(created, 9) AS created, round(network_ts, 9) AS network_ts FROM out",
+    "dt04_peers": f"""WITH {_OUTBOUND}, hg AS (SELECT DISTINCT host, CAST(host AS INT) % 6 AS grp FROM obs), sh AS (SELECT grp, app, parent, location, count(DISTINCT host) AS seen FROM obs JOIN hg USING (host) GROUP BY ALL), sz AS (SELECT grp, count(*) AS eligible FROM hg GROUP BY grp)
+      SELECT host, guid, app, parent, location FROM out WHERE NOT EXISTS (SELECT 1 FROM sh JOIN sz USING (grp) WHERE grp = CAST(out.host AS INT) % 6 AND sh.app = out.app AND sh.parent = out.parent AND sh.location = out.location
+        AND eligible >= 3 AND seen / eligible >= 0.1)""",
+    "global_ipv6": """WITH a AS (SELECT o_orderkey, ['2001:db8', '2620:0', 'fe80:1', 'fc00:2', '2001:4', '2001:20', '2400:cb00', '64:ff9b', '0:0', '2002:5'][o_orderkey % 10 + 1] AS f FROM orders)
+      SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN f || '::' || lower(hex(o_orderkey)) WHEN 1 THEN f || ':0:0:0:0:0:' || lower(hex(o_orderkey)) ELSE f || ':::' || o_orderkey END AS address,
+        o_orderkey % 3 <> 2 AND length(hex(o_orderkey)) <= 4 AND (f IN ('2620:0', '2400:cb00', '2001:20', '64:ff9b') OR (f = '0:0' AND o_orderkey > 1)) AS is_global FROM a""",
     "findings": f"WITH {_FOUND} SELECT host, detector, category, identity, round(first_seen, 9) AS first_seen, round(last_seen, 9) AS last_seen, occurrences, first_parent FROM found",
     "findings_unexpected": f"WITH {_FOUND} SELECT host, identity, occurrences FROM found WHERE NOT (CAST(host AS INT) % 3 = 0 AND CAST(host AS INT) % 2 <> 0)",
     "process_network": f"""WITH {_OBS}, c AS (SELECT host, k, min(ts) AS created FROM obs WHERE event_type = 'click' GROUP BY ALL)

