@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 #: Prevalence and size limits of cohorts.
 STRATUM_PREVALENCE, APP_PREVALENCE = 0.20, 0.30
 COHORT_DAYS, COHORT_HOSTS, LIFT, SEEDS = 7, 40, 1.25, 16
+#: Members that have to be seen later, and the share of them that has to show its applications again.
+LATER_MEMBERS, PERSISTENCE = 12, 0.50
+
+
+def eligible(obs: DataFrame, days: int = COHORT_DAYS, hosts: int = COHORT_HOSTS) -> DataFrame:
+    """Observations of hosts with enough days to be in a cohort; none of a fleet with fewer such hosts than make cohorts."""
+    enough = obs.groupBy("host").agg(F.count_distinct("day").alias("n")).where(F.col("n") >= days).select("host")
+    return obs.join(enough, "host", "left_semi") if enough.limit(hosts).count() >= hosts else obs.limit(0)
 
 
 def breadth(prevalences: DataFrame) -> DataFrame:
@@ -63,9 +71,10 @@ def overlaps(members: DataFrame, key: list[str]) -> DataFrame:
 
 
 def persistence(members: DataFrame, training: DataFrame, later: DataFrame, minimum_days: int = 3) -> DataFrame:
-    """Frozen members of each cohort on later days: (first, second, members, observed, persistent).
+    """Frozen members of each cohort on later days: (first, second, members, observed, persistent, holds).
 
-    A member is observed with enough later days, and persistent if it still shows both applications there."""
+    A member is observed with enough later days, and persistent if it still shows both applications there. A cohort holds
+    if enough members are observed and at least half of them are persistent."""
     days = later.groupBy("host").agg(F.count_distinct("day").alias("days")).where(F.col("days") >= minimum_days).select("host")
     shown = later.select("host", F.concat(F.lit("app:"), "app").alias("app")).distinct()
     seen = members.join(days, "host").withColumn("observed", F.lit(1))
@@ -73,7 +82,7 @@ def persistence(members: DataFrame, training: DataFrame, later: DataFrame, minim
     counts = members.groupBy("first", "second").agg(F.count(F.lit(1)).alias("members"))
     for rows, name in ((seen, "observed"), (both, "persistent")):
         counts = counts.join(rows.groupBy("first", "second").agg(F.count(F.lit(1)).alias(name)), ["first", "second"], "left").fillna(0, [name])
-    return counts
+    return counts.withColumn("holds", (F.col("observed") >= LATER_MEMBERS) & (F.col("persistent") >= PERSISTENCE * F.col("observed")))
 
 
 def pair_overlaps(members: DataFrame, key: str) -> DataFrame:

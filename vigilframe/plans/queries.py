@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -134,6 +135,13 @@ def dt02_funnel(spark: SparkSession, d: str) -> DataFrame:
     return novelty.funnel(_gates(spark, d))
 
 
+def dt02_week(spark: SparkSession, d: str) -> DataFrame:
+    """The funnel of the last seven days, each against the days before it, summed."""
+    obs, days = novelty_view(spark, d), peers.kept(_days(spark, d))
+    each = [novelty.funnel(novelty.gates(obs.where(F.col("day") == day), days, day, DEFAULT)) for day in range(LIVE_DAY - 6, LIVE_DAY + 1)]
+    return reduce(DataFrame.unionByName, each).groupBy("gate").agg(F.sum("n").alias("n"))
+
+
 def _findings(spark: SparkSession, d: str) -> DataFrame:
     return novelty.findings(novelty.candidates(_gates(spark, d)), _live(spark, d))
 
@@ -385,6 +393,11 @@ def cohort_seeds(spark: SparkSession, d: str) -> DataFrame:
     return cohorts.seeds(profiles.prevalence(obs), obs.select("host").distinct().count(), shown=COHORT["shown"])
 
 
+def eligible_hosts(spark: SparkSession, d: str) -> DataFrame:
+    """Hosts that may be in cohorts."""
+    return cohorts.eligible(cohort_view(spark, d)).select("host").distinct()
+
+
 def app_pairs(spark: SparkSession, d: str) -> DataFrame:
     obs = cohort_view(spark, d)
     return cohorts.app_pairs(profiles.prevalence(obs), obs.select("host").distinct().count(), **COHORT).select("first", "second", "members", _r("lift"), _r("utility"))
@@ -517,9 +530,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         host_rollup, coverage, behavior_days, behavior_days_capped, distinct_estimates, sketch_merge, network_windows, references, references_all_days, app_support, pattern_support,
-        fleet_hosts, local_app_days, qualified_peers, peer_evidence, dt01_novelty, dt02_funnel, dt03_remote_execution, dt04_outbound_from_new_context, dt04_peers, global_ipv6, findings, findings_unexpected, process_network, admission, unseen, queue_metrics, next_batches,
+        fleet_hosts, local_app_days, qualified_peers, peer_evidence, dt01_novelty, dt02_funnel, dt02_week, dt03_remote_execution, dt04_outbound_from_new_context, dt04_peers, global_ipv6, findings, findings_unexpected, process_network, admission, unseen, queue_metrics, next_batches,
         global_addresses, prevalence, bundles, document_frequency, feature_weights, technical_vectors, technical_pairs, candidate_pairs, peer_pairs, peer_components, peer_groups, technical_clusters, technical_clusters_alone, group_catalogue, suppressing_groups,
-        group_explanations, group_centroids, observed_day_bands, strata, cohort_seeds, app_pairs, cohort_overlaps, cohort_persistence, cohort_pair_overlaps, matched_controls, best_groups, finding_families, finding_families_top, variant_examples,
+        group_explanations, group_centroids, observed_day_bands, strata, cohort_seeds, eligible_hosts, app_pairs, cohort_overlaps, cohort_persistence, cohort_pair_overlaps, matched_controls, best_groups, finding_families, finding_families_top, variant_examples,
         finding_search, inbox, findings_table_page, finding_triggers, csv_cells, discover, endpoint_coverage, command_flags, path_functions, text_functions,
     )
 }
