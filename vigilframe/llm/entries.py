@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, language, minhash, nearest, packing, quality, sentencepiece, sharding, token_counts
+from . import decontaminate, exact_dedup, filter_audit, hard_negatives, html_text, language, minhash, nearest, packing, quality, sentencepiece, sharding, token_counts
 
 
 def queries() -> dict:
     return {
         "op1_html_text": html_text.op1_html_text,
         "op10_token_counts": token_counts.op10_token_counts,
+        "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+        "op12_filter_audit": filter_audit.op12_filter_audit,
+        "op13_decontaminate": decontaminate.op13_decontaminate,
         "op2_nearest": nearest.op2_nearest,
         "op3_sentencepiece": sentencepiece.op3_sentencepiece,
         "op4_quality": quality.op4_quality,
@@ -21,4 +24,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": exact_dedup.SQL}
+    return {"op5_exact_dedup": exact_dedup.SQL, "op11_hard_negatives": hard_negatives.SQL, "op12_filter_audit": filter_audit.SQL, "op13_decontaminate": decontaminate.SQL}
