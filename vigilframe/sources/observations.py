@@ -49,3 +49,19 @@ def cohort_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ts",
         "day",
     )
+
+
+def suite_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fleet of six teams in two departments, whose applications come in suites. The hosts of the last team start them in
+    ways of their own; every eleventh host is seen on few days."""
+    k, team = F.col("k"), F.col("user_id") % 6
+    name, last = F.concat(F.lit("team"), team.cast("string")), team == 5
+    app = (
+        F.when(k % 4 == 0, F.concat(F.lit("shared-app"), (k % 3).cast("string")))
+        .when((k % 5).isin(1, 2), F.concat(F.lit("dept"), (team % 2).cast("string"), F.lit("-app")))
+        .otherwise(F.concat(name, F.lit("-app"), (k % 2).cast("string")))
+    )
+    kind = F.when(~last & F.col("event_type").isin("view", "click"), "domain").when(~last & (F.col("event_type") == "purchase"), "ip")
+    parent = F.when(last, F.concat(F.lit("own"), F.col("host"))).otherwise(F.concat(name, F.lit("-svc"), (k % 2).cast("string")))
+    rows = _events(spark, sf_dir).where("user_id % 11 <> 0 OR day % 5 = 0")
+    return rows.select("event_id", "host", app.alias("app"), parent.alias("parent"), F.lit("program-files").alias("location"), kind.alias("kind"), "ts", "day")
