@@ -80,3 +80,49 @@ def with_bundles(obs: DataFrame) -> tuple[DataFrame, int]:
     base = prevalence(obs)
     hosts = obs.select("host").distinct().count()
     return base.unionByName(bundles(base, hosts)), hosts
+
+
+#: Days that profiles look back, and hosts that a namespace needs.
+REFERENCE_DAYS, FEWEST_HOSTS = 28, 3
+
+
+def profile_days(obs: DataFrame, today: int) -> DataFrame:
+    """(namespace, first_day, last_day, partial): the days that each namespace's profiles are made of. Completed days if it has
+    any among the last REFERENCE_DAYS, else today so far, which is partial."""
+    first = today - (REFERENCE_DAYS - 1)
+    seen = obs.where((F.col("day") >= first) & (F.col("day") <= today)).groupBy("namespace").agg(F.min("day").alias("earliest"))
+    completed = F.col("earliest") < today
+    return seen.select("namespace", F.lit(first).alias("first_day"), F.when(completed, today - 1).otherwise(today).alias("last_day"), (~completed).alias("partial"))
+
+
+def explicit_days(obs: DataFrame, first: int, last: int, today: int) -> DataFrame:
+    """As ``profile_days``, of completed days that the caller names."""
+    if not today - REFERENCE_DAYS <= first <= last < today:
+        raise ValueError(f"Explicit windows must be completed UTC days within the last {REFERENCE_DAYS}")
+    return obs.select("namespace").distinct().select("namespace", F.lit(first).alias("first_day"), F.lit(last).alias("last_day"), F.lit(False).alias("partial"))
+
+
+def namespace_weights(obs: DataFrame, days: DataFrame) -> DataFrame:
+    """(namespace, host, channel, feature, prevalence, weight, r): profiles of all namespaces at once, each on its own days and
+    against its own hosts. A namespace of fewer than FEWEST_HOSTS has none.
+
+    ``days`` and the sizes have one row a namespace and are broadcast while the planner finds them small."""
+    rows = obs.join(days, "namespace").where("day BETWEEN first_day AND last_day")
+    rows = rows.withColumn("host", F.struct("namespace", "host"))  # hosts of two namespaces are never one
+    base = prevalence(rows)
+    size = base.select("host").distinct().groupBy("host.namespace").agg(F.count(F.lit(1)).alias("hosts")).where(F.col("hosts") >= FEWEST_HOSTS)
+    order = Window.partitionBy("host").orderBy(F.col("prevalence").desc(), "feature")
+    top = base.where("channel = 'applications'").withColumn("k", F.row_number().over(order)).where((F.col("k") <= BUNDLE_APPS) & (F.col("prevalence") >= 0.2))
+    apps = top.groupBy("host").agg(F.sort_array(F.collect_list(F.struct(F.expr("substring(feature, 5)").alias("a"), "prevalence"))).alias("apps"))
+    pairs = apps.select("host", F.explode(F.expr("flatten(transform(apps, (x, i) -> transform(slice(apps, i + 2, size(apps)), y -> struct(x, y))))")).alias("p"))
+    pairs = pairs.select("host", F.lit("bundles").alias("channel"), F.concat(F.lit("bundle:"), "p.x.a", F.lit("|"), "p.y.a").alias("feature"), F.least("p.x.prevalence", "p.y.prevalence").alias("prevalence"))
+    every = base.unionByName(pairs).withColumn("namespace", F.col("host.namespace")).join(size, "namespace")
+    df = every.groupBy("namespace", "channel", "feature").agg(F.count(F.lit(1)).alias("df"))
+    small = F.col("hosts") < 20
+    shared = (F.col("df") >= F.when(small, 2).otherwise(3)) & (F.col("df") / F.col("hosts") <= F.when(small, 0.80).otherwise(0.65))
+    every = every.join(df, ["namespace", "channel", "feature"]).where((F.col("channel") != "bundles") | shared)
+    idf = F.when(F.col("channel") == "activity", 1.0).otherwise(F.least(F.lit(2.0), 0.25 + F.greatest(F.lit(0.0), F.log((F.col("hosts") + 1) / (F.col("df") + 1)))))
+    best = Window.partitionBy("host", "channel").orderBy(F.col("weight").desc(), "feature")
+    limit = F.create_map(*[F.lit(x) for pair in CHANNEL_LIMITS.items() for x in pair])[F.col("channel")]
+    ranked = every.withColumn("weight", F.col("prevalence") * idf).withColumn("r", F.row_number().over(best)).where(F.col("r") <= limit)
+    return ranked.select("namespace", F.col("host.host").alias("host"), "channel", "feature", "prevalence", "weight", "r")
