@@ -59,22 +59,35 @@ def thresholds(windows: DataFrame, keys: list[str], value: str, baseline_days: i
     return found.select(*keys, "day", "days", "windows", F.greatest(F.lit(floor), F.col("p95") * factor, F.col("p95") + floor / 2).alias("threshold"))
 
 
+def bucket(value: Column) -> Column:
+    """The register of a value's sketch, from the first byte of its digest; null for null."""
+    return F.conv(F.substring(F.sha2(value.cast("string"), 256), 1, 2), 16, 10).cast("int")
+
+
+def rank(value: Column) -> Column:
+    """The place of the first set bit in the next 56 bits of the digest."""
+    rest = F.conv(F.substring(F.sha2(value.cast("string"), 256), 3, 14), 16, 10).cast("long")
+    return F.when(rest == 0, 57).otherwise(57 - F.length(F.bin(rest)))
+
+
+def estimate(z: Column, zero: Column) -> Column:
+    """Distinct values by the sum of 2**-rank of all registers (1 for empty ones) and the number of empty ones: linear
+    counting for small sets, no correction for large ones."""
+    raw = F.lit(ALPHA * REGISTERS * REGISTERS) / z
+    small = REGISTERS * F.log(F.lit(float(REGISTERS)) / F.nullif(zero, F.lit(0)))
+    return F.bround(F.when((zero > 0) & (raw <= 640), small).otherwise(raw)).cast("long")
+
+
 def registers(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """The sketch of each key's distinct values: (keys, bucket, rank); sketches merge by the largest rank of a bucket."""
-    x = F.sha2(F.col(value).cast("string"), 256)
-    bucket = F.conv(F.substring(x, 1, 2), 16, 10).cast("int")
-    rest = F.conv(F.substring(x, 3, 14), 16, 10).cast("long")
-    rank = F.when(rest == 0, 57).otherwise(57 - F.length(F.bin(rest)))
-    return rows.where(F.col(value).isNotNull()).groupBy(*keys, bucket.alias("bucket")).agg(F.max(rank).cast("int").alias("rank"))
+    return rows.where(F.col(value).isNotNull()).groupBy(*keys, bucket(F.col(value)).alias("bucket")).agg(F.max(rank(F.col(value))).cast("int").alias("rank"))
 
 
 def estimates(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Distinct values from sketches: linear counting for small sets, no correction for large ones."""
+    """Distinct values from sketches."""
     n = F.count(F.lit(1))
     sums = sketch.groupBy(*keys).agg((F.sum(F.pow(F.lit(2.0), -F.col("rank"))) + (REGISTERS - n)).alias("z"), (REGISTERS - n).alias("zero"))
-    raw = F.lit(ALPHA * REGISTERS * REGISTERS) / F.col("z")
-    small = REGISTERS * F.log(F.lit(float(REGISTERS)) / F.col("zero"))
-    return sums.select(*keys, F.bround(F.when((F.col("zero") > 0) & (raw <= 640), small).otherwise(raw)).cast("long").alias("distinct_estimate"))
+    return sums.select(*keys, estimate(F.col("z"), F.col("zero")).alias("distinct_estimate"))
 
 
 def window_start(ts: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Structured Streaming jobs over observations: landing, deduplication, windows and process correlation.
+"""Structured Streaming jobs over observations: landing, deduplication and windows. Process correlation is in ``stateful``.
 
 Streaming frames have the columns of an observation with ``at`` (timestamp of the event). The collection clock comes with
 the data (``collected_at``); nothing reads the wall clock, so a replay gives the same rows.
@@ -6,16 +6,15 @@ the data (``collected_at``); nothing reads the wall clock, so a replay gives the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import summaries
 from ..operators.correlation import admission
 
 SHARDS = 4
+#: Files of a lane and shard in one batch, at most.
+SPREAD = 64
 
 
 def shard(host: str = "host", shards: int = SHARDS):
@@ -28,45 +27,18 @@ def deduplicate(stream: DataFrame, key: list[str], ttl: str = "48 hours", at: st
     return stream.withWatermark(at, ttl).dropDuplicatesWithinWatermark(key)
 
 
-def tumbling_windows(stream: DataFrame, lateness: str = "2 hours", at: str = "at", keys: tuple[str, ...] = ("host", "app", "kind")) -> DataFrame:
-    """Events per key and half hour, and an estimate of distinct values, emitted when the watermark closes the window."""
-    counted = stream.where(F.col("kind").isNotNull()).withWatermark(at, lateness).groupBy(F.window(at, "30 minutes").alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("value").alias("distinct_values"))
-    return counted.select(F.col("w.start").alias("start"), *keys, "n", "distinct_values")
-
-
-_CORRELATED = "host string, guid string, created double, network_ts double"
-_STATE = "created double, done double, network string"
-
+def tumbling_windows(stream: DataFrame, lateness: str = "2 hours", at: str = "at", keys: tuple[str, ...] = ("host", "app", "location", "kind")) -> DataFrame:
+    """Events per key and half hour, and the estimate of distinct values, emitted when the watermark closes the window.
 
-def correlate(stream: DataFrame, lateness: str = "1 day", keep_days: int = 7, at: str = "at") -> DataFrame:
-    """Process starts (kind null) with the first network event of the same process at or after them.
-
-    Either may arrive first. A process's state holds its start and the network times not yet attributed; it goes when
-    the watermark has passed the process's last event by ``keep_days``. Each process is emitted once.
+    The estimate is the batch's: the first aggregation keeps the largest rank of each register (state of at most 256 rows a
+    window and key, merged on the map side), the second one turns the registers of a closed window into the estimate.
     """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        created, done, waiting, last = float("inf"), 0.0, [], 0.0
-        if state.exists:
-            created, done, text = state.get
-            waiting = [float(x) for x in text.split(",") if x]
-        for batch in batches:
-            start = batch["kind"].isna()
-            created = min(created, float(batch.loc[start, "ts"].min())) if start.any() else created
-            waiting += batch.loc[~start, "ts"].astype(float).tolist()
-            last = max(last, float(batch["ts"].max()))
-        after = [t for t in waiting if t >= created]
-        if after and not done:
-            yield pd.DataFrame({"host": [key[0]], "guid": [key[1]], "created": [created], "network_ts": [min(after)]})
-            done, waiting = 1.0, []
-        state.update((created, done, "" if done else ",".join(map(repr, sorted(set(waiting))))))
-        state.setTimeoutTimestamp(max(int(1000 * last), state.getCurrentWatermarkMs() + 1) + keep_days * 86_400_000)
-
-    keyed = stream.withWatermark(at, lateness).groupBy("host", "guid")
-    return keyed.applyInPandasWithState(step, _CORRELATED, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    rows = stream.where(F.col("kind").isNotNull()).withColumn("bucket", F.coalesce(summaries.bucket(F.col("value")), F.lit(-1))).withWatermark(at, lateness)
+    parts = rows.groupBy(F.window(at, "30 minutes").alias("w"), *keys, "bucket").agg(F.max(summaries.rank(F.col("value"))).alias("rank"), F.count(F.lit(1)).alias("n"))
+    full = F.col("bucket") >= 0
+    sums = parts.groupBy("w", *keys).agg(F.sum("n").alias("n"), F.count_if(full).alias("used"), F.coalesce(F.sum(F.when(full, F.pow(F.lit(2.0), -F.col("rank")))), F.lit(0.0)).alias("s"))
+    zero = summaries.REGISTERS - F.col("used")
+    return sums.select(F.col("w.start").alias("start"), *keys, "n", F.when(F.col("used") > 0, summaries.estimate(F.col("s") + zero, zero)).alias("distinct_estimate"))
 
 
 def land(stream: DataFrame, path: str, checkpoint: str, ledger: str, baseline_days: int = 28):
@@ -82,7 +54,8 @@ def land(stream: DataFrame, path: str, checkpoint: str, ledger: str, baseline_da
             return
         labelled = admission(batch, float(clock), baseline_days).withColumn("shard", shard())
         kept = labelled.where(F.col("admission").isin("live", "historical")).withColumn("lane", F.when(F.col("admission") == "live", "live").otherwise("backfill"))
-        kept.drop("admission").repartition("lane", "shard").sortWithinPartitions("lane", "shard", "ts", F.col("kind").isNotNull()).write.mode("overwrite").partitionBy("lane", "shard").parquet(f"{path}/batch={number}")
+        spread = F.pmod(F.xxhash64("host"), F.lit(SPREAD))  # a host's records stay together, a shard's go to several files
+        kept.drop("admission").repartition("lane", "shard", spread).sortWithinPartitions("lane", "shard", "ts", F.col("kind").isNotNull()).write.mode("overwrite").partitionBy("lane", "shard").parquet(f"{path}/batch={number}")
         labelled.groupBy("admission").agg(F.count(F.lit(1)).alias("n")).withColumn("clock", F.lit(float(clock))).write.mode("overwrite").parquet(f"{ledger}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
