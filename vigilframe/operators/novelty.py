@@ -96,6 +96,26 @@ def gates(live: DataFrame, days: DataFrame, day: int, policy: Policy) -> DataFra
     return found.withColumn("gate", ladder)
 
 
+#: Days of a bin in which intervals of days meet.
+BIN = 7
+
+
+def incomplete(subjects: DataFrame, backlog: DataFrame, policy: Policy, source: str = "source") -> DataFrame:
+    """``subjects`` (source, day, ...) with ``historical_reference_incomplete``: whether days of their reference window are still
+    to be loaded. ``backlog``: (source, first_day, last_day) of outstanding batches.
+
+    Intervals meet in bins of days. A bin keeps one row a source, the earliest first day and the latest last day of what
+    touches it: a window is never shorter than a bin, so these two tell exactly whether something in the bin overlaps it."""
+    bins = lambda a, b: F.explode(F.sequence(F.floor(a / BIN), F.floor(b / BIN)))
+    low, high = F.col("day") - policy.baseline_days, F.col("day") - 1
+    held = backlog.where("first_day <= last_day").select(source, "first_day", "last_day", bins(F.col("first_day"), F.col("last_day")).alias("bin"))
+    held = held.groupBy(source, "bin").agg(F.min("first_day").alias("first_day"), F.max("last_day").alias("last_day"))
+    asked = subjects.select(source, "day").distinct().select(source, "day", bins(low, high).alias("bin"))
+    hit = asked.join(held, [source, "bin"]).where((F.col("last_day") >= low) & (F.col("first_day") <= high)).select(source, "day").distinct()
+    marked = subjects.join(hit.withColumn("hit", F.lit(True)), [source, "day"], "left")
+    return marked.withColumn("historical_reference_incomplete", F.coalesce("hit", F.lit(False))).drop("hit")
+
+
 def candidates(gated: DataFrame) -> DataFrame:
     return gated.where(F.col("gate").isin("rare_application", "rare_launch_relationship")).withColumnRenamed("gate", "category")
 

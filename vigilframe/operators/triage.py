@@ -160,3 +160,14 @@ def csv_cells(rows: DataFrame) -> DataFrame:
 
 def write_csv(rows: DataFrame, path: str, most: int = 10_000) -> None:
     csv_cells(bounded(rows, most)).write.option("header", True).option("lineSep", "\r\n").csv(path)
+
+
+def rollup(findings: DataFrame, levels: list[list[str]], host: str = "host") -> DataFrame:
+    """(columns of the levels, level, findings, hosts): counts of all levels in one pass over the findings, and no names of hosts.
+    A column that a level doesn't have is null there; ``level`` is the level's place."""
+    columns = list(dict.fromkeys(c for level in levels for c in level))
+    asked = [[F.col(c) for c in level] for level in levels]
+    counted = findings.groupingSets(asked, *columns).agg(F.grouping_id(*columns).alias("id"), F.count(F.lit(1)).alias("findings"), F.count_distinct(host).alias("hosts"))
+    place = {sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in level): k for k, level in enumerate(levels)}
+    which = F.create_map(*[F.lit(x) for pair in place.items() for x in pair])[F.col("id").cast("int")]
+    return counted.select(*columns, which.alias("level"), "findings", "hosts")
