@@ -97,7 +97,7 @@ def test_a_changed_batch_is_refused_and_the_rest_lands_once(spark, tmp_path):
 
 
 def test_decoding_resumes_at_the_committed_offset(spark):
-    one = spark.createDataFrame([batches(spark, 40, 100).where("event_count > 4").first()])
+    one = spark.createDataFrame([batches(spark, 200, 100).where("event_count > 4").first()])
     ledger = one.select("batch", F.lit(3).cast("long").alias("upto")).unionByName(one.select("batch", F.lit(1).cast("long").alias("upto")))
     got = staged.decode(staged.committed(one, ledger), EVENT).collect()
     assert min(r.offset for r in got) == 3 and len(got) == one.first().event_count - 3
