@@ -579,6 +579,26 @@ def test_recount_tables(spark, docs, empty):
 # --- operator 1
 
 
+@pytest.mark.parametrize(
+    "page, kept",
+    [
+        ('<article><h2 id="related-work">Related work</h2><h2 id="market-share">Share</h2><p>x</p></article>', ["Related work", "Share", "x"]),
+        ('<article><section id="discussion"><p>a</p></section><section class="discussion">b</section><div id="comments">c</div></article>', ["a", "b", "c"]),
+        ('<article><p class="notice-period">a</p><table><tr class="alert"><td>b</td></tr></table><blockquote class="reply">c</blockquote></article>', ["a", "b", "c"]),
+        ('<article><figure class="share"><img src="x"><figcaption class="image-share">a</figcaption></figure><ul><li class="ad">b</li></ul></article>', ["a", "b"]),
+        ('<article class="notice"><p>a</p></article><article class="menu category-food">b</article>', ["a", "b"]),
+        ('<div class="header-wrap content"><p>a</p></div>', ["a"]),
+        ("<article><p>let <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></math> be <object data='o'>this</object> one</p></article>", ["let x=12 be this one"]),
+        ('<article><div class="market-share">a</div><div class="has-sidebar">b</div><header class="header">c</header></article>', ["a", "b", "c"]),
+        ('<article>a<div class="share-buttons">S</div><div class="comments-area">C</div><div class="ad">A</div><ul class="related-links"><li>R</ul><nav>N</nav><aside>B</aside><form>F</form></article>', ["a"]),
+        ('<main>a<article class="comment">C</article><article class="ad box">A</article></main><div id="cookie-banner">K</div><p class="notice">N</p><div class="site-footer">F</div>', ["a"]),
+    ],
+)
+def test_names_of_boxes(page, kept):
+    """Text of an article stays whatever its headings and paragraphs are called; boxes around it go by their names."""
+    assert [t for k, t in html_text.blocks(page) if k != html_text.CHROME] == kept
+
+
 def test_blocks():
     page = """<!DOCTYPE html><head><title>T</title></head><body class="x has-sidebar"><div id="cookieBanner">We use</div><header>Site</header><main><header><h1>T &amp; x</h1></header>
     <p>a<br>b &nbsp; c <b>d</b>e<p>unclosed <i>one<section class="reader comments"><article>nice</article></section><ul><li>x<li>y</ul></main>

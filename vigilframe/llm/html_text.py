@@ -17,9 +17,10 @@ Article blocks are proven by the markup and stay whole, chrome goes. Articles ar
 article on one host are its text, not boilerplate, and a page whose markup names its article needs no guess about it. Pages
 that name no article rest on the suffix array alone.
 
-Markup: an ``article`` is chrome only where it is hidden, inside chrome, or its first class is a chrome word as it stands
-(``class="comment"``), ``main`` only where it is hidden or inside chrome. Inside an article a header is its own. Paragraphs,
-items and rows end where the next one begins.
+Markup: an ``article`` is chrome only where it is hidden, inside chrome, or its first class says that it is a comment or an
+advert (``class="comment"``), ``main`` only where it is hidden or inside chrome. Inside an article a header is its own, ids never
+decide, and a class only for boxes (see ``_named_chrome``). Formulas and the text of an ``object`` run on in the sentence around
+them. Paragraphs, items and rows end where the next one begins.
 
 Defined results: null and empty html give the empty text; a null url is a host of its own; broken markup (unclosed or
 stray tags) drops no text but that of elements it leaves open inside chrome; a null page_id is kept; repeated rows count
@@ -50,7 +51,7 @@ PARTS = 64
 ARTICLE, OPEN, CHROME = 0, 1, 2
 
 #: Elements whose content is never text of the page.
-RAW = frozenset("script style noscript template iframe svg math object canvas audio video textarea select option title".split())
+RAW = frozenset("script style noscript template iframe svg canvas audio video textarea select option title annotation annotation-xml".split())
 #: Elements that are chrome by themselves, and roles, words of a class or id that make one so.
 CHROME_TAGS = frozenset("nav header footer aside form head menu dialog button".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
@@ -60,14 +61,21 @@ CHROME_WORDS = frozenset(
     "comment comments commentlist disqus reply replies respond discussion related recommended share sharing social newsletter subscribe signup login form search pagination pager skip".split()
 )
 BESIDE = frozenset("has with no without".split())
-#: Chrome words that say nothing inside an article.
-OWN_WORDS = frozenset("header masthead".split())
+#: Chrome words that say nothing inside an article, and those that make an ``article`` chrome.
+OWN_WORDS = frozenset("header masthead discussion respond".split())
+NO_ARTICLE = frozenset("comment comments reply replies ad ads adv advert adverts advertisement sponsor sponsored promo".split())
+#: Words that go with a chrome word in a compound name without changing what it says.
+NEUTRAL = frozenset("area bar block bottom box btn button buttons col column container desktop fixed global group holder icon icons inner item items left link links list main mobile outer page panel primary right row secondary section site sticky top wrap wrapper".split())
+#: Names of boxes that hold the text, whatever else they are called.
+CONTENT = frozenset("article article-body article-content content entry entry-content main-content post-body post-content story".split())
+#: Elements of the text itself: in an article no class or id makes them chrome, elsewhere only a class that is a chrome word.
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption caption tr td th tbody thead tfoot li dt dd figure hgroup address".split())
 #: Elements that a new one ends: a paragraph by any block, an item or row by the next.
 ENDED = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody"]), "option": frozenset(["option"])}
 #: Elements that keep their place on the stack until they are closed; all others but RAW only separate blocks or not.
 BOXES = CHROME_TAGS | frozenset("html body div section article main ul ol dl table figure details fieldset blockquote center address hgroup".split())
 #: Elements inside which text runs on.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr td th".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr td th object math semantics mrow mi mo mn ms mtext mfrac msqrt mroot mstyle msub msup msubsup munder mover munderover mpadded mphantom mfenced menclose".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 TAG = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>""", re.S)
@@ -80,8 +88,9 @@ def _kind_of(tag: str, attributes: str, inside: int) -> int:
     """The kind of a box's own text, ``inside`` being that of the box around it."""
     if inside == CHROME:
         return CHROME
-    words: set[str] = set()
-    role, hidden, first = "", False, ""
+    classes: list[str] = []
+    ids: list[str] = []
+    role, hidden = "", False
     if attributes:
         for name, value in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'")
@@ -89,23 +98,33 @@ def _kind_of(tag: str, attributes: str, inside: int) -> int:
                 role = value.strip().lower()
             elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 hidden = True
-            elif name in ("class", "id"):
-                if name == "class":
-                    first = (value.lower().split() or [""])[0]
-                for one in value.split():  # "with-sidebar" says what stands beside a box, not what it is
-                    own = WORD.findall(CAMEL.sub(" ", one).lower())
-                    words.update(own if BESIDE.isdisjoint(own) else ())
+            elif name == "class":
+                classes = value.split()
+            elif name == "id":
+                ids = value.split()
     if hidden:
         return CHROME
     if tag in ("article", "main") or role in ("article", "main"):
-        return CHROME if tag == "article" and first in CHROME_WORDS else ARTICLE
-    if inside == ARTICLE:
-        words -= OWN_WORDS
-    if role in CHROME_ROLES or words & CHROME_WORDS and tag not in ("body", "html"):
-        return CHROME
-    if tag in CHROME_TAGS and not (tag == "header" and inside == ARTICLE):
+        return CHROME if tag == "article" and classes and classes[0].lower() in NO_ARTICLE else ARTICLE
+    if role in CHROME_ROLES or tag in CHROME_TAGS and not (tag == "header" and inside == ARTICLE):
         return CHROME
-    return inside
+    return CHROME if tag not in ("body", "html") and _named_chrome(tag, classes, ids, inside) else inside
+
+
+def _named_chrome(tag: str, classes: list[str], ids: list[str], inside: int) -> bool:
+    """Whether its class or id makes a box chrome.
+
+    Inside an article ids are made from headings and say nothing, nor do the classes of headings, paragraphs, items and
+    rows; a compound class counts only if all of it does ("share-buttons", not "market-share"). Elsewhere any part of a
+    name counts, but for boxes that are also called the content, and for elements of the text, whose class has to be a
+    chrome word as it stands. "with-sidebar" says what stands beside a box, not what it is."""
+    if tag in TEXT_TAGS:
+        return inside != ARTICLE and any(c.lower() in CHROME_WORDS for c in classes)
+    names = [WORD.findall(CAMEL.sub(" ", c).lower()) for c in (classes if inside == ARTICLE else classes + ids)]
+    names = [own for own in names if BESIDE.isdisjoint(own)]
+    if inside == ARTICLE:
+        return any(not CHROME_WORDS.isdisjoint(set(own) - OWN_WORDS) and CHROME_WORDS | NEUTRAL >= set(own) for own in names)
+    return not any(c.lower() in CONTENT for c in classes) and any(not CHROME_WORDS.isdisjoint(own) for own in names)
 
 
 def blocks(page: str) -> list[tuple[int, str]]:
@@ -136,7 +155,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
             if not closing and not attributes.endswith("/"):
                 end = re.compile(rf"</{tag}\s*>", re.I).search(page, position)
                 position = end.end() if end else n
-            if tag not in ("svg", "math"):
+            if tag not in ("svg", "annotation", "annotation-xml"):
                 close()
             continue
         if not closing and stack and (stack[-1][0] == "p" and tag not in INLINE and tag != "br" or tag in ENDED.get(stack[-1][0], ())):
