@@ -71,6 +71,23 @@ def peer_evidence(subjects: DataFrame, window: DataFrame, groups: DataFrame, pol
     return counts.where("peer_eligible > 0")
 
 
+def reference_evidence(live: DataFrame, days: DataFrame, day: int, cohorts: DataFrame, suppressing: DataFrame, policy: Policy) -> DataFrame:
+    """Every live (host, app, parent, location) with all that its reference says: days seen before, peers in the host's cohort that
+    are qualified and that show the same, whether they may keep a finding back, and how far the host is known.
+
+    ``cohorts``: (host, cohort), hosts without one left out; ``suppressing``: (label, suppressing)."""
+    found = references(live, days, policy)
+    grouped = cohorts.select("host", F.col("cohort").alias("grp"))
+    peers = peer_evidence(live, prior(days, day, policy), grouped, policy)
+    rows = found.join(cohorts.select("host", "cohort"), "host", "left").join(suppressing.select(F.col("label").alias("cohort"), "suppressing"), "cohort", "left")
+    rows = rows.join(peers, ["host", *PATTERN], "left").fillna(0, ["peer_eligible", "peer_seen"])
+    allowed = F.coalesce("suppressing", F.lit(False))
+    return rows.select(
+        "host", "day", *PATTERN, "observed_days", "familiar_days", "local_new", "peer_seen", "peer_eligible", (F.col("peer_eligible") > 0).alias("peer_evidence_available"), allowed.alias("peer_group_suppression_allowed"),
+        (allowed & (F.col("peer_eligible") >= policy.minimum_peer_hosts)).alias("peer_qualified"), F.coalesce("cohort", F.lit("unassigned")).alias("cohort"), F.when(F.col("established"), "established").otherwise("learning").alias("confidence"),
+    )
+
+
 def gates(live: DataFrame, days: DataFrame, day: int, policy: Policy) -> DataFrame:
     """Every live (host, app, parent, location) with its reference, fleet counts and the gate it stopped at."""
     window = prior(days, day, policy)

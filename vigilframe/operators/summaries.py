@@ -52,13 +52,23 @@ def thresholds(windows: DataFrame, keys: list[str], value: str, baseline_days: i
     95th percentile of the days before it; only where these are enough."""
     rows = windows.withColumn("day", F.floor(F.col("start") / 86400).cast("int"))
     wanted = rows.select(*keys, "day").distinct()
-    before = rows.select(*keys, F.col("day").alias("d"), F.col(value).alias("v"))
-    met = wanted.join(before, keys).where((F.col("d") < F.col("day")) & (F.col("d") >= F.col("day") - baseline_days))
-    found = met.groupBy(*keys, "day").agg(F.count_distinct("d").alias("days"), F.count(F.lit(1)).alias("windows"), F.percentile("v", 0.95).alias("p95"))
+    # a day's histogram goes to the days that look back on it, so a key's days are summed apart, and on the map side first
+    daily = rows.groupBy(*keys, F.col("day").alias("d"), F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    ahead = daily.withColumn("day", F.explode(F.sequence(F.col("d") + 1, F.col("d") + baseline_days))).join(wanted, [*keys, "day"], "left_semi")
+    found = ahead.groupBy(*keys, "day").agg(F.size(F.collect_set("d")).cast("long").alias("days"), F.sum("c").alias("windows"), F.percentile("v", F.lit(0.95), F.col("c")).alias("p95"))
     found = found.where((F.col("days") >= least_days) & (F.col("windows") >= least_windows))
     return found.select(*keys, "day", "days", "windows", F.greatest(F.lit(floor), F.col("p95") * factor, F.col("p95") + floor / 2).alias("threshold"))
 
 
+def bursts(windows: DataFrame, keys: list[str], value: str, **limits: float) -> DataFrame:
+    """(keys, start, value, threshold, before): windows over the threshold of their day that directly follow one that is over
+    its own, whose start is ``before``. Days without enough history have no threshold and so no bursts."""
+    placed = windows.withColumn("day", F.floor(F.col("start") / 86400).cast("int"))
+    limit = thresholds(windows, keys, value, **limits).select(*keys, "day", "threshold")
+    over = placed.join(limit, [*keys, "day"]).where(F.col(value) > F.col("threshold")).withColumn("before", F.lag("start").over(Window.partitionBy(*keys).orderBy("start")))
+    return over.where(F.col("before") == F.col("start") - WINDOW_SECONDS).select(*keys, "start", value, "threshold", "before")
+
+
 def bucket(value: Column) -> Column:
     """The register of a value's sketch, from the first byte of its digest; null for null."""
     return F.conv(F.substring(F.sha2(value.cast("string"), 256), 1, 2), 16, 10).cast("int")

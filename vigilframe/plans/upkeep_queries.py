@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import domains
 from ..operators import novelty, retention, summaries, triage
 from ..sources import staged
-from ..sources.observations import novelty_view
+from ..sources.observations import cohort_view, novelty_view
 from . import queries as library
-from .oracles import _DAYS, _FOUND, _OBS, CLOCK, LIVE_DAY
+from .finding_oracles import _WINDOWS
+from .oracles import _DAYS, _FOUND, _OBS, _REFERENCES, _TEAM, _WINDOW, CLOCK, LIVE_DAY
 from .policy import DEFAULT
 
 #: Rules of the query on domains: plain ones, one with any label before it, an exception of it. ``net`` has none.
@@ -101,7 +104,24 @@ def detector_retirement(spark: SparkSession, d: str) -> DataFrame:
     return retention.retirement(rows, rows.where("o_orderkey % 3 = 0"))
 
 
-QUERIES = {f.__name__: f for f in (registrable_domains, dt01_incomplete, incomplete_days, findings_rollup, staged_records, staged_failures, retention_counts, detector_retirement)}
+def window_bursts(spark: SparkSession, d: str) -> DataFrame:
+    """Half hours in which a kind of event comes from unusually many hosts, right after another such one."""
+    rows = novelty_view(spark, d).withColumn("start", summaries.window_start(F.col("ts")))
+    windows = rows.groupBy("event_type", "start").agg(F.count_distinct("host").alias("v"))
+    return summaries.bursts(windows, ["event_type"], "v", floor=0.2, factor=0.5).withColumn("threshold", F.round("threshold", 6))
+
+
+def reference_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """The live day's contexts of teams as cohorts, every other of which may keep findings back; the last team has none."""
+    obs = cohort_view(spark, d)
+    team = F.col("host").cast("int") % 6
+    cohorts = obs.select("host", F.concat(F.lit("team-"), team.cast("string")).alias("cohort")).distinct().where("cohort <> 'team-5'")
+    labels = spark.createDataFrame([(f"team-{t}", t % 2 == 0) for t in range(5)], "label string, suppressing boolean")
+    days = summaries.behavior_days(obs, DEFAULT.maximum_contexts_per_host_day)
+    return novelty.reference_evidence(obs.where(F.col("day") == LIVE_DAY), days, LIVE_DAY, cohorts, labels, replace(DEFAULT, minimum_peer_hosts=3))
+
+
+QUERIES = {f.__name__: f for f in (window_bursts, reference_evidence, registrable_domains, dt01_incomplete, incomplete_days, findings_rollup, staged_records, staged_failures, retention_counts, detector_retirement)}
 
 _BACKLOG = f"""back AS (
   SELECT o_custkey % 48 AS source, {LIVE_DAY} - o_orderkey % 900 - o_orderkey % 4 AS first_day, {LIVE_DAY} - o_orderkey % 900 AS last_day FROM orders WHERE o_orderkey % 37 = 0
@@ -123,6 +143,25 @@ def _kept(name: str, rows: str, gone: str) -> str:
 
 
 SQL = {
+    "window_bursts": f"""WITH {_OBS}{_WINDOWS}, wd AS (SELECT *, CAST(floor(start / 86400) AS INT) AS day FROM win),
+th AS (
+  SELECT a.event_type, a.day, greatest(0.2, quantile_cont(b.v, 0.95) * 0.5, quantile_cont(b.v, 0.95) + 0.1) AS threshold
+  FROM (SELECT DISTINCT event_type, day FROM wd) a JOIN wd b ON b.event_type = a.event_type AND b.day < a.day AND b.day >= a.day - 28 GROUP BY a.event_type, a.day HAVING count(DISTINCT b.day) >= 7 AND count(*) >= 8
+),
+ov AS (SELECT wd.event_type, wd.start, wd.v, threshold FROM wd JOIN th ON th.event_type = wd.event_type AND th.day = wd.day WHERE wd.v > threshold)
+SELECT x.event_type, x.start, x.v, round(x.threshold, 6) AS threshold, y.start AS before FROM ov x JOIN ov y ON y.event_type = x.event_type AND y.start = x.start - 1800""",
+    "reference_evidence": f"""WITH {_TEAM}{_DAYS}{_WINDOW}, subject AS (SELECT DISTINCT host, day, app, parent, location FROM obs WHERE day = {LIVE_DAY}),
+ref AS (WITH {_REFERENCES[2:]}),
+tm AS (SELECT DISTINCT host, 'team-' || (CAST(host AS INT) % 6) AS cohort FROM obs WHERE CAST(host AS INT) % 6 <> 5),
+q AS (SELECT host, app FROM win GROUP BY ALL HAVING count(DISTINCT day) >= 7), shown AS (SELECT DISTINCT host, app, parent, location FROM win),
+pe AS (
+  SELECT s.host, s.app, s.parent, s.location, count(*) AS peer_eligible, count(x.host) AS peer_seen FROM subject s JOIN tm a ON a.host = s.host JOIN tm b ON b.cohort = a.cohort AND b.host <> a.host JOIN q ON q.host = b.host AND q.app = s.app
+    LEFT JOIN shown x ON x.host = b.host AND x.app = s.app AND x.parent = s.parent AND x.location = s.location GROUP BY ALL
+)
+SELECT r.host, r.day, r.app, r.parent, r.location, r.observed_days, r.familiar_days, r.local_new, coalesce(peer_seen, 0) AS peer_seen, coalesce(peer_eligible, 0) AS peer_eligible, coalesce(peer_eligible, 0) > 0 AS peer_evidence_available,
+  coalesce(tm.cohort IN ('team-0', 'team-2', 'team-4'), false) AS peer_group_suppression_allowed, coalesce(tm.cohort IN ('team-0', 'team-2', 'team-4'), false) AND coalesce(peer_eligible, 0) >= 3 AS peer_qualified, coalesce(tm.cohort, 'unassigned') AS cohort,
+  CASE WHEN established THEN 'established' ELSE 'learning' END AS confidence
+FROM ref r LEFT JOIN tm ON tm.host = r.host LEFT JOIN pe ON pe.host = r.host AND pe.app = r.app AND pe.parent = r.parent AND pe.location = r.location""",
     "registrable_domains": f"""WITH u AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS h FROM pages),
 n AS (SELECT DISTINCT CASE WHEN page_id % 5 = 0 THEN upper(h) || '.' WHEN page_id % 7 = 0 THEN regexp_replace(h, '^[^.]+\\.', '') ELSE h END AS domain FROM u),
 l AS (SELECT domain, string_split(regexp_replace(lower(domain), '\\.+$', ''), '.') AS ls FROM n),
