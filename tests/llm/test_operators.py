@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -360,6 +361,19 @@ def test_sentencepiece_is_the_best_segmentation():
         assert decoder.decode(own) == text.replace("▁", " ").encode()
 
 
+def test_open_paths_take_linear_time():
+    """A million characters in which paths of several phases never meet; the same ids in chunks of any size."""
+    encoder, _ = sentencepiece.coders(None)
+    began = time.time()
+    ids = encoder.ids("\u2581" + "the" * 333_333)
+    assert time.time() - began < 120 and "".join(encoder.vocab.pieces[i] for i in ids[:4000]) == ("\u2581" + "the" * 4000)[: sum(len(encoder.vocab.pieces[i]) for i in ids[:4000])]
+    some = "\u2581" + "the" * 700 + "in" * 300 + "\u65e5" + "an" * 500
+    window, got = sentencepiece.Window(encoder), []
+    for k in range(0, len(some), 7):
+        got += window.feed(some[k : k + 7])
+    assert got + window.finish() == encoder.ids(some)
+
+
 @pytest.mark.parametrize("alphabet", ["theranidsou", "▁ther", "an日x\n", "a"])
 def test_window_in_chunks_keeps_no_more_than_the_longest_piece(alphabet):
     encoder, _ = sentencepiece.coders(None)

@@ -31,6 +31,10 @@ from .pieces import MARK, Vocabulary, vocabulary
 
 #: Units and parts in a worker's tables (under 350 MB), and the longest that are kept there.
 UNITS, PARTS, UNIT_CHARS = 700_000, 700_000, 48
+#: Characters that are fed to the window at once.
+CHUNK = 4096
+#: Bits of a piece's id in a step back.
+BITS = 24
 #: Below the lowest score of a piece by so much is a character that is none.
 BELOW = 10.0
 
@@ -52,7 +56,14 @@ class Encoder:
     def ids(self, unit: str) -> list[int]:
         """Streaming Viterbi over marked text; a unit that fits into the window is there at once."""
         window = Window(self)
-        return window.finish(unit) if len(unit) <= self.vocab.longest else window.feed(unit) + window.finish()
+        if len(unit) <= self.vocab.longest:
+            return window.finish(unit)
+        out, at = [], 0
+        while at < len(unit):  # chunks grow with what isn't committed, so it is copied a bounded number of times
+            step = max(CHUNK, len(window.text))
+            out += window.feed(unit[at : at + step])
+            at += step
+        return out + window.finish()
 
     def _cut(self, unit: str) -> list[str]:
         cuts = [k for k in range(1, len(unit)) if unit[k - 1 : k + 1] not in self.side_by_side]
@@ -119,13 +130,18 @@ class Encoder:
 
 class Window:
     """The state of the search: the text behind the last commit, the best scores of the places that the pieces begun so
-    far can reach (one more than the longest piece has characters, at most) and the steps back to the commit."""
+    far can reach (one more than the longest piece has characters, at most) and the steps back to the commit, a number a
+    character.
+
+    Paths of several phases may stay open over any length ("the" repeated without spaces); all that is between them and the
+    commit has to be kept. They are followed back each time that their length has doubled, so this takes constant time a
+    character; where they meet at once, that is every few characters."""
 
     def __init__(self, encoder: Encoder):
         self.encoder, self.longest = encoder, encoder.vocab.longest
         self.text, self.start = "", 0  # start: the next place to begin pieces at, counted from the commit
         self.best: list[float] = [0.0]  # from start on
-        self.back: list[tuple[int, int]] = [(0, -1)]  # from the commit on: where the best piece that ends there starts, and its id
+        self.back: list[int] = [0]  # from the commit on: where the best piece that ends there starts, and its id plus one in the lowest BITS
         self.look = self.longest
 
     def feed(self, chunk: str) -> list[int]:
@@ -150,7 +166,7 @@ class Window:
             longest = min(reach.get(char, 1), n - start)
             while len(best) <= at + longest:
                 best.append(-1e300)
-                back.append((0, -1))
+                back.append(0)
             if score > -1e299:
                 for length in range(1, longest + 1):
                     edge = edges.get(text[start : start + length])
@@ -158,9 +174,9 @@ class Window:
                         total = score + edge[1]
                         if total > best[at + length]:
                             best[at + length] = total
-                            back[start + length] = (start, edge[0])
+                            back[start + length] = (start << BITS) + edge[0] + 1
                 if char not in edges and score + unknown > best[at + 1]:
-                    best[at + 1], back[start + 1] = score + unknown, (start, -1)
+                    best[at + 1], back[start + 1] = score + unknown, start << BITS
             start += 1
             if start >= self.look:  # the scores in front of the next place are done with
                 best, low = best[start - low :], start
@@ -169,10 +185,10 @@ class Window:
                     out += self._path(meet)
                     text, n, limit, start = text[meet:], n - meet, limit - meet, start - meet
                     self.text, low = text, start
-                    back = self.back = [(max(a - meet, 0), piece) for a, piece in back[meet:]]
+                    back = self.back = [max(b - (meet << BITS), 0) for b in back[meet:]]
                     top = max(best)
                     best = [b - top if b > -1e299 else b for b in best]
-                self.look = start + self.longest
+                self.look = start + max(self.longest, start)
         self.best, self.start = best[start - low :], start
         return out
 
@@ -183,13 +199,13 @@ class Window:
         while len(ends) > 1:
             last = max(ends)
             ends.discard(last)
-            ends.add(self.back[last][0])
+            ends.add(self.back[last] >> BITS)
         return ends.pop() if ends else 0
 
     def _path(self, end: int) -> list[int]:
         ids: list[int] = []
         while end > 0:
-            start, piece = self.back[end]
+            start, piece = self.back[end] >> BITS, (self.back[end] & (1 << BITS) - 1) - 1
             if piece >= 0:
                 ids.append(piece)
             else:
