@@ -150,6 +150,25 @@ def test_shards_equal_a_plain_scatter_and_exchange(spark, docs):
     assert {(r.doc_id, r.text, r.shard, r.slot) for r in got} == want and len(got) == len(rows)
 
 
+def test_repeated_rows_spread_over_buckets(spark, monkeypatch):
+    """A third of all rows are one row, and another third has no id: no bucket holds more than a few of them."""
+    sizes, made = [], sharding._offsets
+    monkeypatch.setattr(sharding, "_offsets", lambda counts: sizes.append(counts.agg({"n": "max"}).first()[0]) or made(counts))
+    rows = spark.range(9000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 WHEN id % 3 = 1 THEN NULL ELSE id END AS doc_id", "CASE WHEN id % 3 = 2 THEN concat('text ', id) ELSE 'the same text' END AS text")
+    got = sharding.shuffle_shards(rows, bucket_bytes=1000).collect()
+    assert sizes[0] < 300 and sorted((r.doc_id or 0, r.text) for r in got) == sorted((r.doc_id or 0, r.text) for r in rows.collect())
+    slots = [sorted(r.slot for r in got if r.shard == s) for s in range(8)]
+    assert slots == [list(range(1125))] * 8
+
+
+def test_rows_are_shuffled_once(spark, sf_dir):
+    """The plan after the counts has one exchange of the rows, whatever the number of buckets."""
+    plan = sharding.shuffle_shards(some_documents(spark, sf_dir).select("doc_id", "text"), bucket_bytes=20_000)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 2 and "BroadcastHashJoin [__bucket" not in plan
+    above = plan[: plan.index("REPARTITION_BY_NUM")]
+    assert above.count("Exchange") == 1  # none between the deal and the groups
+
+
 def test_shards_with_columns_of_the_results_names(spark):
     rows = spark.createDataFrame([(1, "a", "x", "y", "z"), (2, None, "x", "y", "z")], "doc_id long, text string, slot string, size string, Shard string")
     got = sharding.shuffle_shards(rows).orderBy("doc_id").collect()
@@ -191,6 +210,32 @@ def test_packing_equals_the_library(spark, docs, sf_dir):
             assert [o for o, _ in sorted(p)] == list(np.cumsum([0, *(n for _, n in sorted(p))])[:-1]) and sum(n for _, n in p) <= 512
 
 
+def test_ids_of_capital_letters_and_marks():
+    """Marks are composed before letters are lowered, so that words are looked up as they are written."""
+    import public_tokenizers
+    import pyarrow as pa
+
+    encoder, rng = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json")), random.Random(3)
+    parts = [*"AIiSsEeoKTH<>=!'|#19 \n\t.,-_", "the", "I'm", "<|", "|>", "<|endoftext|>", "\u00e9", "\u4e2d", "\u1100", "\u1161", "\u0627", "\u00df"]
+    marks = [chr(c) for c in (0x300, 0x301, 0x307, 0x323, 0x327, 0x338, 0x651, 0x64E, 0x5B0, 0x345, 0x130, 0x212A, 0x212B)]
+    texts = ["I\u0307\u0651", "I\u0651\u0307"] + ["".join(rng.choice(marks if rng.random() < 0.35 else parts) for _ in range(rng.randrange(25))) for _ in range(20_000)]
+    ids, at = encoder.encode(pa.array(texts))
+    for k, t in enumerate(texts):
+        assert ids[at[k] : at[k + 1]].tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids, ascii(t)
+
+
+def test_packing_spreads_null_and_repeated_ids(spark, tmp_path):
+    spark.range(60_000).selectExpr("CASE WHEN id % 2 = 0 THEN NULL WHEN id % 3 = 0 THEN 5 ELSE id END AS doc_id", "0 AS piece", "1 + id % 90 AS length").write.parquet(f"file:{tmp_path}/pieces")
+    got = packing.pack(spark.read.parquet(f"file:{tmp_path}/pieces"), 128, group=1000).selectExpr("sequence_id", "length", "offset").collect()
+    groups, places = {}, {}
+    for r in got:
+        groups[r.sequence_id >> 32] = groups.get(r.sequence_id >> 32, 0) + 1
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert len(got) == 60_000 and len(groups) == 60 and max(groups.values()) < 1300
+    for p in places.values():
+        assert [o for o, _ in sorted(p)] == list(np.cumsum([0, *(n for _, n in sorted(p))])[:-1]) and sum(n for _, n in p) <= 128
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_best_fit_equals_a_sorted_list(seed):
     rng = random.Random(seed)

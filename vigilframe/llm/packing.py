@@ -1,8 +1,9 @@
 """Best-fit decreasing packing of token pieces (operator 6).
 
 A document is the ids of its text, then a separator id; it is cut into pieces of ``capacity`` tokens only where it is
-longer. Pieces are dealt by hash into groups of about ``group`` pieces. Each group is packed by best-fit decreasing:
-a segment tree over the remaining capacities finds the tightest open sequence in O(log capacity) steps a piece.
+longer. Pieces are dealt by a hash of their place in the stored table into groups of about ``group`` pieces, so that null
+and repeated ids spread like all others. Each group is packed by best-fit decreasing: a segment tree over the remaining
+capacities finds the tightest open sequence in O(log capacity) steps a piece.
 
 The tokenizer splits at white space and between letters and signs, so the ids of a text are those of its words and signs
 in a row; each Python worker keeps a bounded table from word to ids, and only words not in it are encoded.
@@ -43,8 +44,9 @@ TOGETHER = 5000
 
 
 class WordEncoder:
-    """Ids of texts. A batch is split at spaces, line ends and between letters and signs, and each distinct word of it,
-    with A-Z in lower case as the vocabulary has them, is looked up once. Words not in the table are encoded together.
+    """Ids of texts. A batch is split at spaces, line ends and between letters and signs, and each distinct word of it is
+    looked up once, as it is written (the tokenizer composes marks first and lowers letters after that). Words not in the
+    table are encoded together.
 
     The ids of all words in the table stand in one flat array. When the table is full, the words that no later batch asked
     for are forgotten.
@@ -115,7 +117,7 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts as uint32, offsets of the texts)."""
-        texts = pc.replace_substring(pc.ascii_lower(texts.fill_null("")), "\n", " ")
+        texts = pc.replace_substring(texts.fill_null(""), "\n", " ")
         texts = pc.replace_substring_regex(texts, rf"([^\PL\x{{130}}])({SIGNS})", r"\1 \2")  # its lower case ends in a sign
         texts = pc.replace_substring_regex(texts, rf"({SIGNS})(\pL)", r"\1 \2")
         split = pc.split_pattern(texts, " ")
@@ -199,9 +201,10 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
-    """``pieces`` (doc_id, piece, length and any others) with sequence_id and offset. Read twice: pass a stored table."""
+    """``pieces`` (doc_id, piece, length and any others) with sequence_id and offset. Read twice, and dealt by place: pass a
+    stored table."""
     groups = max(1, -(-pieces.count() // group))
-    dealt = pieces.withColumn("__group", F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "piece"), F.lit(groups)))
+    dealt = pieces.withColumn("__group", F.pmod(F.xxhash64(F.lit(SEED), F.monotonically_increasing_id()), F.lit(groups)))
     names = pieces.columns
 
     def packed(rows: pa.Table) -> pa.Table:
