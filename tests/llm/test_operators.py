@@ -591,6 +591,38 @@ def test_nearest_in_blocks_and_on_the_table(spark, sf_dir, monkeypatch):
     assert {r.query_id for r in small.collect()} == {q for q, _ in found} and small.count() == len(found)
 
 
+def test_tables_prune_clustered_vectors(spark):
+    """On clusters few rows are looked at and recall stays; vectors that have no near ones are found with longer radii."""
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((60, 32))
+    x = np.concatenate([centres[rng.integers(0, 60, 3990)] + 0.3 * rng.standard_normal((3990, 32)), rng.standard_normal((10, 32))])
+    x[50] = -x[3995]
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = table.where("vec_id % 50 = 0 OR vec_id > 3990")
+    share = nearest.retrieved(table, asked).agg({"looked": "sum", "rows": "sum"}).first()
+    assert share["sum(looked)"] < 0.15 * share["sum(rows)"]
+    got, unit, hit, total = {}, x / nearest.norms(x)[:, None], 0, 0
+    for r in nearest.search(table, asked).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert len(got) == asked.count() and all(len(g) == 5 for g in got.values())
+    for q, g in got.items():
+        s = unit @ unit[q]
+        s[q] = -2
+        hit, total = hit + len(set(np.argsort(-s)[:5].tolist()) & set(g)), total + 5
+    assert hit >= 0.9 * total
+
+
+def test_nearest_is_the_same_for_any_number_of_partitions(spark):
+    x = np.random.default_rng(4).standard_normal((5000, 16))
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    known, answers = spark.conf.get("spark.sql.shuffle.partitions"), []
+    for n in ("1", "4"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        answers.append(sorted(map(tuple, nearest.search(table.repartition(int(n)), table.where("vec_id % 50 = 0")).collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", known)
+    assert answers[0] == answers[1] and len(answers[0]) == 500
+
+
 @pytest.mark.parametrize("radius", [0, 3, 15, 16, 40, 60])
 @pytest.mark.parametrize("n", [400, 1500])
 def test_index_finds_every_code_within_the_radius(radius, n):
