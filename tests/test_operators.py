@@ -101,6 +101,27 @@ def test_export_is_refused_not_cut(spark, tmp_path):
     assert spark.read.option("header", True).csv(f"file:{tmp_path}/y").count() == 3
 
 
+def test_pages_of_all_orders_in_one_pass(spark):
+    """As twelve sorts give them, nulls and ties included."""
+    rng = random.Random(6)
+    rows = [(f"i{k:03d}", rng.choice([None, 1.5, 2.5, 9.0]), rng.choice([None, "D1", "D2"]), *(rng.choice([None, "", "a", "B", "z"]) for _ in range(5))) for k in range(300)]
+    table = spark.createDataFrame(rows, "id string, last_seen double, detector string, host_name string, parent string, image string, app string, category string").repartition(3)
+    got = sorted(tuple(r) for r in triage.first_pages(table, 25).collect())
+    want = [(c, down, r.id) for c in triage.ORDERS for down in (False, True) for r in triage.page(table, triage.order_by(c, down), 25).select("id").collect()]
+    assert got == sorted(want) and len(got) == 300
+
+
+def test_gates_of_several_days_in_one_pass(spark):
+    rng = random.Random(2)
+    rows = [(f"h{rng.randrange(12)}", rng.randrange(1, 40), rng.choice(["a.exe", "b.exe", "c.exe"]), rng.choice(["p.exe", "q.exe"]), rng.choice(["windows", "other"])) for _ in range(900)]
+    days = spark.createDataFrame(rows, "host string, day int, app string, parent string, location string").distinct()
+    policy = Policy(baseline_days=5, minimum_days=2, min_fleet_hosts=3, min_common_app_hosts=3)
+    columns = ["host", "day", *novelty.PATTERN, "fleet_hosts", "app_hosts", "pattern_hosts", "gate"]
+    got = sorted(map(tuple, novelty.gates_by_day(days, days, 3, 7, policy).select(columns).collect()))
+    want = [tuple(r) for day in range(3, 8) for r in novelty.gates(days.where(F.col("day") == day), days, day, policy).select(columns).collect()]
+    assert got == sorted(want) and len({r[-1] for r in got}) > 2
+
+
 def test_versions_of_one_updater_are_a_family(spark):
     rows = [(f"h{k % 149}", novelty.DETECTOR, "rare_application", "p.exe", "other", f"C:\\x\\Fleet_Updater_9.18.{k % 8}.0.exe", float(k), float(k)) for k in range(442)]
     rows += [(f"h{k}", novelty.DETECTOR, "rare_application", "p.exe", "other", f"C:\\x\\a{k}.exe", 1.0, 1.0) for k in range(15)]

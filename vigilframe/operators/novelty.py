@@ -88,13 +88,8 @@ def reference_evidence(live: DataFrame, days: DataFrame, day: int, cohorts: Data
     )
 
 
-def gates(live: DataFrame, days: DataFrame, day: int, policy: Policy) -> DataFrame:
-    """Every live (host, app, parent, location) with its reference, fleet counts and the gate it stopped at."""
-    window = prior(days, day, policy)
-    found = references(live, days, policy)
-    for keys, name in ((["app"], "app_hosts"), (PATTERN, "pattern_hosts")):
-        found = found.join(support(window, keys, name), keys, "left").fillna(0, [name])
-    found = found.crossJoin(F.broadcast(fleet_hosts(window)))  # one row
+def _laddered(found: DataFrame, policy: Policy) -> DataFrame:
+    """Rows with fleet_hosts, app_hosts and pattern_hosts, and the gate that each stopped at."""
     fleet, app_hosts = F.col("fleet_hosts"), F.col("app_hosts")
     rare_max = F.greatest(F.lit(2), F.floor(fleet * F.lit(policy.rare_app_fraction)))
     common_min = F.greatest(F.lit(policy.min_common_app_hosts), F.ceil(fleet * F.lit(0.03)))
@@ -113,6 +108,27 @@ def gates(live: DataFrame, days: DataFrame, day: int, policy: Policy) -> DataFra
     return found.withColumn("gate", ladder)
 
 
+def gates(live: DataFrame, days: DataFrame, day: int, policy: Policy) -> DataFrame:
+    """Every live (host, app, parent, location) with its reference, fleet counts and the gate it stopped at."""
+    window = prior(days, day, policy)
+    found = references(live, days, policy)
+    for keys, name in ((["app"], "app_hosts"), (PATTERN, "pattern_hosts")):
+        found = found.join(support(window, keys, name), keys, "left").fillna(0, [name])
+    return _laddered(found.crossJoin(F.broadcast(fleet_hosts(window))), policy)  # one row
+
+
+def gates_by_day(live: DataFrame, days: DataFrame, first: int, last: int, policy: Policy) -> DataFrame:
+    """``gates`` of each day from ``first`` to ``last`` against the days before it, in one pass over ``days``: what was seen
+    on a day counts for those of the asked days in whose window it stands, once a host."""
+    seen = days.where((F.col("day") >= first - policy.baseline_days) & (F.col("day") < last)).select("host", *PATTERN, "day").distinct()
+    asked = F.sequence(F.greatest(F.col("day") + 1, F.lit(first)), F.least(F.col("day") + policy.baseline_days, F.lit(last)))
+    windows = seen.select("host", *PATTERN, F.explode(asked).alias("day")).distinct()
+    found = references(live.where(F.col("day").between(first, last)), days, policy)
+    for keys, name in ((["app"], "app_hosts"), (PATTERN, "pattern_hosts"), ([], "fleet_hosts")):
+        found = found.join(support(windows, ["day", *keys], name), ["day", *keys], "left").fillna(0, [name])
+    return _laddered(found, policy)
+
+
 #: Days of a bin in which intervals of days meet.
 BIN = 7
 

@@ -74,16 +74,39 @@ def trigger() -> Column:
     return F.when(F.col("detector") == "DS-EXEC-001", "Remote execution characteristics").when(F.col("detector") == "DS-EXEC-002", "New context + outbound activity").when(F.col("detector") == "DS-NET-001", "Network diversity shift").otherwise(novelty)
 
 
+#: Columns by which the findings table is ordered.
+ORDERS = ("when", "detector", "hostname", "parent", "process", "trigger")
+
+
+def _sort_keys() -> dict[str, Column]:
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    by = (F.col("last_seen"), F.col("detector"), F.col("host_name"), text("parent"), F.coalesce("image", "app", F.lit("")), F.coalesce("category", "detector"))
+    return dict(zip(ORDERS, by))
+
+
 def order_by(column: str, descending: bool) -> list[Column]:
     """The order of the findings table by one of its six columns, ties by id."""
-    text = lambda c: F.coalesce(F.col(c), F.lit(""))
-    by = {
-        "when": F.col("last_seen"), "detector": F.col("detector"), "hostname": F.col("host_name"), "parent": text("parent"),
-        "process": F.coalesce("image", "app", F.lit("")), "trigger": F.coalesce("category", "detector"),
-    }[column]
+    by = _sort_keys()[column]
     return [by.desc() if descending else by.asc(), F.col("id").asc()]
 
 
+def first_pages(findings: DataFrame, size: int) -> DataFrame:
+    """(sorted_by, descending, id): the first page in each of the six orders, both ways, in one pass over the findings.
+
+    Each finding stands in every order with one of four keys, a time or a text that rises or falls; the others are null. A
+    partition sends no more than a page of each order on.
+    """
+    views = []
+    for name, by in _sort_keys().items():
+        kind = "at" if name == "when" else "text"
+        for down in (False, True):
+            keys = [(by if c == (kind, down) else F.lit(None)).cast("double" if c[0] == "at" else "string").alias(f"{c[0]}_{'down' if c[1] else 'up'}") for c in (("at", False), ("at", True), ("text", False), ("text", True))]
+            views.append(F.struct(F.lit(name).alias("sorted_by"), F.lit(down).alias("descending"), *keys))
+    rows = findings.select("id", F.explode(F.array(*views)).alias("v")).select("id", "v.*")
+    order = Window.partitionBy("sorted_by", "descending").orderBy("at_up", F.desc("at_down"), "text_up", F.desc("text_down"), "id")
+    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= size).select("sorted_by", "descending", "id")
+
+
 def in_state(findings: DataFrame, status: str = "open") -> DataFrame:
     """Findings of a state, of all states, or (``open``, and for unknown ones) of those that are open."""
     if status == "all":

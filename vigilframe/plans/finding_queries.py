@@ -139,12 +139,7 @@ def finding_states(spark: SparkSession, d: str) -> DataFrame:
 
 def findings_table_sorted(spark: SparkSession, d: str) -> DataFrame:
     """The first page of open findings in each of the six orders, both ways."""
-    rows = triage.in_state(_shown(spark, d))
-    pages = [
-        triage.page(rows, triage.order_by(c, down), 20).select(F.lit(c).alias("sorted_by"), F.lit(down).alias("descending"), "id")
-        for c in ("when", "detector", "hostname", "parent", "process", "trigger") for down in (False, True)
-    ]
-    return reduce(DataFrame.unionByName, pages)
+    return triage.first_pages(triage.in_state(_shown(spark, d)), 20)
 
 
 def findings_filtered(spark: SparkSession, d: str) -> DataFrame:

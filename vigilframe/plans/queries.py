@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import replace
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -137,9 +136,7 @@ def dt02_funnel(spark: SparkSession, d: str) -> DataFrame:
 
 def dt02_week(spark: SparkSession, d: str) -> DataFrame:
     """The funnel of the last seven days, each against the days before it, summed."""
-    obs, days = novelty_view(spark, d), peers.kept(_days(spark, d))
-    each = [novelty.funnel(novelty.gates(obs.where(F.col("day") == day), days, day, DEFAULT)) for day in range(LIVE_DAY - 6, LIVE_DAY + 1)]
-    return reduce(DataFrame.unionByName, each).groupBy("gate").agg(F.sum("n").alias("n"))
+    return novelty.funnel(novelty.gates_by_day(novelty_view(spark, d), peers.kept(_days(spark, d)), LIVE_DAY - 6, LIVE_DAY, DEFAULT))
 
 
 def _findings(spark: SparkSession, d: str) -> DataFrame:
