@@ -45,8 +45,8 @@ TOGETHER = 5000
 
 class WordEncoder:
     """Ids of texts. A batch is split at spaces, line ends and between letters and signs, and each distinct word of it is
-    looked up once, as it is written (the tokenizer composes marks first and lowers letters after that). Words not in the
-    table are encoded together.
+    looked up once, as it is written: the tokenizer composes marks first and lowers letters after that. Only ASCII texts, which
+    have no marks, are in lower case before. Words not in the table are encoded together.
 
     The ids of all words in the table stand in one flat array. When the table is full, the words that no later batch asked
     for are forgotten.
@@ -117,7 +117,8 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts as uint32, offsets of the texts)."""
-        texts = pc.replace_substring(texts.fill_null(""), "\n", " ")
+        texts = texts.fill_null("")
+        texts = pc.replace_substring(pc.if_else(pc.string_is_ascii(texts), pc.ascii_lower(texts), texts), "\n", " ")
         texts = pc.replace_substring_regex(texts, rf"([^\PL\x{{130}}])({SIGNS})", r"\1 \2")  # its lower case ends in a sign
         texts = pc.replace_substring_regex(texts, rf"({SIGNS})(\pL)", r"\1 \2")
         split = pc.split_pattern(texts, " ")
@@ -145,7 +146,7 @@ def tokenize(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None,
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             rows: list[tuple] = []
             all_ids, offsets = enc.encode(batch.column("text"))
             for key, a, b in zip(batch.column("doc_id").to_pylist(), offsets.tolist(), offsets[1:].tolist()):
