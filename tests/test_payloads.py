@@ -101,3 +101,37 @@ def test_errors_and_sizes_of_payloads(spark):
     rows = payloads.normalize(payloads.records(many))
     assert [(r.payload, r.r) for r in payloads.first_errors(rows, "payload").orderBy("r").collect()] == [(1, k) for k in range(1, 21)]
     assert [tuple(r) for r in payloads.too_many(many, "payload", 29).collect()] == [(1, 30)]
+
+
+def test_each_layer_is_parsed_once(spark):
+    rows = payloads.normalize(spark.createDataFrame([(0, TEXT)], "n int, record string"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    parsed = {f: plan.count(f"{f}(") for f in ("from_xml", "from_json")}
+    assert parsed["from_xml"] == 1 and parsed["from_json"] <= 20, parsed
+
+
+def test_depth_counts_runs_and_skips_quoted_brackets(spark):
+    deep = lambda n, inner="1": '{"a":' * n + inner + "}" * n
+    texts = [deep(64), deep(65), deep(40, "[" * 24 + "]" * 24), deep(40, "[" * 25 + "]" * 25), deep(3, '"' + "[{" * 90 + '\\" ]"'), deep(2, "[" + ",".join(["[{}]"] * 90) + "]"), '{"a":' * 70]
+    found = spark.createDataFrame(list(enumerate(texts)), "n int, record string").select("n", payloads.too_deep(payloads.F.col("record")).alias("d")).orderBy("n").collect()
+    assert [r.d for r in found] == [False, True, False, True, False, False, True]
+
+
+class Counted(str):
+    """A key that counts how often it is put into lower case."""
+
+    asked = 0
+
+    def lower(self):
+        Counted.asked += 1
+        return str.lower(self)
+
+
+def test_leaves_cost_one_step_a_layer(monkeypatch):
+    node = {"@Name": "p"}
+    for _ in range(200):
+        node = {Counted("layer"): node, "@Name": "x"}
+    monkeypatch.setattr(payloads.json, "loads", lambda text: {Counted("Provider"): node})
+    Counted.asked = 0
+    found = payloads.leaves("{}")
+    assert [f["key"] for f in found] == ["Provider"] * 201 and Counted.asked <= 1000
