@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import hosts as H
-from ..operators import lifecycle, summaries, triage
+from ..operators import lifecycle, peers, summaries, triage
 from ..sources.observations import novelty_view
 
 LIVE_DAY = 19752
@@ -69,25 +69,26 @@ def family_members_page(spark: SparkSession, d: str) -> DataFrame:
     return lifecycle.family_page(rows, largest[0] if largest else "", 1).select("id", _r("last_seen"))
 
 
-def _reviews(spark: SparkSession, d: str) -> DataFrame:
+def _reviewed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All families reviewed, every third for the future too; one unknown, one for too long."""
-    known = lifecycle.families(_real(spark, d)).select("signature")
+    rows = _real(spark, d)
+    known = peers.kept(lifecycle.families(rows))
     digit = F.conv(F.substring("signature", 1, 2), 16, 10).cast("int")
     asked = known.select("signature", F.when(digit % 3 == 0, 14).when(digit % 17 == 1, 60).otherwise(0).alias("suppress_days"))
-    return asked.unionByName(spark.createDataFrame([("none", 7)], "signature string, suppress_days int"))
+    return lifecycle.review(rows, asked.unionByName(spark.createDataFrame([("none", 7)], "signature string, suppress_days int")), CLOCK, known)
 
 
 def family_reviews(spark: SparkSession, d: str) -> DataFrame:
-    return lifecycle.review(_real(spark, d), _reviews(spark, d), CLOCK)[0]
+    return _reviewed(spark, d)[0]
 
 
 def family_reviewed_states(spark: SparkSession, d: str) -> DataFrame:
-    after = lifecycle.review(_real(spark, d), _reviews(spark, d), CLOCK)[1]
+    after = _reviewed(spark, d)[1]
     return after.groupBy("state").agg(F.count(F.lit(1)).alias("findings"), F.count_if("changed").alias("changed"))
 
 
 def family_expected(spark: SparkSession, d: str) -> DataFrame:
-    return lifecycle.review(_real(spark, d), _reviews(spark, d), CLOCK)[2].select("signature", "pattern", "expires")
+    return _reviewed(spark, d)[2].select("signature", "pattern", "expires")
 
 
 def _by_context(spark: SparkSession, d: str) -> DataFrame:
