@@ -110,3 +110,16 @@ def test_days_of_profiles(spark):
         with pytest.raises(ValueError):
             profiles.explicit_days(obs, first, last, 100)
     assert profiles.explicit_days(obs, 72, 99, 100).where(F.col("partial")).count() == 0
+
+
+def test_namespaces_are_no_shuffle_keys(spark, sf_dir):
+    import re
+
+    from vigilframe.plans import registry_queries
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = registry_queries.namespace_weights(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin [namespace#" in plan and not re.search(r"SortMergeJoin \[namespace#\d+\],", plan), plan
