@@ -3,12 +3,14 @@ enough for the fixed limits."""
 
 import functools
 import itertools
+import math
 import random
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from vigilframe.operators import profiles as profiles_
 from vigilframe.operators import similarity
 from vigilframe.plans import cohort_queries
 
@@ -163,3 +165,43 @@ def test_preferred_pools(spark):
     summary = {r.minimum: r.asDict() for r in similarity.pool_summary(found).collect()}
     assert summary[0.08] == {"minimum": 0.08, "process_hosts": 3, "network_hosts": 3, "any_hosts": 3, "both_hosts": 3, "possible": 8, "pools": 2, "largest": 4}
     assert [r.any_hosts for r in similarity.pool_summary(found.limit(0)).collect()] == [0, 0]
+
+
+def test_shown_days(spark):
+    """Days on both sides of a word's bounds, before 1970 and null, against distinct counts; observations of one day are one bit."""
+    days = [-65, -64, -1, 0, 63, 64, 19_723, 19_723, 19_775, 19_776, None]
+    rows_ = [(h, None if d is None else d + k, f"a{(d or 0) % 3}", "p", "program-files", "ip", 3600.0 * k) for k, h in enumerate("xyz") for d in days] + [("none", None, "a0", "p", "windows", None, None)]
+    obs = spark.createDataFrame(rows_, "host string, day int, app string, parent string, location string, kind string, ts double")
+    shown = profiles_.shown_days(obs)
+    assert shown.groupBy("host", "channel", "feature", "word").count().where("count > 1").count() == 0
+    found = profiles_.features(obs)
+    count = lambda df, *keys: {tuple(r)[:-1]: r[-1] for r in df.groupBy(*keys).agg(F.count_distinct("day")).collect()}
+    assert {(r.host,): r.observed_days for r in profiles_.observed_days(shown).collect()} == count(obs, "host")
+    each, total = count(found, "host", "channel", "feature"), count(obs, "host")
+    seen = profiles_.shares(shown, profiles_.observed_days(shown)).where("host <> 'none'").collect()
+    assert {(r.host, r.channel, r.feature): r.prevalence for r in seen} == {k: n / total[k[:1]] for k, n in each.items() if k[0] != "none"}
+
+
+def test_profiles_store_what_is_shown(spark, monkeypatch):
+    """No stored table grows with the observations of a host that does the same all day."""
+    sizes, kept = [], cohort_queries.peers.kept
+    monkeypatch.setattr(cohort_queries.peers, "kept", lambda df: sizes.append((stored := kept(df)).count()) or stored)
+    obs = spark.range(2000).selectExpr("cast(id % 2 AS string) AS host", "cast(id % 3 AS int) AS day", "'a' AS app", "'p' AS parent", "'program-files' AS location", "'ip' AS kind", "0.0D AS ts")
+    base, _, observed, hosts = cohort_queries._profile(obs)
+    assert (hosts, observed.count(), base.count()) == (2, 2, 8) and sizes and max(sizes) <= 10
+
+
+def test_features_of_one_host_are_not_joined(spark):
+    rows_ = [(f"h{k}", "process", f, 0.5) for k in range(30) for f in ("common", f"own{k}", None)]
+    prevalence = spark.createDataFrame(rows_, FEATURES.format("prevalence"))
+    got = {(r.host, r.feature): r.weight for r in profiles_.weights(prevalence, 30).collect()}
+    weight = lambda df: 0.5 * min(2.0, 0.25 + max(0.0, math.log(31 / (df + 1))))
+    assert got == {(f"h{k}", f): pytest.approx(weight(df)) for k in range(30) for f, df in (("common", 30), (f"own{k}", 1))}
+    assert "(df#" in (plan := profiles_.weights(prevalence, 30)._jdf.queryExecution().optimizedPlan().toString()) and "> 1)" in plan
+
+
+def test_pairs_are_hashed_before_they_meet_slices(spark):
+    buckets = spark.createDataFrame([(f"h{k}", 1, 0) for k in range(9)], "host string, app_bin int, day_bin int")
+    asked, members = spark.createDataFrame([("g", 0, "h0")], "grp string, i int, subject string"), spark.createDataFrame([("g", "h0")], "grp string, host string")
+    found = similarity.controls(asked, members, buckets)
+    assert found.count() == 1 and "sha2" not in found._jdf.queryExecution().optimizedPlan().toString()
