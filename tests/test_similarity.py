@@ -205,3 +205,15 @@ def test_pairs_are_hashed_before_they_meet_slices(spark):
     asked, members = spark.createDataFrame([("g", 0, "h0")], "grp string, i int, subject string"), spark.createDataFrame([("g", "h0")], "grp string, host string")
     found = similarity.controls(asked, members, buckets)
     assert found.count() == 1 and "sha2" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_evidence_reads_the_days_of_compared_hosts(spark, monkeypatch):
+    """Of earlier days only those of hosts that others are compared with are summarised."""
+    asked, groups = [], []
+    days, compared = cohort_queries.summaries.behavior_days, getattr(similarity, "compared", None)
+    monkeypatch.setattr(cohort_queries.summaries, "behavior_days", lambda rows, cap: asked.append(rows) or days(rows, cap))
+    monkeypatch.setattr(similarity, "compared", lambda *a: groups.append(compared(*a)) or groups[-1], raising=False)
+    assert cohort_queries.cohort_evidence(spark, FLEET).count()
+    hosts = lambda df: {r.host for r in df.select("host").distinct().collect()}
+    earlier = set().union(*(hosts(rows.where(F.col("day") < cohort_queries.LIVE_DAY)) for rows in asked))
+    assert groups and earlier == hosts(groups[0]) and len(earlier) < len(hosts(cohort_queries.suite_view(spark, FLEET)))
