@@ -135,3 +135,37 @@ def test_leaves_cost_one_step_a_layer(monkeypatch):
     Counted.asked = 0
     found = payloads.leaves("{}")
     assert [f["key"] for f in found] == ["Provider"] * 201 and Counted.asked <= 1000
+
+
+def deep(fields, layers):
+    return '{"layer":' * layers + json.dumps(fields) + "}" * layers
+
+
+def test_layers_that_wrap_nothing_cost_no_calls():
+    import sys
+
+    calls = []
+    text = deep({"Computer": "a", "rows": [1]}, 60)
+    sys.setprofile(lambda frame, event, arg: calls.append(frame.f_code.co_name) if event == "call" else None)
+    try:
+        found = payloads.leaves(text)
+    finally:
+        sys.setprofile(None)
+    assert [f["key"] for f in found] == ["Computer", "rows"] and len(calls) <= 60, len(calls)
+
+
+def test_deep_search_reads_the_first_clean_value_of_each_name():
+    text = deep({"Event.Computer": " ' ' ", "junk": [{"x": str(k)} for k in range(500)], "rows": [{"@": {"Name": "Com-puter"}, "value": " ' pc ' "}, {"Computer": "later"}], "Provider": {"@Name": "p"}}, 5)
+    assert {payloads.READ[at]: value for at, value in payloads.read_leaves(text).items()} == {"computer": "pc", "name": "Com-puter", "provider": "p"}
+
+
+def test_deep_search_takes_half_characters(spark):
+    rows = spark.createDataFrame([(0, deep({**BASE, "CommandLine": "x \ud800 -enc abc"}, 5)), (1, None), (2, deep(BASE, 64)), (3, json.dumps(BASE))], "n int, record string")
+    found = {r.n: r for r in payloads.normalize(rows, search_deep=True).collect()}
+    assert [(found[n].status, found[n].reason) for n in (0, 2, 3)] == [("accepted", None), ("invalid", "JSON nested too deeply"), ("accepted", None)]
+    assert found[0].flags.encoded_argument and found[0].host == found[3].host == "workstation.example"
+
+
+def test_depth_of_long_texts(spark):
+    rows = normalized(spark, [json.dumps({**BASE, "x": [[]] * 80, "y": ("a" * 9 + "\\") * 20_000}), '{"y": "' + "a" * 200_000 + '", "x": ' + "[" * 64 + "]" * 64 + "}"])
+    assert [(r.status, r.reason) for r in rows] == [("accepted", None), ("invalid", "JSON nested too deeply")]
